@@ -46,6 +46,3 @@ def vector_sum(v: Column) -> Column:
     """Element-wise SUM over a group, with map-side partial sums."""
     return vector_to_array(Summarizer.sum(array_to_vector(v)))
 
-
-def vector_mean(v: Column) -> Column:
-    return vector_to_array(Summarizer.mean(array_to_vector(v)))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from voxelweave.functions.stats import hash_int
 from voxelweave.functions.vector import (
-    dot, doubles, l2_normalised, mean_of_two, norm, vector_mean, without_projection,
+    dot, doubles, l2_normalised, mean_of_two, norm, scaled, vector_sum, without_projection,
 )
 from voxelweave.operators.upserts import upsert_scope
 from voxelweave.schemas import LANGUAGES
@@ -26,15 +26,13 @@ def sources_of(target: str) -> tuple[str, str]:
 def pool_tokens(tokens: DataFrame, keys: Sequence[str], *, normalise: bool = True, eps: float = 1.0e-8) -> DataFrame:
     """Masked mean of token vectors (attended and not special); no pooled token gives the zero vector."""
     pooled = F.col("attended") & ~F.col("special")
+    kept = F.when(pooled, F.lit(1.0)).otherwise(F.lit(0.0))
     rows = tokens.groupBy(*keys).agg(
-        vector_mean(F.when(pooled, doubles(F.col("vec")))).alias("_mean"),
-        F.count(F.when(pooled, 1)).alias("n_tokens_pooled"),
-        F.first(F.size("vec")).alias("_width"),
+        vector_sum(scaled(doubles(F.col("vec")), kept)).alias("_sum"), F.count(F.when(pooled, 1)).alias("n_tokens_pooled")
     )
-    zero = F.transform(F.sequence(F.lit(1), F.col("_width")), lambda _: F.lit(0.0))
-    mean = F.when(F.col("n_tokens_pooled") > 0, F.col("_mean")).otherwise(zero)
+    mean = scaled(F.col("_sum"), F.lit(1.0) / F.greatest(F.col("n_tokens_pooled"), F.lit(1)))
     vec = l2_normalised(mean, eps) if normalise else mean
-    return rows.withColumn("vec", vec).drop("_mean", "_width")
+    return rows.withColumn("vec", vec).drop("_sum")
 
 
 def reduced_precision(vec: Column, kind: str = "float32") -> Column:

@@ -16,6 +16,7 @@ from voxelweave.checks import axis, coverage_gaps, demand_empty
 from voxelweave.functions.stats import dense_index, hash_int, holm, stable_offset
 from voxelweave.operators.effects import subject_family_deltas
 from voxelweave.schemas import ATTENTION_STATES, FEEDFORWARD_STATES, H1, H2
+from voxelweave.session import cut
 
 CELL = ["model", "language", "hypothesis"]
 FLIPS_PER_HASH = 32
@@ -162,6 +163,7 @@ def primary_effects(
     effects: DataFrame, *, permutations: int = 10000, bootstraps: int = 10000, seed: int = 1337, mode: str = "hash"
 ) -> DataFrame:
     """The summary table of all cells: effect, interval, p, Holm p, se, dz."""
+    effects = cut(effects)  # read by the summary, the test and the interval
     summary = effect_summary(effects)
     if mode == "numpy":
         tested = summary.join(numpy_draws(effects, permutations, bootstraps, seed), CELL)

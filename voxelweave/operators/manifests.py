@@ -40,11 +40,7 @@ def run_manifest(runs: DataFrame, root: str = "") -> DataFrame:
 
 
 def sentence_spans(spans: DataFrame, language: str) -> DataFrame:
-    words = F.struct(F.col("first_word_idx").cast("int"), F.col("last_word_idx").cast("int"))
-    text = F.concat(
-        F.lit('{"first_word_idx": '), words["first_word_idx"].cast("string"),
-        F.lit(', "last_word_idx": '), words["last_word_idx"].cast("string"), F.lit("}"),
-    )
+    text = F.format_string('{"first_word_idx": %d, "last_word_idx": %d}', F.col("first_word_idx").cast("int"), F.col("last_word_idx").cast("int"))
     return spans.select(
         F.lit(language).alias("language"),
         F.col("section_index").cast("int").alias("story_section"),
