@@ -10,7 +10,8 @@ R_LIMIT = 0.999999  # Fixed value: correlations are clipped to +- this before at
 
 
 def fisher_z(r: Column) -> Column:
-    return F.atanh(F.greatest(F.lit(-R_LIMIT), F.least(F.lit(R_LIMIT), r)))
+    # greatest and least skip NULL, so a missing correlation has to be kept missing.
+    return F.when(r.isNotNull(), F.atanh(F.greatest(F.lit(-R_LIMIT), F.least(F.lit(R_LIMIT), r))))
 
 
 def pearson_from_sums(n: Column, sx: Column, sy: Column, sxx: Column, syy: Column, sxy: Column) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, functions as F
 from voxelweave.checks import demand_empty
 from voxelweave.functions.text import delete_span
 from voxelweave.functions.vector import dot, doubles, minus
-from voxelweave.operators.features import Encoder, encode_distinct
+from voxelweave.operators.features import Encoder
 from voxelweave.schemas import H2, LANGUAGES
 
 SETTING = ["model", "language", "block", "state"]
@@ -70,9 +70,9 @@ def single_word_mutations(words: DataFrame) -> DataFrame:
 
 def vector_changes(requests: DataFrame, states: DataFrame, encoder: Encoder, text: str = "mutated_text") -> DataFrame:
     """Half the change of the source vector for every mutated text; each distinct text is encoded once."""
-    encoded = encode_distinct(
-        requests.withColumnRenamed(text, "text").withColumnRenamed("sentence_language", "language"), encoder
-    ).withColumnRenamed("language", "sentence_language").drop("text")
+    texts = requests.select(F.col("sentence_language").alias("language"), F.col(text).alias("text")).distinct()
+    vectors = encoder(texts).select(F.col("language").alias("sentence_language"), F.col("text").alias(text), "vec")
+    encoded = requests.join(vectors, ["sentence_language", text]).drop(text)
     stored = states.select(F.col("language").alias("sentence_language"), "triplet_row_index", doubles(F.col("vec")).alias("_stored"))
     change = F.transform(minus(doubles(F.col("vec")), F.col("_stored")), lambda x: x / F.lit(2.0))
     return encoded.join(stored, ["sentence_language", "triplet_row_index"]).withColumn("delta", change).drop("vec", "_stored")
