@@ -7,6 +7,7 @@ difference of two kernel prefix sums; single samples weigh in with the kernel va
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -14,8 +15,6 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from voxelweave.functions.vector import scaled, vector_sum
-
 
 def glover_kernel(fine_hz: float, seconds: float = 32.0) -> list[float]:
     """Published double-gamma haemodynamic response, sampled at ``fine_hz`` and scaled to sum 1."""
@@ -71,7 +70,8 @@ def _scans_reached(first: Column, last: Column, n_scans: Column, clock: ScanCloc
 
 
 def _lookup(values: Sequence[float]) -> Column:
-    return F.array(*[F.lit(float(v)) for v in values])
+    """A constant array as one foldable expression; hundreds of literals would slow down analysis."""
+    return F.from_json(F.lit(json.dumps([float(v) for v in values])), "array<double>")
 
 
 def sentence_basis(timing: DataFrame, scans: DataFrame, clock: ScanClock) -> DataFrame:
@@ -259,16 +259,41 @@ def nuisance_rows(drift: DataFrame, acoustic: DataFrame, scans: DataFrame) -> Da
     return align_terms(drift.unionByName(acoustic.select(*drift.columns)), names, scans)
 
 
-def design_rows(basis: DataFrame, features: DataFrame, setting: Sequence[str]) -> DataFrame:
+def design_rows(
+    basis: DataFrame, features: DataFrame, setting: Sequence[str], *, bucket: int = 32, hot: int = 4096, lane: int = 64
+) -> DataFrame:
     """Basis x features: the weighted sum of sentence vectors in every scan (sparse product).
 
-    Partial sums are formed map-side after the join, so a scan with many sentences, or a run holding most
-    of the rows, does not travel whole.
+    A vector is shuffled once per bucket of scans its sentence reaches, not once per scan, and is spread
+    over the scans only where they are summed. Buckets with more than ``hot`` sentences are split by a
+    salt. Vectors travel in lanes of ``lane`` values, each summed by generated code.
     """
-    joined = basis.join(features, ["language", "triplet_row_index"])
-    return joined.groupBy(*setting, "canonical_run", "scan").agg(
-        vector_sum(scaled(F.col("vec"), F.col("weight"))).alias("x")
+    keys = [*setting, "canonical_run"]
+    packed = (
+        basis.repartition("language", "triplet_row_index")
+        .groupBy("language", "canonical_run", "triplet_row_index", F.floor(F.col("scan") / F.lit(bucket)).alias("_bucket"))
+        .agg(F.collect_list(F.struct("scan", "weight")).alias("_weights"))
+    )
+    crowd = packed.groupBy("language", "canonical_run", "_bucket").agg(F.ceil(F.count(F.lit(1)) / F.lit(hot)).alias("_salts"))
+    salted = packed.join(crowd, ["language", "canonical_run", "_bucket"]).withColumn(
+        "_salt", F.pmod(F.xxhash64("triplet_row_index"), F.col("_salts"))
+    )
+    lanes = F.transform(
+        F.sequence(F.lit(0), F.ceil(F.size("vec") / F.lit(lane)).cast("int") - 1), lambda i: F.slice("vec", i * lane + 1, F.lit(lane))
+    )
+    spread = (
+        salted.join(features, ["language", "triplet_row_index"])
+        .select(*keys, "_bucket", "_salt", "_weights", F.posexplode(lanes).alias("_lane", "_part"))
+        .repartition(*keys, "_bucket", "_salt", "_lane")
+        .select(*keys, "_bucket", "_salt", "_lane", "_part", F.inline("_weights"))
     )
+    sums = [F.sum(F.get("_part", F.lit(i)) * F.col("weight")).alias(f"_{i}") for i in range(lane)]
+    partial = spread.groupBy(*keys, "_bucket", "_salt", "_lane", "scan").agg(*sums)
+    whole = partial.repartition(*keys, "scan").groupBy(*keys, "scan", "_lane").agg(*[F.sum(f"_{i}").alias(f"_{i}") for i in range(lane)])
+    # The last lane may be narrower; its unused sums are NULL.
+    values = F.filter(F.array(*[F.col(f"_{i}") for i in range(lane)]), lambda v: v.isNotNull())
+    parts = F.array_sort(F.collect_list(F.struct("_lane", values.alias("_values"))))
+    return whole.groupBy(*keys, "scan").agg(parts.alias("_p")).select(*keys, "scan", F.flatten(F.col("_p._values")).alias("x"))
 
 
 def family_series(bold: DataFrame, metadata: DataFrame) -> DataFrame:
