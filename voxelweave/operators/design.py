@@ -260,7 +260,7 @@ def nuisance_rows(drift: DataFrame, acoustic: DataFrame, scans: DataFrame) -> Da
 
 
 def design_rows(
-    basis: DataFrame, features: DataFrame, setting: Sequence[str], *, bucket: int = 32, hot: int = 4096, lane: int = 64
+    basis: DataFrame, features: DataFrame, setting: Sequence[str], *, bucket: int = 32, hot: int = 4096, lane: int = 16
 ) -> DataFrame:
     """Basis x features: the weighted sum of sentence vectors in every scan (sparse product).
 
