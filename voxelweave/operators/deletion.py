@@ -11,6 +11,7 @@ from voxelweave.functions.text import delete_spans
 from voxelweave.functions.vector import dot
 from voxelweave.operators.attribution import FOLD, SETTING, vector_changes
 from voxelweave.operators.features import Encoder
+from voxelweave.session import cut
 
 SUBJECT = [*SETTING, "roi_family", "subject_id"]
 GROUP = [*SUBJECT, "triplet_row_index"]
@@ -227,11 +228,12 @@ def deletion_rows(
     plan = matching_plan(rank_words(attributions), ks)
     if pending is not None:
         plan = plan.join(pending.select(*SUBJECT, "k").distinct(), [*SUBJECT, "k"], "left_semi")
+    plan = cut(plan)  # read for the selection, the draws and the policy labels
     top = plan.where("selected").withColumn("draw", F.lit(-1))
     picks = top.select(*GROUP, "canonical_run", "k", "draw", *WORD).unionByName(
         sample_words(plan, draws, seed).select(*GROUP, "canonical_run", "k", "draw", *WORD)
     )
-    requests = span_requests(picks, ["k", "draw"])
+    requests = cut(span_requests(picks, ["k", "draw"]))  # read for the texts, the gains and the draws
     changes = vector_changes(mutated_texts(requests, texts), states, encoder)
     # A request is scored once per fold, however many draws share it.
     unique = requests.select(*GROUP, "canonical_run", "sentence_language", "spans").distinct()
