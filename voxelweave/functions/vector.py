@@ -31,15 +31,27 @@ def minus(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: x - y)
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once per row.
+
+    A scalar written into a lambda would be computed again for every element, and an array used twice
+    would be built twice; as a lambda variable it is bound.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
 def l2_normalised(v: Column, eps: float = 1.0e-8) -> Column:
-    return scaled(v, F.lit(1.0) / F.greatest(norm(v), F.lit(eps)))
+    return let(v, lambda u: let(F.lit(1.0) / F.greatest(norm(u), F.lit(eps)), lambda k: scaled(u, k)))
 
 
 def without_projection(raw: Column, shared: Column, eps: float = 1.0e-8) -> Column:
     """(raw - shared) less its projection on shared; the denominator carries + eps."""
-    gap = minus(raw, shared)
-    factor = dot(shared, gap) / (dot(shared, shared) + F.lit(eps))
-    return F.zip_with(gap, shared, lambda g, s: g - factor * s)
+    return let(
+        minus(raw, shared),
+        lambda gap: let(
+            dot(shared, gap) / (dot(shared, shared) + F.lit(eps)), lambda factor: F.zip_with(gap, shared, lambda g, s: g - factor * s)
+        ),
+    )
 
 
 def vector_sum(v: Column) -> Column:

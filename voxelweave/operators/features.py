@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from voxelweave.functions.stats import hash_int
 from voxelweave.functions.vector import (
-    dot, doubles, l2_normalised, mean_of_two, norm, scaled, vector_sum, without_projection,
+    dot, doubles, l2_normalised, let, mean_of_two, norm, scaled, vector_sum, without_projection,
 )
 from voxelweave.operators.upserts import upsert_scope
 from voxelweave.schemas import LANGUAGES
@@ -30,7 +30,7 @@ def pool_tokens(tokens: DataFrame, keys: Sequence[str], *, normalise: bool = Tru
     rows = tokens.groupBy(*keys).agg(
         vector_sum(scaled(doubles(F.col("vec")), kept)).alias("_sum"), F.count(F.when(pooled, 1)).alias("n_tokens_pooled")
     )
-    mean = scaled(F.col("_sum"), F.lit(1.0) / F.greatest(F.col("n_tokens_pooled"), F.lit(1)))
+    mean = let(F.lit(1.0) / F.greatest(F.col("n_tokens_pooled"), F.lit(1)), lambda k: scaled(F.col("_sum"), k))
     vec = l2_normalised(mean, eps) if normalise else mean
     return rows.withColumn("vec", vec).drop("_sum")
 
@@ -238,7 +238,8 @@ def digest_encoder(dims: int = 8) -> Encoder:
     def apply(texts: DataFrame) -> DataFrame:
         hexes = F.transform(F.regexp_extract_all("text", F.lit(r"[^ \t\r\n]+"), F.lit(0)), lambda w: F.md5(w))
         summed = texts.withColumn("_hex", hexes).withColumn("_sum", F.array(*[component(i) for i in range(1, dims + 1)]))
-        mean = F.transform("_sum", lambda x: x / F.greatest(F.size("_hex"), F.lit(1)))
+        share = F.lit(1.0) / F.greatest(F.size("_hex"), F.lit(1))
+        mean = let(share, lambda k: scaled(F.col("_sum"), k))
         return summed.withColumn("vec", l2_normalised(mean)).drop("_hex", "_sum")
 
     return apply
