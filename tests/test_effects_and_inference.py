@@ -145,3 +145,10 @@ def test_dense_index_matches_order(spark):
 
 def test_null_correlations_stay_null(spark):
     assert spark.range(1).select(stats.fisher_z(F.lit(None).cast("double")).alias("z")).first().z is None
+
+
+@pytest.mark.parametrize("values", [[1.0], [2.0, 2.0, 2.0], list(np.round(np.random.default_rng(1).normal(size=301), 2)), [0.0] * 50 + [1e9]])
+def test_exact_percentiles(spark, values):
+    df = spark.createDataFrame([("g", float(v)) for v in values] + [("g", None), ("h", 3.0)], "k string, v double")
+    got = {r.k: r for r in stats.exact_percentiles(df, ["k"], "v", {"low": 0.025, "mid": 0.5, "high": 0.975}, buckets=16).collect()}
+    assert np.allclose([got["g"].low, got["g"].mid, got["g"].high], np.quantile(values, [0.025, 0.5, 0.975])) and got["h"].mid == 3.0

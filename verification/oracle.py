@@ -335,3 +335,5 @@ ORACLE["figure5_region_curves"] = f"""
 SELECT roi_stem, state, block_depth_norm, {r('avg(delta_z_mean)', 'delta_z_mean')} FROM v_group_deltas
 WHERE roi_stem IN ('AG', 'Heschl', 'IFGtri', 'pSTG') GROUP BY 1, 2, 3"""
 ORACLE["figure9_region_preference"] = f"SELECT roi_family, roi, {r('avg(delta_z_mean)', 'delta_z_mean')} FROM v_group_deltas GROUP BY 1, 2"
+ORACLE["price_percentiles"] = f"""
+SELECT l_returnflag, {r('quantile_cont(l_extendedprice, 0.025e0)', 'ci_low')}, {r('quantile_cont(l_extendedprice, 0.975e0)', 'ci_high')} FROM lineitem GROUP BY 1"""

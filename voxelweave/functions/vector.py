@@ -58,3 +58,17 @@ def vector_sum(v: Column) -> Column:
     """Element-wise SUM over a group, with map-side partial sums."""
     return vector_to_array(Summarizer.sum(array_to_vector(v)))
 
+
+def lanes(vec: Column, width: int) -> Column:
+    """A vector as consecutive slices of at most ``width`` values."""
+    return F.transform(F.sequence(F.lit(0), F.ceil(F.size(vec) / F.lit(width)).cast("int") - 1), lambda i: F.slice(vec, i * width + 1, F.lit(width)))
+
+
+def lane_sums(part: Column, width: int, weight: Column | None = None) -> list[Column]:
+    """Generated-code sums of every position of a slice; positions past its end give NULL."""
+    values = [F.get(part, F.lit(i)) for i in range(width)]
+    return [F.sum(v if weight is None else v * weight).alias(f"_{i}") for i, v in enumerate(values)]
+
+
+def lane_values(width: int) -> Column:
+    return F.filter(F.array(*[F.col(f"_{i}") for i in range(width)]), lambda v: v.isNotNull())

@@ -17,6 +17,7 @@ from voxelweave.functions.text import delete_span
 from voxelweave.functions.vector import dot, doubles, minus
 from voxelweave.operators.features import Encoder
 from voxelweave.schemas import H2, LANGUAGES
+from voxelweave.session import spread
 
 SETTING = ["model", "language", "block", "state"]
 FOLD = [*SETTING, "roi_family", "subject_id", "canonical_run"]
@@ -71,6 +72,7 @@ def single_word_mutations(words: DataFrame) -> DataFrame:
 def vector_changes(requests: DataFrame, states: DataFrame, encoder: Encoder, text: str = "mutated_text") -> DataFrame:
     """Half the change of the source vector for every mutated text; each distinct text is encoded once."""
     texts = requests.select(F.col("sentence_language").alias("language"), F.col(text).alias("text")).distinct()
+    texts = spread(texts, "text")
     vectors = encoder(texts).select(F.col("language").alias("sentence_language"), F.col("text").alias(text), "vec")
     encoded = requests.join(vectors, ["sentence_language", text]).drop(text)
     stored = states.select(F.col("language").alias("sentence_language"), "triplet_row_index", doubles(F.col("vec")).alias("_stored"))

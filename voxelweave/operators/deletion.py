@@ -11,7 +11,7 @@ from voxelweave.functions.text import delete_spans
 from voxelweave.functions.vector import dot
 from voxelweave.operators.attribution import FOLD, SETTING, vector_changes
 from voxelweave.operators.features import Encoder
-from voxelweave.session import cut
+from voxelweave.session import cut, spread
 
 SUBJECT = [*SETTING, "roi_family", "subject_id"]
 GROUP = [*SUBJECT, "triplet_row_index"]
@@ -44,7 +44,7 @@ def matching_plan(ranked: DataFrame, ks: Sequence[int], group: Sequence[str] = G
     A policy is feasible when each cell of the selection finds as many words in the pool. Counts are
     windows below (group, k), which one distribution by group serves; a group is one sentence.
     """
-    rows = ranked.repartition(*group).withColumn("k", F.explode(F.array(*[F.lit(int(k)) for k in ks])))
+    rows = spread(ranked, *group).withColumn("k", F.explode(F.array(*[F.lit(int(k)) for k in ks])))
     key = [*group, "k"]
     by_class, by_language, whole = (
         Window.partitionBy(*key, "sentence_language", "token_class"),

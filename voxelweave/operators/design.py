@@ -15,6 +15,8 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from voxelweave.functions.vector import lane_sums, lane_values, lanes
+
 
 def glover_kernel(fine_hz: float, seconds: float = 32.0) -> list[float]:
     """Published double-gamma haemodynamic response, sampled at ``fine_hz`` and scaled to sum 1."""
@@ -278,21 +280,15 @@ def design_rows(
     salted = packed.join(crowd, ["language", "canonical_run", "_bucket"]).withColumn(
         "_salt", F.pmod(F.xxhash64("triplet_row_index"), F.col("_salts"))
     )
-    lanes = F.transform(
-        F.sequence(F.lit(0), F.ceil(F.size("vec") / F.lit(lane)).cast("int") - 1), lambda i: F.slice("vec", i * lane + 1, F.lit(lane))
-    )
     spread = (
         salted.join(features, ["language", "triplet_row_index"])
-        .select(*keys, "_bucket", "_salt", "_weights", F.posexplode(lanes).alias("_lane", "_part"))
+        .select(*keys, "_bucket", "_salt", "_weights", F.posexplode(lanes(F.col("vec"), lane)).alias("_lane", "_part"))
         .repartition(*keys, "_bucket", "_salt", "_lane")
         .select(*keys, "_bucket", "_salt", "_lane", "_part", F.inline("_weights"))
     )
-    sums = [F.sum(F.get("_part", F.lit(i)) * F.col("weight")).alias(f"_{i}") for i in range(lane)]
-    partial = spread.groupBy(*keys, "_bucket", "_salt", "_lane", "scan").agg(*sums)
+    partial = spread.groupBy(*keys, "_bucket", "_salt", "_lane", "scan").agg(*lane_sums(F.col("_part"), lane, F.col("weight")))
     whole = partial.repartition(*keys, "scan").groupBy(*keys, "scan", "_lane").agg(*[F.sum(f"_{i}").alias(f"_{i}") for i in range(lane)])
-    # The last lane may be narrower; its unused sums are NULL.
-    values = F.filter(F.array(*[F.col(f"_{i}") for i in range(lane)]), lambda v: v.isNotNull())
-    parts = F.array_sort(F.collect_list(F.struct("_lane", values.alias("_values"))))
+    parts = F.array_sort(F.collect_list(F.struct("_lane", lane_values(lane).alias("_values"))))
     return whole.groupBy(*keys, "scan").agg(parts.alias("_p")).select(*keys, "scan", F.flatten(F.col("_p._values")).alias("x"))
 
 

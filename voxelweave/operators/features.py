@@ -10,12 +10,14 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from voxelweave.functions.stats import hash_int
 from voxelweave.functions.vector import (
-    dot, doubles, l2_normalised, let, mean_of_two, norm, scaled, vector_sum, without_projection,
+    dot, doubles, l2_normalised, lane_sums, lane_values, lanes, let, mean_of_two, norm, scaled, without_projection,
 )
 from voxelweave.operators.upserts import upsert_scope
 from voxelweave.schemas import LANGUAGES
+from voxelweave.session import spread
 
 GROUP = ["model", "block", "state"]
+LANE = 16
 
 
 def sources_of(target: str) -> tuple[str, str]:
@@ -25,14 +27,16 @@ def sources_of(target: str) -> tuple[str, str]:
 
 def pool_tokens(tokens: DataFrame, keys: Sequence[str], *, normalise: bool = True, eps: float = 1.0e-8) -> DataFrame:
     """Masked mean of token vectors (attended and not special); no pooled token gives the zero vector."""
-    pooled = F.col("attended") & ~F.col("special")
-    kept = F.when(pooled, F.lit(1.0)).otherwise(F.lit(0.0))
-    rows = tokens.groupBy(*keys).agg(
-        vector_sum(scaled(doubles(F.col("vec")), kept)).alias("_sum"), F.count(F.when(pooled, 1)).alias("n_tokens_pooled")
+    pooled = F.when(F.col("attended") & ~F.col("special"), F.lit(1.0)).otherwise(F.lit(0.0))
+    sliced = tokens.select(*keys, pooled.alias("_pooled"), F.posexplode(lanes(doubles(F.col("vec")), LANE)).alias("_lane", "_part"))
+    sums = sliced.groupBy(*keys, "_lane").agg(
+        *lane_sums(F.col("_part"), LANE, F.col("_pooled")), F.sum("_pooled").cast("bigint").alias("n_tokens_pooled")
     )
+    parts = F.array_sort(F.collect_list(F.struct("_lane", lane_values(LANE).alias("_values"))))
+    rows = sums.groupBy(*keys).agg(parts.alias("_p"), F.max("n_tokens_pooled").alias("n_tokens_pooled")).withColumn("_sum", F.flatten(F.col("_p._values")))
     mean = let(F.lit(1.0) / F.greatest(F.col("n_tokens_pooled"), F.lit(1)), lambda k: scaled(F.col("_sum"), k))
     vec = l2_normalised(mean, eps) if normalise else mean
-    return rows.withColumn("vec", vec).drop("_sum")
+    return rows.withColumn("vec", vec).drop("_sum", "_p")
 
 
 def reduced_precision(vec: Column, kind: str = "float32") -> Column:
@@ -220,7 +224,7 @@ def pandas_encoder(encode: Callable[[str, list[str]], np.ndarray], load: Callabl
 
 def encode_distinct(requests: DataFrame, encoder: Encoder) -> DataFrame:
     """Encode each distinct (language, text) once and hand the vector back to every request."""
-    texts = requests.select("language", "text").distinct()
+    texts = spread(requests.select("language", "text").distinct(), "text")
     return requests.join(encoder(texts), ["language", "text"])
 
 

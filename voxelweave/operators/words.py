@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from voxelweave.functions.text import (
-    EN_FUNCTION_WORDS, FR_FUNCTION_WORDS, LATIN_TOKENS, PUNCTUATION, WHITESPACE, ZH_TOKENS,
+    EN_FUNCTION_WORDS, FR_FUNCTION_WORDS, LATIN_TOKENS, PUNCTUATION, ZH_TOKENS,
 )
+from voxelweave.session import spread
 
 
 def segment_words(sentences: DataFrame, keys: Sequence[str], text: str = "text", language: str = "language") -> DataFrame:
@@ -18,11 +19,11 @@ def segment_words(sentences: DataFrame, keys: Sequence[str], text: str = "text",
     sentences are distributed by key once, before they are split; both windows reuse that layout and
     the exploded words are never shuffled.
     """
-    spread = sentences.repartition(*keys)
+    sentences = spread(sentences, *keys)
     pieces = F.when(
         F.col(language) == "ZH", F.regexp_extract_all(text, F.lit(ZH_TOKENS + r"|\s+"), F.lit(0))
     ).otherwise(F.regexp_extract_all(text, F.lit(LATIN_TOKENS + r"|\s+"), F.lit(0)))
-    rows = spread.select(*keys, F.col(language).alias("_lang"), F.posexplode(pieces).alias("_pos", "word_text"))
+    rows = sentences.select(*keys, F.col(language).alias("_lang"), F.posexplode(pieces).alias("_pos", "word_text"))
     rows = rows.withColumn("_word", ~F.col("word_text").rlike(r"(?U)^\s"))
     running = Window.partitionBy(*keys).orderBy("_pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = (

@@ -13,6 +13,7 @@ from voxelweave.functions.vector import dot, doubles
 from voxelweave.operators import design
 from voxelweave.operators.attribution import FOLD
 from voxelweave.operators.features import build_features, digest_encoder
+from voxelweave.session import spread
 
 # Fixed values of the event timeline: origin, run length, and the study clock (450 event seconds = 1 study second).
 ORIGIN = "2024-01-01 00:00:00"
@@ -350,7 +351,7 @@ def piece_offsets(text: Column, width: int = 4) -> Column:
 
 def token_rows(sentences: DataFrame, keys: list[str], width: int = 4) -> DataFrame:
     """Token table of fixed-width pieces with an md5-based vector per token; the first token is special."""
-    rows = sentences.select(*keys, "text", F.posexplode(piece_offsets(F.col("text"), width)).alias("token_index", "_span"))
+    rows = spread(sentences, *keys).select(*keys, "text", F.posexplode(piece_offsets(F.col("text"), width)).alias("token_index", "_span"))
     token = F.substring("text", F.col("_span.start") + 1, F.col("_span.end") - F.col("_span.start"))
     digit = lambda i: (F.instr(F.lit("0123456789abcdef"), F.substring("_h", i, 1)) - F.lit(8.5)) / F.lit(7.5)
     return (

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from voxelweave import checks
 from voxelweave.functions import stats
 from voxelweave.operators import effects, inference, manifests, upserts
 from voxelweave.plans import bindings as b, reports
-from voxelweave.schemas import H2
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -295,3 +294,9 @@ def figure5_region_curves(spark, sf):
 @query
 def figure9_region_preference(spark, sf):
     return rounded(reports.region_preference(effects.group_results(b.subject_results(spark, sf))))
+
+
+@query
+def price_percentiles(spark, sf):
+    """Exact percentiles of line prices per return flag."""
+    return rounded(stats.exact_percentiles(b.table(spark, sf, "lineitem"), ["l_returnflag"], "l_extendedprice", {"ci_low": 0.025, "ci_high": 0.975}))

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from voxelweave.checks import axis
+from voxelweave.functions.stats import exact_percentiles
 from voxelweave.functions.text import marker, roi_stem
 from voxelweave.operators.effects import group_region_deltas, real
 from voxelweave.schemas import HEATMAP_STATES, TABLE4_STEMS
+from voxelweave.session import cut
 
 TOLERANCE = 1.0e-5  # Fixed value: largest difference that counts as equal output.
 
@@ -101,13 +103,12 @@ def token_class_mass(attributions: DataFrame) -> DataFrame:
 
 def deletion_table(rows: DataFrame) -> DataFrame:
     """Table 6: mean effects and the 2.5 / 97.5 percentiles over subjects."""
-    return rows.groupBy("model", "language", "roi_family", "k").agg(
-        F.avg("delta_topk").alias("effect_topk"),
-        F.avg("delta_random").alias("effect_random"),
-        F.avg("delta_diff").alias("diff"),
-        F.percentile("delta_diff", F.lit(0.025)).alias("ci_low"),
-        F.percentile("delta_diff", F.lit(0.975)).alias("ci_high"),
+    keys = ["model", "language", "roi_family", "k"]
+    rows = cut(rows)  # read for the means and for the percentiles
+    means = rows.groupBy(*keys).agg(
+        F.avg("delta_topk").alias("effect_topk"), F.avg("delta_random").alias("effect_random"), F.avg("delta_diff").alias("diff")
     )
+    return means.join(exact_percentiles(rows, keys, "delta_diff", {"ci_low": 0.025, "ci_high": 0.975}), keys)
 
 
 def baseline_deltas(refresh: DataFrame | None, fallback: DataFrame | None = None) -> DataFrame | None:

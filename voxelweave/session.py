@@ -12,6 +12,8 @@ RECOMMENDED_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Stages multiply small shuffles (words, draws, scans), so they are not merged down to single tasks.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "128k",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
@@ -53,3 +55,12 @@ def cut(df: DataFrame) -> DataFrame:
     """Write a stage that several consumers read, so it is computed once and survives lost executors."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-distribute by ``keys`` over all shuffle partitions.
+
+    For steps that multiply rows or work after the shuffle (splitting texts, drawing samples): adaptive
+    execution would merge the small input into few tasks, so the partition count is fixed here.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
