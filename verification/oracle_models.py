@@ -130,8 +130,9 @@ FROM (SELECT *, CASE WHEN min(CAST(pool_c >= need_c AS INTEGER)) OVER (PARTITION
 
 
 VIEWS["v_plan"] = plan("[1, 2]")
-VIEWS["v_plan40"] = plan("[1, 2, 40]")
-ORACLE["matching_plan"] = f"SELECT {KEY}, triplet_row_index, k, {WORD}, selected, policy, eligible, need, cell FROM v_plan40"
+ORACLE["matching_plan"] = f"""
+SELECT {KEY}, triplet_row_index, k, policy, cell, need, count(*) AS n_words, count(*) FILTER (eligible) AS n_eligible, count(*) FILTER (selected) AS n_selected
+FROM v_plan GROUP BY language, roi_family, subject_id, triplet_row_index, k, policy, cell, need"""
 HASH = """md5('1337|m0|' || language || '|0|OUTPUT|' || roi_family || '|' || subject_id || '|' || triplet_row_index || '|' || k || '|' || draw || '|' || sentence_language
   || '|' || word_index || '|' || word_char_start || '|' || word_char_end)"""
 VIEWS["v_sampled"] = f"""

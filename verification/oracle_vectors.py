@@ -134,7 +134,7 @@ SELECT triplet_id, triplet_row_index, canonical_run, en_text, fr_text, zh_text,
 VIEWS["v_subset"] = """
 SELECT target_language, CAST(canonical_run AS BIGINT) AS canonical_run, CAST(triplet_id AS VARCHAR) AS triplet_id, triplet_row_index, 'strict' AS token_subset_name,
   CAST(rank AS INTEGER) AS token_subset_rank
-FROM (SELECT *, row_number() OVER (PARTITION BY canonical_run ORDER BY triplet_row_index) AS rank FROM v_story), v_targets3 WHERE rank <= 4"""
+FROM (SELECT *, row_number() OVER (PARTITION BY canonical_run ORDER BY triplet_row_index) AS rank FROM v_story), v_targets3 WHERE rank <= 15"""
 ORACLE["token_subset"] = "FROM v_subset"
 ORACLE["subset_triplets"] = f"""
 SELECT u.target_language, u.canonical_run, u.triplet_id, u.token_subset_rank, s.en_text, {r('s.place', 'en_onset_sec')}
@@ -172,13 +172,13 @@ SELECT conv_id, turn, CAST(count(*) AS INTEGER) AS sequence_length, CAST(count(*
   CAST(('0x' || substr(md5(arg_max(substr(text, s + 1, e - s), i)), 1, 6))::BIGINT AS INTEGER) AS last_token_id, CAST(max(e) AS INTEGER) AS last_end
 FROM v_turn_pieces GROUP BY 1, 2"""
 ORACLE["mapping_failures"] = """
-WITH s AS (SELECT triplet_row_index, language AS sentence_language, CASE WHEN language = 'ZH' AND triplet_row_index % 5 = 0 THEN 'missing_token_metadata'
-    WHEN triplet_row_index % 7 = 0 THEN 'offset_mapping_failed' END AS reason FROM v_story_rows)
+WITH s AS (SELECT triplet_row_index, language AS sentence_language, CASE WHEN contains(text, '?') THEN 'missing_token_metadata'
+    WHEN contains(text, chr(10)) THEN 'offset_mapping_failed' END AS reason FROM v_story_rows)
 SELECT triplet_row_index, sentence_language, -1 AS word_index, '' AS word_text, -1 AS word_char_start, -1 AS word_char_end, reason AS failure_reason, 'FAILED' AS mapping_status
 FROM s WHERE reason IS NOT NULL
 UNION ALL SELECT w.triplet_row_index, language, word_index, word_text, word_char_start, word_char_end, 'offset_mapping_failed', 'FAILED'
 FROM v_story_words w JOIN s ON s.triplet_row_index = w.triplet_row_index AND s.sentence_language = w.language
-WHERE s.reason IS NULL AND word_char_start >= 20"""
+WHERE s.reason IS NULL AND word_char_start // 4 = (word_char_end - 1) // 4 AND (word_char_start // 4) % 3 = 2"""
 
 
 def encoded(source: str, keys: str) -> str:

@@ -20,6 +20,7 @@ ORIGIN = "2024-01-01 00:00:00"
 RUN_MICROS = 5 * 86400 * 1_000_000
 MICROS_PER_SECOND = 450 * 1_000_000
 N_SCANS = 480
+TRIPLETS_PER_RUN = 15  # Fixed value: size of the token subset of a run.
 CLOCK = design.ScanClock(tr=2.0, fine_hz=7.5, kernel=tuple(design.glover_kernel(7.5)))
 ENCODER_DIMS = 8
 

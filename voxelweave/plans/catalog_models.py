@@ -113,7 +113,7 @@ def _story_parts(spark, sf):
 
 def _story_words(parts):
     """Candidate words of the subset sentences, for both targets that read them."""
-    subset = words.token_subset(parts["story"], 4, "strict", ("EN", "FR", "ZH"))
+    subset = words.token_subset(parts["story"], b.TRIPLETS_PER_RUN, "strict", ("EN", "FR", "ZH"))
     keys = ["triplet_row_index", "sentence_language"]
     sentences = parts["texts"].join(subset.select("triplet_row_index").distinct(), "triplet_row_index")
     metadata = sentences.select(*keys, "text", F.lit(True).alias("has_offset_mapping"), b.piece_offsets(F.col("text")).alias("char_offsets"))
@@ -179,9 +179,11 @@ def top_words(spark, sf):
 
 @query
 def matching_plan(spark, sf):
-    """Policy, cell and need of every candidate word for each k."""
-    plan = deletion.matching_plan(deletion.rank_words(_story_attributions(spark, sf)[0]), (1, 2, 40))
-    return plan.select(*deletion.GROUP, "k", *deletion.WORD, "selected", "policy", "eligible", F.col("need").cast("bigint").alias("need"), "cell")
+    """Policy, and words, eligible words and need of every cell, for each sentence and k."""
+    plan = deletion.matching_plan(deletion.rank_words(_story_attributions(spark, sf)[0]), KS)
+    return plan.groupBy(*deletion.GROUP, "k", "policy", "cell", F.col("need").cast("bigint").alias("need")).agg(
+        F.count(F.lit(1)).alias("n_words"), F.count(F.when(F.col("eligible"), 1)).alias("n_eligible"), F.count(F.when(F.col("selected"), 1)).alias("n_selected")
+    )
 
 
 @query
@@ -228,7 +230,7 @@ def figure8_curves(spark, sf):
 @query
 def adaptive_subjects(spark, sf):
     """Subjects that go on to k = 3; differences come from lineitem discounts."""
-    rows = b.table(spark, sf, "lineitem").where("l_linenumber <= 3").groupBy(
+    rows = b.table(spark, sf, "lineitem").groupBy(
         F.concat(F.lit("S"), F.col("l_suppkey")).alias("subject_id"), F.col("l_linestatus").alias("model"), F.col("l_returnflag").alias("language"),
         F.lit("SEMANTIC").alias("roi_family"), F.lit(0).alias("representative_block"), F.lit("OUTPUT").alias("representative_state"),
         F.col("l_linenumber").alias("k"),
