@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxelweave.llm import simhash_vptree
+from voxelweave.llm import decontamination, simhash_vptree, toxicity
 from voxelweave.llm.common import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,3 +22,18 @@ def query(fn: Query) -> Query:
 @query
 def op9_simhash_near_dedup(spark, sf_dir):
     return simhash_vptree.near_duplicates(tables(spark, sf_dir)("documents"))
+
+
+@query
+def op7_decontamination(spark, sf_dir):
+    table = tables(spark, sf_dir)
+    return decontamination.contamination(table("documents"), table("benchmark"))
+
+
+ORACLE["op7_decontamination"] = decontamination.ORACLE_SQL
+
+
+@query
+def op1_toxicity(spark, sf_dir):
+    table = tables(spark, sf_dir)
+    return toxicity.scores(table("documents"), toxicity.fit(table("documents"), table("labels")))
