@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxelweave.llm import decontamination, simhash_vptree, toxicity
+from voxelweave.llm import decontamination, mixing, simhash_vptree, toxicity, url_templates
 from voxelweave.llm.common import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,3 +37,20 @@ ORACLE["op7_decontamination"] = decontamination.ORACLE_SQL
 def op1_toxicity(spark, sf_dir):
     table = tables(spark, sf_dir)
     return toxicity.scores(table("documents"), toxicity.fit(table("documents"), table("labels")))
+
+
+@query
+def op5_source_mixing(spark, sf_dir):
+    return mixing.mix(tables(spark, sf_dir)("documents"))
+
+
+ORACLE["op5_source_mixing"] = mixing.ORACLE_SQL
+
+
+@query
+def op6_url_templates(spark, sf_dir):
+    table = tables(spark, sf_dir)
+    return url_templates.judge(table("pages"), table("labels"))
+
+
+ORACLE["op6_url_templates"] = url_templates.oracle_sql()
