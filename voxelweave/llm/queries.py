@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from voxelweave.llm import decontamination, mixing, simhash_vptree, toxicity, url_templates
+from voxelweave.llm import decontamination, licences, line_winnowing, mixing, simhash_vptree, toxicity, url_templates
 from voxelweave.llm.common import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,3 +54,20 @@ def op6_url_templates(spark, sf_dir):
 
 
 ORACLE["op6_url_templates"] = url_templates.oracle_sql()
+
+
+@query
+def op8_line_winnowing(spark, sf_dir):
+    cleaned = line_winnowing.deduplicate_lines(tables(spark, sf_dir)("documents"))
+    return cleaned.select("doc_id", "n_lines", "n_removed", F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed"), F.md5("text").alias("text_md5"))
+
+
+ORACLE["op8_line_winnowing"] = line_winnowing.ORACLE_SQL
+
+
+@query
+def op10_licence_scan(spark, sf_dir):
+    return licences.scan(tables(spark, sf_dir)("documents"))
+
+
+ORACLE["op10_licence_scan"] = licences.oracle_sql()
