@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from voxelweave.llm import decontamination, licences, line_winnowing, mixing, simhash_vptree, toxicity, url_templates
+from voxelweave.llm import audio_features, compression_quality, decontamination, licences, line_winnowing, mixing, simhash_vptree, token_files, toxicity, url_templates
 from voxelweave.llm.common import tables
 
+TOKENIZER = "byte_bpe_50k.json"
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
@@ -71,3 +72,21 @@ def op10_licence_scan(spark, sf_dir):
 
 
 ORACLE["op10_licence_scan"] = licences.oracle_sql()
+
+
+@query
+def op2_token_files(spark, sf_dir):
+    import public_tokenizers
+
+    return token_files.token_index(tables(spark, sf_dir)("documents"), public_tokenizers.path(TOKENIZER))
+
+
+@query
+def op3_audio_features(spark, sf_dir):
+    return audio_features.digest(audio_features.document_audio(tables(spark, sf_dir)("documents")))
+
+
+@query
+def op4_compression_quality(spark, sf_dir):
+    table = tables(spark, sf_dir)
+    return compression_quality.scores(table("documents"), compression_quality.fit(table("documents"), table("labels")))
