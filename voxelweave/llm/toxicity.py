@@ -69,12 +69,13 @@ def grams(texts: list[bytes], bits: int) -> Grams:
 
 def half_sums(values: np.ndarray, g: Grams) -> np.ndarray:
     """Sum over the half-bags of a value for each byte."""
-    return np.add.reduceat(values, g.half_starts) if len(g.half_starts) else np.empty(0)
+    return np.add.reduceat(values, g.half_starts, dtype=float) if len(g.half_starts) else np.empty(0)
 
 
 def bag_means(weight: np.ndarray, g: Grams) -> np.ndarray:
     """Mean bucket weight of the bag that begins with each half-bag; a text's last half-bag belongs to the one before too."""
-    total, count = np.zeros(g.ids.shape[1]), np.zeros(g.ids.shape[1])
+    total, count = np.zeros(g.ids.shape[1], np.float32), np.zeros(g.ids.shape[1], np.float32)
+    weight = weight.astype(np.float32, copy=False)
     for row in g.ids:
         total += weight[row]
         count += row < len(weight) - 1
@@ -149,7 +150,7 @@ def train(texts: list[str], labels: np.ndarray, bits: int = 18, width: int = 8,
     table[-1] = 0
     seen_table, seen_softmax = np.full((1 << bits) + 1, 1e-8), np.full(width, 1e-8)
     balance = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())) / len(y)
-    counts = half_sums(sum((row < 1 << bits).astype(float) for row in g.ids), g)
+    counts = half_sums(sum((row < 1 << bits).astype(np.float32) for row in g.ids), g)
     same = np.append(g.half_text[1:] == g.half_text[:-1], False)
     nxt = np.flatnonzero(same) + 1
     size = counts.copy()
@@ -215,7 +216,7 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, sample_
     return found["text"].tolist(), found["label"].to_numpy(float)
 
 
-def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", sample_rows: int = 4_000, train_chars: int = 8_000, **how) -> Model:
+def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", sample_rows: int = 4_000, train_chars: int = 6_000, **how) -> Model:
     """Model from a bounded sample of the labelled rows whose fold is not 1, calibrated to the rate of label 1 among all of them."""
     texts, y = labelled_sample(documents, labels, label, sample_rows, train_chars)
     model = train(texts, y, **how)
