@@ -129,7 +129,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def train(texts: list[str], labels: np.ndarray, bits: int = 18, width: int = 8, rounds: int = 15, worst_rounds: int = 45, rate: float = 1.0, seed: int = 42) -> Model:
+def train(texts: list[str], labels: np.ndarray, bits: int = 18, width: int = 8, rounds: int = 15, worst_rounds: int = 45, rate: float = 3.0, seed: int = 42) -> Model:
     """Embeddings (2**bits x width) and a two-class softmax by full-batch AdaGrad; a fifth of the rows only calibrates.
 
     The gradient of a bucket's embedding is the softmax difference times a scalar, the summed error of the bags it is in,
