@@ -28,8 +28,8 @@ TEXTS = [
 def test_chunks_give_the_tokenizer_s_ids(tokenizer, piece):
     coder = tf.ChunkEncoder(PATH, kept=40)
     rng = random.Random(2)
-    alphabet = list("ab'  \n\n.,1é漢") + ["the", " the", "'s"]
-    texts = TEXTS + ["".join(rng.choice(alphabet) for _ in range(rng.randrange(40))) for _ in range(300)]
+    alphabet = list("ab'  \n\n.,1é漢!*-") + ["the", " the", "'s", "x.'", "'.", "ª", "×"]
+    texts = TEXTS + ["".join(rng.choice(alphabet) for _ in range(rng.randrange(40))) for _ in range(2000)]
     for text in texts:
         assert np.frombuffer(coder.encode(text, piece), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
 

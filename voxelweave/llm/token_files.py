@@ -25,6 +25,7 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,7 +41,8 @@ MAGIC, HEADER, SAMPLE = b"EFTOKEN1", struct.Struct("<8s6I"), 256
 MANIFEST = "part int, number int, path string, documents long, ids long"
 #: Text with other white space than blanks and line feeds, or with a special token, goes to the tokenizer as a whole.
 UNSPLIT = re.compile(r"[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f\u2060\u3000\ufeff]|<\|")
-CHUNKS = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
+#: A word up to a definite end of it, or a run without white space; with the white space before.
+CHUNKS = re.compile(r"[ \n]?[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[ \n.,!*#%&$|]|$)|[ \n]*[^ \n]+|[ \n]+")
 RUN = re.compile(r"(?<=[^ \n])[ \n]")
 
 
@@ -49,20 +51,21 @@ RUN = re.compile(r"(?<=[^ \n])[ \n]")
 class ChunkEncoder:
     """Ids of texts by a byte-level BPE of the tokenizers library, which sees each distinct chunk once.
 
-    Such a tokenizer never joins across the begin of a white-space run, so a text may be cut there; chunks (a run of blanks
-    with the word behind it) repeat, and their ids are kept. At most ``kept`` chunks are held.
+    Such a tokenizer never joins across the begin of a white-space run, nor a letter with a mark behind it (but for an
+    apostrophe), so a text may be cut there; chunks repeat, and their ids are kept. Two generations of at most ``kept`` chunks
+    are held: when the young one is full it becomes the old one, from which chunks still in use come back.
     """
 
-    def __init__(self, path: str, kept: int = 300_000):
+    def __init__(self, path: str, kept: int = 600_000):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.id_bytes = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.kept, self.known = kept, {}
+        self.kept, self.young, self.old = kept, {}, {}
 
     def _plain(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, text: str | None, piece: int = 1 << 20) -> bytes:
         """Ids as little-endian unsigned 32-bit numbers."""
@@ -81,14 +84,15 @@ class ChunkEncoder:
     def _piece(self, text: str) -> bytes:
         chunks = CHUNKS.findall(text)
         try:
-            return b"".join([self.known[c] for c in chunks])
+            return b"".join([self.young[c] for c in chunks])
         except KeyError:
-            missing = list({c for c in chunks if c not in self.known})
-            if len(self.known) + len(missing) > self.kept:
-                self.known.clear()
-                missing = list(set(chunks))
-            self.known.update(zip(missing, self._plain(missing)))
-            return b"".join([self.known[c] for c in chunks])
+            missing = {c for c in chunks if c not in self.young}
+            if len(self.young) + len(missing) > self.kept:
+                self.old, self.young, missing = self.young, {}, set(chunks)
+            self.young.update((c, self.old[c]) for c in missing if c in self.old)
+            unknown = [c for c in missing if c not in self.old]
+            self.young.update(zip(unknown, self._plain(unknown)))
+            return b"".join([self.young[c] for c in chunks])
 
 
 @functools.lru_cache(maxsize=2)
