@@ -166,7 +166,7 @@ def local_links(node: np.ndarray, max_bits: int, block: int = 256) -> tuple[np.n
     return np.concatenate([none, *child]), np.concatenate([none, *parent])
 
 
-def links(distinct: DataFrame, max_bits: int = 4, blocks: int = 3, sample_rows: int = 131_072, leaf_rows: int = 1_024, shard_rows: int = 8_192) -> DataFrame:
+def links(distinct: DataFrame, max_bits: int = 4, blocks: int = 3, sample_rows: int = 131_072, leaf_rows: int = 1_024, shard_rows: int = 3_072) -> DataFrame:
     """Star edges (u, v) whose closure equals that of all pairs at ``max_bits`` or fewer bits.
 
     ``distinct``: stored table with a column ``bits`` of distinct fingerprints, which are the nodes. ``sample_rows`` bounds what is fitted on the driver,
