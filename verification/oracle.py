@@ -126,12 +126,12 @@ SELECT 'C' || o_custkey AS subject_id, CASE o_custkey % 4 WHEN 0 THEN 'EN' WHEN
   CASE WHEN o_orderkey % 2 = 0 THEN '/abs/' ELSE '/data/rel/' END || o_orderkey AS bold_path,
   o_orderstatus = 'F' AS valid_preproc_bold, floor(o_totalprice / 1000) > 0 AS valid_n_trs,
   o_orderstatus = 'F' AND floor(o_totalprice / 1000) > 0 AS is_valid
-FROM orders WHERE o_orderstatus <> 'O'"""
+FROM orders"""
 VIEWS["v_rois"] = """
 SELECT 'C' || o_custkey AS subject_id, CASE o_custkey % 4 WHEN 0 THEN 'EN' WHEN 1 THEN 'FR' WHEN 2 THEN 'ZH' END AS language,
   CAST(month(o_orderdate) % 9 + 1 AS INTEGER) AS canonical_run, 'roi/' || o_orderkey AS roi_timeseries_path,
   CAST(floor(o_totalprice / 1000) AS INTEGER) AS n_scans, 18 AS n_rois
-FROM orders WHERE o_orderstatus <> 'P' AND o_custkey % 4 < 3"""
+FROM orders WHERE o_custkey % 4 < 3"""
 VIEWS["v_sample0"] = """
 SELECT coalesce(a.language, z.language) AS language, coalesce(a.subject_id, z.subject_id) AS subject_id,
   coalesce(n_canonical_runs, 0) AS n_canonical_runs, coalesce(all_runs_valid, false) AS all_runs_valid, coalesce(n_trs_total, 0) AS n_trs_total,
@@ -243,10 +243,10 @@ FROM v_contrasts GROUP BY 1, 2, 3"""
 VIEWS["v_flips"] = """
 SELECT model, language, hypothesis, hb * 32 + pos - 1 AS draw,
   avg(CASE WHEN substr(md5('1337|' || model || '|' || language || '|' || hypothesis || '|perm|' || subject_id || '|' || hb), pos, 1) >= '8' THEN 1e0 ELSE -1e0 END * effect_value) AS permuted_mean
-FROM v_contrasts, (SELECT unnest(range(7)) AS hb), (SELECT unnest(range(1, 33)) AS pos) WHERE hb * 32 + pos - 1 < 200 GROUP BY 1, 2, 3, 4"""
+FROM v_contrasts, (SELECT unnest(range(313)) AS hb), (SELECT unnest(range(1, 33)) AS pos) WHERE hb * 32 + pos - 1 < 10000 GROUP BY 1, 2, 3, 4"""
 VIEWS["v_signflip"] = """
 SELECT model, language, hypothesis, any_value(effect_mean) AS observed_mean, avg(permuted_mean) AS permuted_mean, stddev_samp(permuted_mean) AS permuted_std,
-  (1 + count(*) FILTER (round(permuted_mean, 12) >= round(effect_mean, 12))) / 201e0 AS p_raw, any_value(n_subjects) AS n_subjects
+  (1 + count(*) FILTER (round(permuted_mean, 12) >= round(effect_mean, 12))) / 10001e0 AS p_raw, any_value(n_subjects) AS n_subjects
 FROM v_flips JOIN v_summary USING (model, language, hypothesis) GROUP BY 1, 2, 3"""
 VIEWS["v_slots"] = """
 SELECT model, language, hypothesis, effect_value,
@@ -255,8 +255,8 @@ SELECT model, language, hypothesis, effect_value,
 VIEWS["v_boot"] = """
 SELECT model, language, hypothesis, draw, avg(s.effect_value) AS sample_mean FROM (
   SELECT model, language, hypothesis, draw,
-    ('0x' || substr(md5('1337|' || model || '|' || language || '|' || hypothesis || '|boot|' || draw || '|' || slot), 1, 8))::BIGINT % n AS pick
-  FROM v_slots, (SELECT unnest(range(100)) AS draw)) p JOIN v_slots s USING (model, language, hypothesis)
+    ('0x' || substr(md5('1337|' || model || '|' || language || '|' || hypothesis || '|boot|' || draw || '|' || slot // 4), 8 * (slot % 4) + 1, 8))::BIGINT % n AS pick
+  FROM v_slots, (SELECT unnest(range(10000)) AS draw)) p JOIN v_slots s USING (model, language, hypothesis)
 WHERE s.slot = p.pick GROUP BY 1, 2, 3, 4"""
 VIEWS["v_interval"] = """
 SELECT model, language, hypothesis, quantile_cont(sample_mean, 0.025e0) AS ci_low, quantile_cont(sample_mean, 0.975e0) AS ci_high,
@@ -274,7 +274,7 @@ ORACLE["sign_flip_tests"] = f"SELECT {CELL}, {rs('observed_mean', 'permuted_mean
 ORACLE["bootstrap_intervals"] = f"""
 SELECT {CELL}, {rs('ci_low', 'ci_high', 'bootstrap_mean', 'bootstrap_std')}, n_subjects FROM v_interval JOIN v_summary USING ({CELL})"""
 ORACLE["primary_effects"] = f"""
-SELECT {CELL}, {rs('effect_mean', 'ci_low', 'ci_high', 'p_raw', 'p_holm')}, n_subjects, 200::BIGINT AS permutation_count, 100::BIGINT AS bootstrap_count,
+SELECT {CELL}, {rs('effect_mean', 'ci_low', 'ci_high', 'p_raw', 'p_holm')}, n_subjects, 10000::BIGINT AS permutation_count, 10000::BIGINT AS bootstrap_count,
   {r('sd / sqrt(n_subjects)', 'se')}, {r('CASE WHEN sd > 0 THEN effect_mean / sd ELSE 0 END', 'dz')} FROM v_primary"""
 ORACLE["primary_coverage"] = f"""
 WITH want AS (SELECT model, language, hypothesis FROM (SELECT unnest(['xlmr', 'nllb', 'other']) AS model), (SELECT unnest(['EN', 'FR']) AS language),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from verification.oracle import EN_FUNCTION_WORDS, FR_FUNCTION_WORDS, ORACLE, VIEWS, glover_kernel, r, rs
 
-KERNEL = "[" + ", ".join(repr(v) for v in glover_kernel(7.5)) + "]::DOUBLE[]"
+KERNEL = "[" + ", ".join(repr(v) for v in glover_kernel(10.0)) + "]::DOUBLE[]"
 
 # ------------------------------------------------------------------ vectors
 VIEWS["v_states"] = """
@@ -56,14 +56,14 @@ VIEWS["v_derange"] = """
 SELECT language, shuffle_index, canonical_run, triplet_row_index,
   coalesce(lead(triplet_row_index) OVER w, first_value(triplet_row_index) OVER w) AS permuted_row_index
 FROM (SELECT *, md5('1337|' || language || '|' || shuffle_index || '|' || canonical_run || '|' || triplet_row_index) AS h
-  FROM (SELECT language, block AS canonical_run, triplet_row_index FROM v_states), (SELECT CAST(unnest(range(3)) AS INTEGER) AS shuffle_index))
+  FROM (SELECT language, block AS canonical_run, triplet_row_index FROM v_states), (SELECT CAST(unnest(range(20)) AS INTEGER) AS shuffle_index))
 WINDOW w AS (PARTITION BY language, shuffle_index, canonical_run ORDER BY h, triplet_row_index)"""
 ORACLE["run_derangements"] = "FROM v_derange"
 ORACLE["mismatched_shared"] = f"""
 WITH d AS (SELECT target_language, block, shuffle_index, triplet_row_index,
     coalesce(lead(triplet_row_index) OVER w, first_value(triplet_row_index) OVER w) AS permuted
   FROM (SELECT *, md5('1337|' || target_language || '|' || shuffle_index || '|' || block || '|' || triplet_row_index) AS h
-    FROM v_shared, (SELECT CAST(unnest(range(2)) AS INTEGER) AS shuffle_index))
+    FROM v_shared, (SELECT CAST(unnest(range(20)) AS INTEGER) AS shuffle_index))
   WINDOW w AS (PARTITION BY target_language, shuffle_index, block ORDER BY h, triplet_row_index))
 SELECT 'm0' AS model, d.block, 'OUTPUT' AS state, d.target_language, shuffle_index, d.triplet_row_index, {r('list_dot_product(p.shared, o.shared)', 'overlap')}
 FROM d JOIN v_shared p ON p.target_language = d.target_language AND p.triplet_row_index = d.permuted
@@ -118,8 +118,9 @@ SELECT w.conv_id, w.turn, word_index, word_text, word_char_start, word_char_end,
 FROM v_turn_words w LEFT JOIN v_turn_pieces p ON p.conv_id = w.conv_id AND p.turn = w.turn AND e > s AND s < word_char_end AND e > word_char_start
 GROUP BY 1, 2, 3, 4, 5, 6, 7, 8"""
 VIEWS["v_story0"] = """
-SELECT conv_id * 1000 + turn // 3 AS triplet_id, max(text) FILTER (turn % 3 = 0) AS en_text, max(text) FILTER (turn % 3 = 1) AS fr_text,
-  max(text) FILTER (turn % 3 = 2) AS zh_text FROM conversations GROUP BY 1 HAVING count(DISTINCT turn % 3) FILTER (text IS NOT NULL) = 3"""
+SELECT n // 3 AS triplet_id, max(text) FILTER (n % 3 = 0) AS en_text, max(text) FILTER (n % 3 = 1) AS fr_text,
+  max(text) FILTER (n % 3 = 2) AS zh_text FROM (SELECT *, row_number() OVER (ORDER BY conv_id, turn) - 1 AS n FROM conversations)
+GROUP BY 1 HAVING count(DISTINCT n % 3) FILTER (text IS NOT NULL) = 3"""
 VIEWS["v_story"] = """
 SELECT *, CAST(triplet_row_index % 6 + 1 AS INTEGER) AS canonical_run, CAST((triplet_row_index // 6) * 5 % 930 AS DOUBLE) AS place
 FROM (SELECT *, row_number() OVER (ORDER BY triplet_id) - 1 AS triplet_row_index FROM v_story0)"""
@@ -163,7 +164,7 @@ SELECT page_id, CASE WHEN s = '' THEN 'na' ELSE s END AS slug
 FROM (SELECT page_id, lower(trim(regexp_replace(trim(url), '[^A-Za-z0-9]+', '_', 'g'), '_')) AS s FROM pages)"""
 DIGIT = "(instr('0123456789abcdef', substr({h}, {d}, 1)) - 8.5e0) / 7.5e0"
 ORACLE["pooled_tokens"] = f"""
-WITH tok AS (SELECT conv_id, turn, md5(substr(text, s + 1, e - s)) AS h FROM v_turn_pieces WHERE i > 0),
+WITH tok AS (SELECT conv_id, turn, sha256(substr(text, s + 1, e - s)) AS h FROM v_turn_pieces WHERE i > 0),
 means AS (SELECT conv_id, turn, d, count(*) AS n, avg({DIGIT.format(h='h', d='d + 1')}) AS m FROM tok, (SELECT unnest(range(8)) AS d) GROUP BY 1, 2, 3)
 SELECT conv_id, turn, n AS n_tokens_pooled, CAST(d AS INTEGER) AS dim, {r('m / greatest(sqrt(sum(m * m) OVER (PARTITION BY conv_id, turn)), 1e-8)', 'value')} FROM means"""
 ORACLE["token_metadata"] = """
@@ -182,11 +183,11 @@ WHERE s.reason IS NULL AND word_char_start // 4 = (word_char_end - 1) // 4 AND (
 
 
 def encoded(source: str, keys: str) -> str:
-    """Unit-length mean of md5 digits over the blank-separated words of ``source`` (keys, text), in long form."""
+    """Unit-length mean of SHA-256 digits over the blank-separated words of ``source`` (keys, text), in long form."""
     return f"""
 SELECT {keys}, d, m / greatest(sqrt(sum(m * m) OVER (PARTITION BY {keys})), 1e-8) AS v FROM (
   SELECT {keys}, d, coalesce(avg({DIGIT.format(h='h', d='d + 1')}), 0e0) AS m FROM (
-    SELECT {keys}, unnest(CASE WHEN len(w) = 0 THEN [NULL] ELSE list_transform(w, lambda x: md5(x)) END) AS h FROM (
+    SELECT {keys}, unnest(CASE WHEN len(w) = 0 THEN [NULL] ELSE list_transform(w, lambda x: sha256(x)) END) AS h FROM (
       SELECT {keys}, regexp_extract_all(text, '[^ \\t\\r\\n]+') AS w FROM {source})), (SELECT unnest(range(8)) AS d) GROUP BY {keys}, d)"""
 
 
@@ -200,7 +201,7 @@ step AS (SELECT lang, position, cost AS fill, 0::BIGINT AS batch_index FROM p WH
 SELECT lang, position, batch_index FROM step"""
 
 # ------------------------------------------------------------------ timeline and design
-VIEWS["v_kernel"] = f"SELECT lag, h, sum(h) OVER (ORDER BY lag) AS hsum FROM (SELECT unnest(range(240)) AS lag, unnest({KERNEL}) AS h)"
+VIEWS["v_kernel"] = f"SELECT lag, h, sum(h) OVER (ORDER BY lag) AS hsum FROM (SELECT unnest(range(320)) AS lag, unnest({KERNEL}) AS h)"
 VIEWS["v_events"] = """
 SELECT event_id, user_id, event_type, value, CAST(us // 432000000000 + 1 AS INTEGER) AS canonical_run, (us % 432000000000) / 450000000e0 AS t,
   CASE event_id % 3 WHEN 0 THEN 'EN' WHEN 1 THEN 'FR' ELSE 'ZH' END AS language
@@ -214,10 +215,10 @@ SELECT language, canonical_run, event_id AS triplet_row_index, t AS onset_sec, t
 def basis(timing: str) -> str:
     return f"""
 SELECT t.language, t.canonical_run, CAST(s.scan AS INTEGER) AS scan, t.triplet_row_index,
-  coalesce(a.hsum, 1e0) - coalesce(z.hsum, CASE WHEN s.scan * 15 < off_ THEN 0e0 ELSE 1e0 END) AS weight
-FROM (SELECT *, least(greatest(on_ + 1, ceil(offset_sec * 7.5e0)), 7200) AS off_ FROM (SELECT *, greatest(0, floor(onset_sec * 7.5e0)) AS on_ FROM {timing})) t
-JOIN (SELECT unnest(range(480)) AS scan) s ON s.scan * 15 >= on_ AND s.scan * 15 < off_ + 239
-LEFT JOIN v_kernel a ON a.lag = s.scan * 15 - on_ LEFT JOIN v_kernel z ON z.lag = s.scan * 15 - off_ WHERE on_ < off_"""
+  coalesce(a.hsum, 1e0) - coalesce(z.hsum, CASE WHEN s.scan * 20 < off_ THEN 0e0 ELSE 1e0 END) AS weight
+FROM (SELECT *, least(greatest(on_ + 1, ceil(offset_sec * 10e0)), 9600) AS off_ FROM (SELECT *, greatest(0, floor(onset_sec * 10e0)) AS on_ FROM {timing})) t
+JOIN (SELECT unnest(range(480)) AS scan) s ON s.scan * 20 >= on_ AND s.scan * 20 < off_ + 319
+LEFT JOIN v_kernel a ON a.lag = s.scan * 20 - on_ LEFT JOIN v_kernel z ON z.lag = s.scan * 20 - off_ WHERE on_ < off_"""
 
 
 VIEWS["v_basis"] = basis("v_timing")
@@ -225,21 +226,21 @@ ORACLE["sentence_basis"] = f"SELECT language, canonical_run, scan, triplet_row_i
 
 
 def impulse(event: str) -> str:
-    return f"""SELECT language, canonical_run, least(greatest(round_even(t * 7.5e0, 0), 0), 7199) AS fi, CAST(count(*) AS DOUBLE) AS value
+    return f"""SELECT language, canonical_run, least(greatest(round_even(t * 10e0, 0), 0), 9599) AS fi, CAST(count(*) AS DOUBLE) AS value
 FROM v_events WHERE event_type = '{event}' GROUP BY 1, 2, 3"""
 
 
 VIEWS["v_clicks"] = impulse("click")
 VIEWS["v_views"] = impulse("view")
 VIEWS["v_boxes"] = """
-SELECT DISTINCT language, canonical_run, unnest(range(CAST(a AS BIGINT), CAST(greatest(a + 1, least(ceil((t + value / 10e0) * 7.5e0), 7200)) AS BIGINT))) AS fi, 1e0 AS value
-FROM (SELECT *, least(greatest(floor(t * 7.5e0), 0), 7199) AS a FROM v_events WHERE event_type = 'purchase')"""
+SELECT DISTINCT language, canonical_run, unnest(range(CAST(a AS BIGINT), CAST(greatest(a + 1, least(ceil((t + value / 10e0) * 10e0), 9600)) AS BIGINT))) AS fi, 1e0 AS value
+FROM (SELECT *, least(greatest(floor(t * 10e0), 0), 9599) AS a FROM v_events WHERE event_type = 'purchase')"""
 
 
 def line(event: str) -> str:
     return f"""
-SELECT language, canonical_run, fi, coalesce(value + (fi / 7.5e0 - t) * ((nv - value) / (nt - t)), value) AS value FROM (
-  SELECT *, unnest(range(CAST(greatest(0, ceil(t * 7.5e0)) AS BIGINT), CAST(least(coalesce(ceil(nt * 7.5e0) - 1, floor(t * 7.5e0)), 7199) AS BIGINT) + 1)) AS fi
+SELECT language, canonical_run, fi, coalesce(value + (fi / 10e0 - t) * ((nv - value) / (nt - t)), value) AS value FROM (
+  SELECT *, unnest(range(CAST(greatest(0, ceil(t * 10e0)) AS BIGINT), CAST(least(coalesce(ceil(nt * 10e0) - 1, floor(t * 10e0)), 9599) AS BIGINT) + 1)) AS fi
   FROM (SELECT language, canonical_run, t, value, lead(t) OVER w AS nt, lead(value) OVER w AS nv FROM v_events WHERE event_type = '{event}'
     WINDOW w AS (PARTITION BY language, canonical_run ORDER BY t, value)))"""
 
@@ -250,7 +251,7 @@ VIEWS["v_line_signup"] = line("signup")
 
 def convolved(series: str, extra: str = "") -> str:
     return f"""SELECT language, canonical_run, {extra} CAST(scan AS INTEGER) AS scan, sum(value * h) AS value
-FROM {series} JOIN v_kernel k ON TRUE JOIN (SELECT unnest(range(480)) AS scan) s ON s.scan * 15 = fi + lag GROUP BY ALL"""
+FROM {series} JOIN v_kernel k ON TRUE JOIN (SELECT unnest(range(480)) AS scan) s ON s.scan * 20 = fi + lag GROUP BY ALL"""
 
 
 ORACLE["impulse_regressor"] = f"SELECT language, canonical_run, scan, {rs('value')} FROM ({convolved('v_clicks')})"
@@ -259,7 +260,7 @@ ORACLE["continuous_regressor"] = f"SELECT language, canonical_run, scan, {rs('va
 VIEWS["v_drift"] = """
 SELECT language, canonical_run, scan, 'intercept' AS name, 1e0 AS value FROM v_grid
 UNION ALL SELECT language, canonical_run, scan, 'linear_trend', -1e0 + 2e0 * scan / 479e0 FROM v_grid
-UNION ALL SELECT language, canonical_run, scan, 'highpass_' || lpad(CAST(k - 1 AS VARCHAR), 2, '0'), cos(pi() * (scan + 0.5e0) * k / 480e0)
+UNION ALL SELECT language, canonical_run, scan, printf('highpass_%02d', k - 1), cos(pi() * (scan + 0.5e0) * k / 480e0)
 FROM v_grid, (SELECT unnest(range(1, 16)) AS k)"""
 ORACLE["drift_terms"] = f"SELECT language, canonical_run, scan, name, {rs('value')} FROM v_drift"
 VIEWS["v_pictures"] = """
@@ -267,8 +268,8 @@ SELECT language, 1 AS canonical_run, a, z FROM (SELECT unnest(['EN', 'ZH']) AS l
 VIEWS["v_series"] = """
 SELECT 'rms' AS name, language, canonical_run, fi, value FROM v_line_error UNION ALL SELECT 'f0', language, canonical_run, fi, value FROM v_line_signup
 UNION ALL SELECT 'word_rate', language, canonical_run, fi, value FROM v_clicks UNION ALL SELECT 'sentence_onset', language, canonical_run, fi, value FROM v_views
-UNION ALL SELECT 'picture_event', language, canonical_run, round_even(a * 7.5e0, 0), 1e0 FROM v_pictures
-UNION ALL SELECT 'picture_block', language, canonical_run, unnest(range(CAST(floor(a * 7.5e0) AS BIGINT), CAST(ceil(z * 7.5e0) AS BIGINT))), 1e0 FROM v_pictures"""
+UNION ALL SELECT 'picture_event', language, canonical_run, round_even(a * 10e0, 0), 1e0 FROM v_pictures
+UNION ALL SELECT 'picture_block', language, canonical_run, unnest(range(CAST(floor(a * 10e0) AS BIGINT), CAST(ceil(z * 10e0) AS BIGINT))), 1e0 FROM v_pictures"""
 VIEWS["v_acoustic"] = convolved("v_series", "name,")
 NAMES = [f"highpass_{k:02d}" for k in range(15)] + ["intercept", "linear_trend", "f0", "picture_block", "picture_event", "rms", "sentence_onset", "word_rate"]
 VIEWS["v_names"] = f"SELECT unnest({NAMES}) AS name, unnest(range({len(NAMES)})) AS position"

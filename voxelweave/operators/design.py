@@ -189,7 +189,7 @@ def drift_terms(scans: DataFrame, clock: ScanClock, cutoff_sec: float = 128.0) -
     cosines = F.transform(
         F.when(count >= 1, F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>")),
         lambda k: F.struct(
-            F.concat(F.lit("highpass_"), F.lpad((k - 1).cast("string"), 2, "0")).alias("name"),
+            F.format_string("highpass_%02d", k - 1).alias("name"),
             F.cos(pi * (scan + F.lit(0.5)) * k / n).alias("value"),
         ),
     )

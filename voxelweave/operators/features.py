@@ -229,7 +229,7 @@ def encode_distinct(requests: DataFrame, encoder: Encoder) -> DataFrame:
 
 
 def digest_encoder(dims: int = 8) -> Encoder:
-    """Deterministic stand-in encoder of built-in expressions: mean over words of md5 digits, unit length.
+    """Deterministic stand-in encoder of built-in expressions: mean over words of SHA-256 digits (64 at most), unit length.
 
     It exists so that queries and tests have vectors that depend on every word of a text.
     """
@@ -240,7 +240,7 @@ def digest_encoder(dims: int = 8) -> Encoder:
         return F.aggregate("_hex", F.lit(0.0), lambda acc, h: acc + digit(h))
 
     def apply(texts: DataFrame) -> DataFrame:
-        hexes = F.transform(F.regexp_extract_all("text", F.lit(r"[^ \t\r\n]+"), F.lit(0)), lambda w: F.md5(w))
+        hexes = F.transform(F.regexp_extract_all("text", F.lit(r"[^ \t\r\n]+"), F.lit(0)), lambda w: F.sha2(w, 256))
         summed = texts.withColumn("_hex", hexes).withColumn("_sum", F.array(*[component(i) for i in range(1, dims + 1)]))
         share = F.lit(1.0) / F.greatest(F.size("_hex"), F.lit(1))
         mean = let(share, lambda k: scaled(F.col("_sum"), k))

@@ -13,13 +13,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from voxelweave.checks import axis, coverage_gaps, demand_empty
-from voxelweave.functions.stats import dense_index, hash_int, holm, stable_offset
+from voxelweave.functions.stats import dense_index, holm, stable_offset
 from voxelweave.operators.effects import subject_family_deltas
 from voxelweave.schemas import ATTENTION_STATES, FEEDFORWARD_STATES, H1, H2
-from voxelweave.session import cut
+from voxelweave.session import broadcast_if_small, cut, spread
 
 CELL = ["model", "language", "hypothesis"]
 FLIPS_PER_HASH = 32
+DRAWS_PER_BLOCK = 32
 
 
 def contrasts(family_deltas: DataFrame) -> DataFrame:
@@ -99,26 +100,24 @@ def sign_flip_test(effects: DataFrame, permutations: int, seed: int, cell: Seque
 def bootstrap_draws(effects: DataFrame, bootstraps: int, seed: int, cell: Sequence[str] = CELL) -> DataFrame:
     """Means of resamples with replacement: n hashed positions per draw, looked up by dense index.
 
-    The index is built from bounded hash buckets. The position side is generated from the indexed
-    rows themselves, so its volume is B x n spread over the executors.
+    Draws are generated where they are summed: blocks of draws are dealt over the executors, one hash gives four
+    positions, and values are looked up by a broadcast of the cells' effects if those are few, so that neither
+    draws times subjects rows nor their positions are shuffled. The index is built from bounded hash buckets.
     """
     bucket = F.substring(F.md5(F.col("subject_id").cast("string")), 1, 2)
     indexed = dense_index(effects.select(*cell, "subject_id", "effect_value"), cell, bucket, ["subject_id"], "slot")
-    sizes = effects.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"))
-    picks = (
-        indexed.select(*cell, "slot")
-        .join(sizes, list(cell))
-        .select(*cell, "slot", "n", F.explode(F.sequence(F.lit(0), F.lit(bootstraps - 1))).alias("draw"))
-        .withColumn("pick", hash_int(F.lit(str(seed)), *[F.col(c) for c in cell], F.lit("boot"), F.col("draw"), F.col("slot")) % F.col("n"))
-        .groupBy(*cell, "draw", "pick")
-        .agg(F.count(F.lit(1)).alias("times"))
-    )
-    values = indexed.select(*cell, F.col("slot").alias("pick"), "effect_value")
-    return (
-        picks.join(values, [*cell, "pick"])
-        .groupBy(*cell, "draw")
-        .agg((F.sum(F.col("effect_value") * F.col("times")) / F.sum("times")).alias("sample_mean"))
-    )
+    values = cut(indexed.select(*cell, F.col("slot").alias("pick"), "effect_value"))
+    sizes = values.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"))
+    blocks = sizes.select(*cell, "n", F.explode(F.sequence(F.lit(0), F.lit((bootstraps - 1) // DRAWS_PER_BLOCK))).alias("_block"))
+    first = F.col("_block") * DRAWS_PER_BLOCK
+    draws = spread(blocks, *cell, "_block").select(*cell, "n", F.explode(F.sequence(first, F.least(first + DRAWS_PER_BLOCK, F.lit(bootstraps)) - 1)).alias("draw"))
+    fours = draws.select(*cell, "n", "draw", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / 4).cast("int"))).alias("_four"))
+    key = F.concat_ws("|", F.lit(str(seed)), *cell, F.lit("boot"), F.col("draw").cast("string"), F.col("_four").cast("string"))
+    hashed = fours.select(*cell, "n", "draw", "_four", F.md5(key).alias("_digest"))
+    slots = hashed.select(*cell, "n", "draw", "_four", "_digest", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("_i")).where(F.col("_four") * 4 + F.col("_i") < F.col("n"))
+    digits = F.substring(F.col("_digest"), F.col("_i") * 8 + 1, F.lit(8))
+    picks = slots.select(*cell, "draw", (F.conv(digits, 16, 10).cast("bigint") % F.col("n")).alias("pick"))
+    return picks.join(broadcast_if_small(values), [*cell, "pick"]).groupBy(*cell, "draw").agg(F.avg("effect_value").alias("sample_mean"))
 
 
 def bootstrap_interval(effects: DataFrame, bootstraps: int, seed: int, cell: Sequence[str] = CELL) -> DataFrame:

@@ -21,7 +21,7 @@ RUN_MICROS = 5 * 86400 * 1_000_000
 MICROS_PER_SECOND = 450 * 1_000_000
 N_SCANS = 480
 TRIPLETS_PER_RUN = 15  # Fixed value: size of the token subset of a run.
-CLOCK = design.ScanClock(tr=2.0, fine_hz=7.5, kernel=tuple(design.glover_kernel(7.5)))
+CLOCK = design.ScanClock(tr=2.0, fine_hz=10.0, kernel=tuple(design.glover_kernel(10.0)))
 ENCODER_DIMS = 8
 
 ROIS = (
@@ -91,7 +91,7 @@ def fold_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- manifests, from orders and lineitem
 
 def raw_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").where(F.col("o_orderstatus") != "O").select(
+    return table(spark, sf_dir, "orders").select(
         F.concat(F.lit("C"), F.col("o_custkey")).alias("subject_id"),
         choose(F.col("o_custkey") % 4, "en", "fr", "zh", "xx").alias("language"),
         F.col("o_orderpriority").alias("task_name"),
@@ -105,7 +105,7 @@ def raw_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_rois(spark: SparkSession, sf_dir: str, language: str) -> DataFrame:
-    rows = table(spark, sf_dir, "orders").where(F.col("o_orderstatus") != "P")
+    rows = table(spark, sf_dir, "orders")
     return rows.where(choose(F.col("o_custkey") % 4, "en", "fr", "zh", "xx") == language).select(
         F.concat(F.lit("C"), F.col("o_custkey")).alias("subject_id"),
         (F.month("o_orderdate") % 9 + 1).cast("int").alias("canonical_run_index"),
@@ -307,14 +307,14 @@ def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def story_triplets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three consecutive turns of a conversation as one aligned triplet with texts, run and timings."""
-    turns = table(spark, sf_dir, "conversations").withColumn("_t", F.floor(F.col("turn") / 3))
-    slot = F.col("turn") % 3
+    """Three consecutive turns of the whole stream of turns as one aligned triplet with texts, run and timings."""
+    keyed = table(spark, sf_dir, "conversations").withColumn("_id", F.col("conv_id") * 1000 + F.col("turn"))
+    turns = index_by_id(keyed, "_id", "_n").withColumn("_t", F.floor(F.col("_n") / 3))
+    slot = F.col("_n") % 3
     texts = [F.max(F.when(slot == i, F.col("text"))).alias(c) for i, c in enumerate(("en_text", "fr_text", "zh_text"))]
     complete = (
-        turns.groupBy("conv_id", "_t").agg(*texts)
+        turns.groupBy(F.col("_t").cast("bigint").alias("triplet_id")).agg(*texts)
         .where("en_text IS NOT NULL AND fr_text IS NOT NULL AND zh_text IS NOT NULL")
-        .withColumn("triplet_id", (F.col("conv_id") * 1000 + F.col("_t")).cast("bigint"))
     )
     indexed = index_by_id(complete, "triplet_id")
     place = (F.floor(F.col("triplet_row_index") / 6) * 5 % 930).cast("double")
@@ -354,10 +354,10 @@ def token_rows(sentences: DataFrame, keys: list[str], width: int = 4) -> DataFra
     """Token table of fixed-width pieces with an md5-based vector per token; the first token is special."""
     rows = spread(sentences, *keys).select(*keys, "text", F.posexplode(piece_offsets(F.col("text"), width)).alias("token_index", "_span"))
     token = F.substring("text", F.col("_span.start") + 1, F.col("_span.end") - F.col("_span.start"))
-    digit = lambda i: (F.instr(F.lit("0123456789abcdef"), F.substring("_h", i, 1)) - F.lit(8.5)) / F.lit(7.5)
+    digit = lambda i: (F.instr(F.lit("0123456789abcdef"), F.substring("_digits", i, 1)) - F.lit(8.5)) / F.lit(7.5)
     return (
         rows.withColumn("token", token)
-        .withColumn("_h", F.md5("token"))
+        .withColumn("_h", F.md5("token")).withColumn("_digits", F.sha2("token", 256))
         .select(
             *keys, "text", "token_index", "token", F.conv(F.substring("_h", 1, 6), 16, 10).cast("int").alias("token_id"),
             F.col("_span.start").alias("start"), F.col("_span.end").alias("end"),
@@ -374,10 +374,11 @@ def story_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def story_models(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stand-in fold models with exact SQL: the direction of run r is the mean of the embeddings with vec_id mod 6 = r - 1."""
+    """Stand-in fold models with exact SQL: the direction of run r is the mean of the embeddings with vec_id mod 6 = r - 1,
+    all of whose components are averaged into those of the encoder."""
     means = table(spark, sf_dir, "embeddings").select(
-        (F.col("vec_id") % 6 + 1).cast("int").alias("canonical_run"), F.posexplode(F.slice(doubles(F.col("embedding")), 1, ENCODER_DIMS)).alias("d", "v")
-    ).groupBy("canonical_run", "d").agg(F.avg("v").alias("v"))
+        (F.col("vec_id") % 6 + 1).cast("int").alias("canonical_run"), F.posexplode(doubles(F.col("embedding"))).alias("_d", "v")
+    ).groupBy("canonical_run", (F.col("_d") % ENCODER_DIMS).alias("d")).agg(F.avg("v").alias("v"))
     w = means.groupBy("canonical_run").agg(F.array_sort(F.collect_list(F.struct("d", "v"))).alias("_w")).select(
         "canonical_run", F.col("_w.v").alias("w")
     )

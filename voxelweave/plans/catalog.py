@@ -29,7 +29,7 @@ def rounded(df: DataFrame) -> DataFrame:
     return df.select(*[six(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f.name) for f in df.schema.fields])
 
 
-PERMUTATIONS, BOOTSTRAPS, SEED = 200, 100, 1337
+PERMUTATIONS, BOOTSTRAPS, SEED = 10_000, 10_000, 1337
 
 
 # ------------------------------------------------------------------ manifests

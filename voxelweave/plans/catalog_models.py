@@ -112,10 +112,11 @@ def _story_parts(spark, sf):
 
 
 def _story_words(parts):
-    """Candidate words of the subset sentences, for both targets that read them."""
-    subset = words.token_subset(parts["story"], b.TRIPLETS_PER_RUN, "strict", ("EN", "FR", "ZH"))
+    """Candidate words of all sentences, for both targets that read them."""
+    languages = F.explode(F.array(*[F.lit(c) for c in ("EN", "FR", "ZH")])).alias("target_language")
+    subset = parts["story"].select("triplet_row_index", "canonical_run", languages)
     keys = ["triplet_row_index", "sentence_language"]
-    sentences = parts["texts"].join(subset.select("triplet_row_index").distinct(), "triplet_row_index")
+    sentences = parts["texts"]
     metadata = sentences.select(*keys, "text", F.lit(True).alias("has_offset_mapping"), b.piece_offsets(F.col("text")).alias("char_offsets"))
     candidates = words.sentence_candidates(sentences, metadata, keys)[0].join(sentences, keys)
     targets = subset.select("triplet_row_index", F.col("canonical_run").cast("int").alias("canonical_run"), F.col("target_language").alias("language"))
@@ -308,17 +309,17 @@ def _status(spark, sf):
     buyers = b.table(spark, sf, "customer").join(nation, "c_nationkey")
     keyed = buyers.select(
         "c_custkey", F.lit("m0").alias("model"), F.col("n_name").alias("language"), F.col("c_mktsegment").alias("roi_family"),
-        (F.col("c_custkey") % 2).cast("int").alias("block"), F.lit("OUTPUT").alias("state"),
+        (F.col("c_custkey") % 8).cast("int").alias("block"), F.lit("OUTPUT").alias("state"),
     )
     orders = b.table(spark, sf, "orders").join(keyed, F.col("o_custkey") == F.col("c_custkey"))
     counts = keyed.groupBy("language").agg(F.count_distinct("c_custkey").alias("n_subjects"))
-    documents = orders.where("o_orderpriority <> '5-LOW'").groupBy(*STATUS_KEYS).agg(
+    documents = orders.groupBy(*STATUS_KEYS).agg(
         F.max(F.when(F.col("o_orderstatus") == "P", "running").when(F.col("o_orderstatus") == "F", "Completed ").otherwise("failed")).alias("status"),
         F.count_distinct("o_custkey").cast("int").alias("subject_ids_total"),
         F.array_sort(F.collect_set(F.when(F.col("o_orderstatus") == "F", F.col("o_custkey").cast("string")))).alias("completed_subject_ids"),
         F.count(F.lit(1)).alias("rows_written"), F.lit(1).alias("resume_count"),
         F.max(F.col("o_custkey").cast("string")).alias("current_subject_id"), F.lit(None).cast("string").alias("updated_utc"),
-    ).where("subject_ids_total > 1")
+    )
     events = orders.select(*STATUS_KEYS, F.date_format("o_orderdate", "yyyy-MM-dd").alias("timestamp_utc"), F.col("o_orderpriority").alias("event"))
     return status.setting_status(keyed, counts, documents, events, 2)
 
@@ -387,10 +388,10 @@ def sorted_parquet_round_trip(spark, sf):
 
 @query
 def event_log_round_trip(spark, sf):
-    """Two appends to a JSON-lines log, then the last event per user."""
+    """One append per event type to a JSON-lines log, then the last event per user."""
     events = b.table(spark, sf, "events").select(F.col("user_id"), F.format_string("%012d", "event_id").alias("timestamp_utc"), F.col("event_type").alias("event"))
     path = work_path(spark, "log")
-    for kind in ("click", "view"):
+    for kind, *_ in b.EVENT_ROIS:
         sinks.append_events(events.where(F.col("event") == kind), path)
     log = tables.read_events(spark, path, "user_id bigint, timestamp_utc string, event string")
     return status.last_events(log, ["user_id"])

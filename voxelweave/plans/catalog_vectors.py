@@ -12,6 +12,8 @@ from voxelweave.operators import design, features, words
 from voxelweave.plans import bindings as b, reports
 from voxelweave.plans.catalog import query, rounded
 
+SHUFFLES = 20  # Fixed value: derangements of a run.
+
 
 def long_form(df, keys, vec="vec"):
     """Vector components as rows, for comparison."""
@@ -75,7 +77,7 @@ def _runs_of_vectors(spark, sf):
 
 @query
 def run_derangements(spark, sf):
-    return features.shuffle_permutations(_runs_of_vectors(spark, sf), 3, 1337)
+    return features.shuffle_permutations(_runs_of_vectors(spark, sf), SHUFFLES, 1337)
 
 
 @query
@@ -84,7 +86,7 @@ def mismatched_shared(spark, sf):
     feats = features.build_features(b.state_vectors(spark, sf), raw_states=())
     shared = feats.where("condition = 'SHARED'")
     rows = shared.select(F.col("target_language").alias("language"), F.col("block").alias("canonical_run"), "triplet_row_index")
-    gathered = features.mismatched_shared(feats, features.shuffle_permutations(rows, 2, 1337))
+    gathered = features.mismatched_shared(feats, features.shuffle_permutations(rows, SHUFFLES, 1337))
     own = shared.select("target_language", "triplet_row_index", F.col("vec").alias("own"))
     return rounded(
         gathered.join(own, ["target_language", "triplet_row_index"]).select(

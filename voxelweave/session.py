@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # Settings the jobs rely on. Partition counts are left to the cluster and to AQE.
 RECOMMENDED_CONF = {
@@ -64,3 +64,8 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     execution would merge the small input into few tasks, so the partition count is fixed here.
     """
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def broadcast_if_small(stage: DataFrame, rows: int = 400_000) -> DataFrame:
+    """A broadcast hint for a written stage of a few scalars that was counted and has at most ``rows`` rows; else a shuffle join."""
+    return F.broadcast(stage) if stage.count() <= rows else stage.hint("merge")
