@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from voxelweave.llm.common import fold
-from voxelweave.llm.toxicity import calibrate, labelled_sample
+from voxelweave.llm.toxicity import calibrate, labelled_sample, slices
 
 PIECE = 512
 LEVEL = 5
@@ -103,7 +103,7 @@ def scores(documents: DataFrame, model: Model, threshold: float = 0.5) -> DataFr
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = shared.value.score(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64())], names=["doc_id", "score"])
 

@@ -96,8 +96,8 @@ class ChunkEncoder:
 
 
 @functools.lru_cache(maxsize=2)
-def encoder(path: str) -> ChunkEncoder:
-    return ChunkEncoder(path)
+def encoder(path: str, kept: int) -> ChunkEncoder:
+    return ChunkEncoder(path, kept)
 
 
 # ------------------------------------------------------------------ Elias-Fano
@@ -176,11 +176,12 @@ def unpack(data: bytes) -> tuple[Boundaries, np.ndarray, int, np.ndarray]:
     return Boundaries(n, low, sample, lower, upper), np.frombuffer(data, "<i8", n, ids_at - 8 * n), nulls, np.frombuffer(data, f"<u{id_bytes}", total, ids_at)
 
 
-def write(documents: DataFrame, tokenizer: str, folder: str | None = None, end_id: int = 0, file_bytes: int = 8 << 20) -> tuple[str, DataFrame]:
+def write(documents: DataFrame, tokenizer: str, folder: str | None = None, end_id: int = 0, file_bytes: int = 8 << 20, kept: int = 600_000) -> tuple[str, DataFrame]:
     """Write every text (null: empty) with ``end_id`` behind it; returns (folder, manifest).
 
     ``folder`` has to be reachable from all executors; by default a new one below the shared folder. ``file_bytes`` bounds the
-    ids that a task holds, but for a single longer document. Ties of ids fall by text, nulls come first.
+    ids that a task holds, but for a single longer document, ``kept`` the chunks that a Python worker remembers (time for
+    memory; ids are the same). Ties of ids fall by text, nulls come first.
     """
     folder = folder or work_path(documents.sparkSession, "token-files")
     ordered = documents.select("doc_id", "text").repartitionByRange(F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc(), F.col("text").asc())
@@ -190,7 +191,7 @@ def write(documents: DataFrame, tokenizer: str, folder: str | None = None, end_i
         from pyspark import TaskContext
 
         part, number = TaskContext.get().partitionId(), 0
-        coder = encoder(tokenizer)
+        coder = encoder(tokenizer, kept)
         store, root = fs.FileSystem.from_uri(folder)
         doc_ids, ids, held = [], [], 0
 

@@ -227,6 +227,13 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", sample_ro
     return model
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1_000) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in slices, so that only a slice's texts are Python strings at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def scores(documents: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
     """Rows (doc_id, held_out, score, predicted), one for each row of ``documents``, in one pass without a shuffle.
 
@@ -237,7 +244,7 @@ def scores(documents: DataFrame, model: Model, threshold: float = 0.7) -> DataFr
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = shared.value.score(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64())], names=["doc_id", "score"])
 
@@ -251,7 +258,7 @@ def without_toxic(documents: DataFrame, labels: DataFrame, threshold: float = 0.
     shared = documents.sparkSession.sparkContext.broadcast(fit(documents, labels, **how))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = shared.value.score(batch.column("text").to_pylist())
             yield batch.filter(pa.array(found < threshold))
 
