@@ -48,9 +48,8 @@ def shape(path_: Column, max_depth: int) -> Column:
 
 def templates(shapes: DataFrame, max_depth: int = 4, max_children: int = 16, smoothing: float = 10.0, z: float = 1.96) -> DataFrame:
     """(host, shape, template, good_share) from rows (host, shape, labelled, bad)."""
-    total = shapes.agg(F.sum("labelled").alias("all_labelled"), F.sum("bad").alias("all_bad"))
-    rate = F.when(F.col("all_labelled") > 0, F.col("all_bad") / F.col("all_labelled")).otherwise(0.0)
-    known = shapes.join(F.broadcast(total.select(rate.alias("prior")))).withColumn("segments", F.split("shape", "/")).withColumn("template", F.lit(""))  # one row
+    total = shapes.agg(F.coalesce(F.try_divide(F.sum("bad"), F.sum("labelled")), F.lit(0.0)).alias("prior")).first()["prior"]
+    known = shapes.withColumns({"prior": F.lit(float(total)), "segments": F.split("shape", "/"), "template": F.lit("")})
     a = F.lit(float(smoothing))
     for depth in range(max_depth + 1):
         deep = F.when(F.col("shape") != "", F.get("segments", F.lit(depth)))
