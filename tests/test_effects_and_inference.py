@@ -9,21 +9,21 @@ from voxelweave.checks import ContractError
 from voxelweave.functions import stats
 from voxelweave.operators import effects, inference
 
-ROIS = (("L_AG", "SEMANTIC"), ("L_TP", "SEMANTIC"), ("L_pSTG", "AUDITORY"), ("L_Heschl", "AUDITORY"))
-
-
-def confirmatory_rows(languages=("EN", "FR", "ZH")):
-    rows = []
-    for model, lang, i, block, state, (roi, family), cond in itertools.product(
-        ("xlmr", "nllb"), languages, range(4), (0, 1), ("ATTN", "POST_ATTN", "FFN", "OUTPUT"), ROIS, ("SHARED", "SPECIFIC")
-    ):
-        b = 0.05 * (i + 1)
-        feedforward = state in ("FFN", "OUTPUT")
-        if family == "SEMANTIC":
-            z = 0.85 + b if feedforward else 0.20 + b / 2
-        else:
-            z = 0.15 + b / 2 if feedforward else 0.80 + b
-        rows.append((f"S{i}", lang, model, block, float(block), state, cond, roi, family, z if cond == "SHARED" else 0.0))
+COHORTS = {"EN": 5, "FR": 6, "ZH": 7}
+REGIONS = {"L_IFG": "SEMANTIC", "R_MTG": "SEMANTIC", "L_A1": "AUDITORY", "R_STG": "AUDITORY"}
+FAVOURED = {"SEMANTIC": ("FFN", "OUTPUT"), "AUDITORY": ("ATTN", "POST_ATTN")}
+
+
+def cohort_rows(seed=11):
+    """Cohorts of different sizes; every subject has an advantage of own size in the states its family favours, over noise."""
+    rng, rows = np.random.default_rng(seed), []
+    for (language, size), model in itertools.product(COHORTS.items(), ("xlmr", "nllb")):
+        for person in range(size):
+            advantage = dict(zip(FAVOURED, rng.uniform(0.4, 1.3, 2)))
+            for (region, family), block, state in itertools.product(REGIONS.items(), range(3), ("ATTN", "POST_ATTN", "FFN", "OUTPUT")):
+                base, shift = rng.normal(0.1, 0.05), advantage[family] * (state in FAVOURED[family])
+                for condition, z in (("SHARED", base + shift + rng.normal(0, 0.02)), ("SPECIFIC", base)):
+                    rows.append((f"{language}{person}", language, model, block, block / 2, state, condition, region, family, z))
     return rows
 
 
@@ -32,15 +32,15 @@ COLUMNS = ["subject_id", "language", "model", "block", "block_depth_norm", "stat
 
 @pytest.fixture(scope="module")
 def results(spark):
-    return spark.createDataFrame(pd.DataFrame(confirmatory_rows(), columns=COLUMNS)).cache()
+    return spark.createDataFrame(pd.DataFrame(cohort_rows(), columns=COLUMNS)).cache()
 
 
 def test_confirmatory_grid(results):
     out = inference.run_primary_tests(results, ["xlmr", "nllb"], ["EN", "FR", "ZH"], permutations=64, bootstraps=50, seed=7)
     summary = out["summary"].toPandas()
-    assert len(summary) == 12 and out["subject_effects"].count() == 48
-    assert (summary["effect_mean"] > 0).all() and (summary["n_subjects"] == 4).all()
-    # With four subjects about one draw in sixteen flips nothing and reaches the observed mean.
+    assert len(summary) == 12 and out["subject_effects"].count() == 4 * sum(COHORTS.values())
+    assert (summary["effect_mean"] > 0).all() and (summary["n_subjects"] == summary["language"].map(COHORTS)).all()
+    # With five to seven subjects one draw in 32 to 128 flips nothing and reaches the observed mean.
     assert summary["p_raw"].between(1 / 65, 0.25).all() and (summary["p_holm"] >= summary["p_raw"]).all()
     assert (summary["ci_low"] <= summary["effect_mean"]).all() and (summary["ci_high"] >= summary["effect_mean"]).all()
 
@@ -59,7 +59,7 @@ def test_numpy_mode_draws(results):
     x = cell["effect_value"].to_numpy()
     key = "|".join(("xlmr", "EN", "H1_semantic_ffn_preference", "perm"))
     offset = sum((i + 1) * ord(c) for i, c in enumerate(key)) % 100_000
-    signs = np.random.default_rng(1337 + offset).choice([-1.0, 1.0], size=(100, 4))
+    signs = np.random.default_rng(1337 + offset).choice([-1.0, 1.0], size=(100, len(x)))
     p = (1 + ((signs * x).mean(axis=1) >= x.mean()).sum()) / 101
     row = got[(got.model == "xlmr") & (got.language == "EN") & got.hypothesis.str.startswith("H1")].iloc[0]
     assert row.p_raw == pytest.approx(p)

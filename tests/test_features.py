@@ -7,8 +7,9 @@ from voxelweave import checks
 from voxelweave.operators import features
 from voxelweave.sources import vectors
 
-OUTPUT = {"EN": [[2, 0, 1], [1, 2, 0]], "FR": [[0, 2, 1], [2, 0, 1]], "ZH": [[1, 1, 2], [0, 1, 1]]}
-FFN = {"EN": [[3, 1, 0], [1, 0, 2]], "FR": [[1, 3, 0], [0, 2, 1]], "ZH": [[2, 1, 1], [1, 1, 2]]}
+DIMS = 5
+DRAWN = np.random.default_rng(8).normal(size=(2, 3, 2, DIMS)).astype(np.float32)
+OUTPUT, FFN = [dict(zip(("EN", "FR", "ZH"), table)) for table in DRAWN]
 
 
 def state_table(spark, drop=()):
@@ -69,9 +70,10 @@ def test_mismatched_replaces_earlier_rows(spark):
 def test_mutated_vector_falls_back(spark):
     states = state_table(spark).where("state = 'OUTPUT'")
     requests = spark.createDataFrame([("a", 0), ("b", 1)], "request string, triplet_row_index bigint")
-    encoded = spark.createDataFrame([("a", 0, "FR", [9.0, 9.0, 9.0])], "request string, triplet_row_index bigint, sentence_language string, vec array<double>")
+    encoded = spark.createDataFrame([("a", 0, "FR", [9.0] * DIMS)], "request string, triplet_row_index bigint, sentence_language string, vec array<double>")
     got = {r.request: r.vec for r in features.mutated_shared(requests, encoded, states, "EN").collect()}
-    assert got["a"] == [(9 + 1) / 2, (9 + 1) / 2, (9 + 2) / 2] and got["b"] == [1.0, 0.5, 1.0]
+    np.testing.assert_allclose(got["a"], (9 + OUTPUT["ZH"][0].astype(float)) / 2, atol=1e-6)
+    np.testing.assert_allclose(got["b"], (OUTPUT["FR"][1].astype(float) + OUTPUT["ZH"][1]) / 2, atol=1e-6)
 
 
 def test_pooling_and_empty_mask(spark):

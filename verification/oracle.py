@@ -4,9 +4,6 @@ from __future__ import annotations
 
 import re
 
-from voxelweave.operators.design import glover_kernel
-from voxelweave.functions.text import EN_FUNCTION_WORDS, FR_FUNCTION_WORDS
-
 VIEWS: dict[str, str] = {}
 ORACLE: dict[str, str] = {}
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from verification.oracle import EN_FUNCTION_WORDS, FR_FUNCTION_WORDS, ORACLE, VIEWS, glover_kernel, r, rs
+from verification.constants import EN_FUNCTION_WORDS, FR_FUNCTION_WORDS, response_kernel
+from verification.oracle import ORACLE, VIEWS, r, rs
 
-KERNEL = "[" + ", ".join(repr(v) for v in glover_kernel(10.0)) + "]::DOUBLE[]"
+KERNEL = "[" + ", ".join(repr(v) for v in response_kernel(10.0)) + "]::DOUBLE[]"
 
 # ------------------------------------------------------------------ vectors
 VIEWS["v_states"] = """

@@ -12,18 +12,16 @@ WHITESPACE = r"(?U)\s+"
 
 # Function words, in the order they are listed for the study.
 EN_FUNCTION_WORDS = (
-    "a an the and or but if then than that this these those "
-    "to of in on at for from with by as is are was were "
-    "be been being am do does did have has had will would "
-    "can could should may might must not no nor it its they "
-    "them their he she we you i me my our your"
-).split()
+    "a", "an", "the", "and", "or", "but", "if", "then", "than", "that", "this", "these", "those", "to", "of", "in", "on", "at", "for", "from", "with",
+    "by", "as", "is", "are", "was", "were", "be", "been", "being", "am", "do", "does", "did", "have", "has", "had", "will", "would", "can", "could",
+    "should", "may", "might", "must", "not", "no", "nor", "it", "its", "they", "them", "their", "he", "she", "we", "you", "i", "me", "my", "our",
+    "your",
+)
 FR_FUNCTION_WORDS = (
-    "le la les un une des de du et ou mais donc or ni car "
-    "a au aux en dans sur sous pour par avec sans ce cet cette "
-    "ces je tu il elle nous vous ils elles me te se ne pas "
-    "est sont etait etre avoir ont que qui quoi dont"
-).split()
+    "le", "la", "les", "un", "une", "des", "de", "du", "et", "ou", "mais", "donc", "or", "ni", "car", "a", "au", "aux", "en", "dans", "sur", "sous",
+    "pour", "par", "avec", "sans", "ce", "cet", "cette", "ces", "je", "tu", "il", "elle", "nous", "vous", "ils", "elles", "me", "te", "se", "ne",
+    "pas", "est", "sont", "etait", "etre", "avoir", "ont", "que", "qui", "quoi", "dont",
+)
 
 # Marker thresholds relative to the largest positive score of the sentence.
 MARKERS = ((0.75, "+++"), (0.40, "++"))
