@@ -273,6 +273,10 @@ SELECT {CELL}, {rs('ci_low', 'ci_high', 'bootstrap_mean', 'bootstrap_std')}, n_s
 ORACLE["primary_effects"] = f"""
 SELECT {CELL}, {rs('effect_mean', 'ci_low', 'ci_high', 'p_raw', 'p_holm')}, n_subjects, 10000::BIGINT AS permutation_count, 10000::BIGINT AS bootstrap_count,
   {r('sd / sqrt(n_subjects)', 'se')}, {r('CASE WHEN sd > 0 THEN effect_mean / sd ELSE 0 END', 'dz')} FROM v_primary"""
+ORACLE["table3_confirmatory"] = f"""
+SELECT {CELL}, {rs('effect_mean', 'ci_low', 'ci_high', 'p_raw', 'p_holm')}, n_subjects, 10000::BIGINT AS permutation_count, 10000::BIGINT AS bootstrap_count FROM v_primary"""
+ORACLE["scoped_results"] = """
+SELECT model, language, state, count(*) AS n, count(DISTINCT subject_id) AS n_subjects FROM v_subject_results WHERE language IN ('EN', 'FR') AND state = 'FFN' GROUP BY 1, 2, 3"""
 ORACLE["primary_coverage"] = f"""
 WITH want AS (SELECT model, language, hypothesis FROM (SELECT unnest(['xlmr', 'nllb', 'other']) AS model), (SELECT unnest(['EN', 'FR']) AS language),
   (SELECT unnest(['H1_semantic_ffn_preference', 'H2_auditory_attention_preference']) AS hypothesis)),

@@ -194,6 +194,14 @@ SELECT 'S' || l_suppkey AS subject_id, l_linestatus AS model, l_returnflag AS la
 FROM lineitem GROUP BY 1, 2, 3
 HAVING max(l_discount - l_tax) FILTER (l_linenumber = 2) - coalesce(max(l_discount - l_tax) FILTER (l_linenumber = 1), 0) > 0.005e0"""
 
+ORACLE["deletion_resume"] = f"""
+SELECT 'S' || l_suppkey AS subject_id, l_linestatus AS model, l_returnflag AS language, 'SEMANTIC' AS roi_family, 0 AS representative_block, 'OUTPUT' AS representative_state,
+  l_linenumber AS k, l_orderkey AS written_utc, {r('l_discount - l_tax', 'delta_diff')} FROM lineitem
+QUALIFY row_number() OVER (PARTITION BY l_suppkey, l_linestatus, l_returnflag, l_linenumber ORDER BY l_orderkey DESC, l_discount - l_tax DESC) = 1"""
+ORACLE["policy_counts"] = """
+SELECT 'm0' AS model, language, 0 AS block, 'OUTPUT' AS state, roi_family, k, policy, count(*) AS n_sentences
+FROM (SELECT DISTINCT language, roi_family, subject_id, triplet_row_index, k, policy FROM v_plan WHERE selected) GROUP BY language, roi_family, k, policy"""
+
 # ------------------------------------------------------------------ status
 VIEWS["v_keyed"] = """
 SELECT c_custkey, n_name AS language, c_mktsegment AS roi_family, CAST(c_custkey % 8 AS INTEGER) AS block FROM customer JOIN nation ON n_nationkey = c_nationkey"""

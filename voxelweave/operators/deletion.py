@@ -267,6 +267,21 @@ def deletion_rows(
     )
 
 
+def last_rows(rows: DataFrame, written: str) -> DataFrame:
+    """Of several rows of a (setting, subject, k) the one written last wins, by map-side maxima."""
+    keys = ["subject_id", "model", "language", "roi_family", "representative_block", "representative_state", "k"]
+    rest = [c for c in rows.columns if c not in keys]
+    ordered = F.struct(written, *[c for c in rest if c != written])
+    return rows.groupBy(*keys).agg(F.max(ordered).alias("_row")).select(*[F.col(c) if c in keys else F.col(f"_row.{c}") for c in rows.columns])
+
+
+def policy_counts(plan: DataFrame) -> DataFrame:
+    """How many sentences of each setting and k were matched under each policy."""
+    sentences = plan.where("selected").select(*GROUP, "k", "policy").distinct()
+    keys = [c for c in GROUP if c not in ("subject_id", "triplet_row_index")]
+    return sentences.groupBy(*keys, "k", "policy").agg(F.count(F.lit(1)).alias("n_sentences"))
+
+
 def adaptive_subjects(rows: DataFrame, min_gain: float = 0.0) -> DataFrame:
     """Subjects whose k = 2 difference beats k = 1 by more than ``min_gain``: they go on to k = 3.
 

@@ -89,13 +89,15 @@ def demand_languages(merged: DataFrame, manifest: DataFrame) -> None:
 
 
 def table_differences(stored: DataFrame, expected: DataFrame) -> DataFrame:
-    """Rows in one table but not the other (as multisets); empty when the stored table is current."""
+    """Rows in one table but not the other (as multisets); empty when the stored table is current.
+
+    Rows count +1 or -1 by side, so each table is read once and one shuffle finds the surplus.
+    """
     columns = expected.columns
-    stored = stored.select(*columns)
-    return (
-        stored.exceptAll(expected).withColumn("side", F.lit("stored"))
-        .unionByName(expected.exceptAll(stored).withColumn("side", F.lit("expected")))
-    )
+    both = stored.select(*columns, F.lit(1).alias("_n")).unionByName(expected.select(*columns, F.lit(-1).alias("_n")))
+    surplus = both.groupBy(*columns).agg(F.sum("_n").alias("_n")).where("_n <> 0")
+    side = F.when(F.col("_n") > 0, "stored").otherwise("expected").alias("side")
+    return surplus.select(*columns, side, F.explode(F.sequence(F.lit(1), F.abs("_n").cast("int"))).alias("_i")).drop("_i")
 
 
 def pending(todo: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -286,6 +286,19 @@ def figure4_primary_panel(spark, sf):
     return rounded(reports.primary_panel(primary, rows))
 
 
+@query
+def table3_confirmatory(spark, sf):
+    primary = inference.primary_effects(_contrasts(spark, sf), permutations=PERMUTATIONS, bootstraps=BOOTSTRAPS, seed=SEED)
+    return rounded(reports.confirmatory_table(primary))
+
+
+@query
+def scoped_results(spark, sf):
+    """Rows of listed languages and states only, ignoring case; an empty list does not filter."""
+    scoped = checks.in_scope(b.subject_results(spark, sf), language=["en", "Fr"], state=["ffn"], model=[])
+    return scoped.groupBy("model", "language", "state").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("subject_id").alias("n_subjects"))
+
+
 @query
 def figure5_region_curves(spark, sf):
     return rounded(reports.region_curves(effects.group_results(b.subject_results(spark, sf))))

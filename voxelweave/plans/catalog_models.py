@@ -239,6 +239,22 @@ def adaptive_subjects(spark, sf):
     return deletion.adaptive_subjects(rows, 0.005)
 
 
+@query
+def deletion_resume(spark, sf):
+    """Rows of an interrupted run appended again: the last one of each (subject, k) wins."""
+    rows = b.table(spark, sf, "lineitem").select(
+        F.concat(F.lit("S"), F.col("l_suppkey")).alias("subject_id"), F.col("l_linestatus").alias("model"), F.col("l_returnflag").alias("language"),
+        F.lit("SEMANTIC").alias("roi_family"), F.lit(0).alias("representative_block"), F.lit("OUTPUT").alias("representative_state"),
+        F.col("l_linenumber").alias("k"), F.col("l_orderkey").alias("written_utc"), (F.col("l_discount") - F.col("l_tax")).alias("delta_diff"),
+    )
+    return rounded(deletion.last_rows(rows, "written_utc"))
+
+
+@query
+def policy_counts(spark, sf):
+    return deletion.policy_counts(deletion.matching_plan(deletion.rank_words(_story_attributions(spark, sf)[0]), KS))
+
+
 def story_fold_models(spark, sf):
     """Real fold models of the story: shared design of each language against every subject and family."""
     parts = _story_parts(spark, sf)

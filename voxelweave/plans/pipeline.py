@@ -68,7 +68,8 @@ def run_deletion_validation(
     encoder: Encoder, ks: Sequence[int] = (1, 2), draws: int = 100, seed: int = 1337, adaptive_k3: bool = False,
     min_gain: float = 0.0, finished: DataFrame | None = None,
 ) -> DataFrame:
-    """Deletion rows of all subjects; finished (subject, k) rows are kept and not computed again.
+    """Deletion rows of all subjects; finished (subject, k) rows are kept and not computed again. Where ``finished`` has
+    several rows of a (subject, k), with a column ``written_utc``, the last one wins.
 
     k = 3 runs only for subjects whose k = 2 gained over k = 1 (when adaptive), inside the same job.
     """
@@ -80,6 +81,8 @@ def run_deletion_validation(
     first = [k for k in sorted(ks) if k != 3 or not adaptive_k3]
     todo = attributions.select(*deletion.SUBJECT).distinct().withColumn("k", F.explode(F.array(*[F.lit(int(k)) for k in first])))
     if finished is not None:
+        if "written_utc" in finished.columns:
+            finished = deletion.last_rows(finished, "written_utc").drop("written_utc")
         done = finished.withColumnsRenamed({"representative_block": "block", "representative_state": "state"})
         todo = upserts.pending(todo, done, key)
         rows = finished.unionByName(deletion.deletion_rows(attributions, ks=first, pending=todo, **inputs))
