@@ -65,6 +65,8 @@ def test_blockwise_scores_equal_word_by_word_scores():
     got = model.score(texts + ["", None, " \n"])
     want = [1 / (1 + np.exp(-slow_margin(model, t))) for t in texts] + [0.25] * 3
     np.testing.assert_allclose(got, want, atol=1e-5)
+    assert model.score([None]).tolist() == model.score(["", "!"]).tolist()[:1] == [0.25]
+    assert tx.train(["", "?"] * 10, np.arange(20) % 2, bits=10).score(["word"])[0] == 0.5
     np.testing.assert_allclose(model.score(texts[::-1]), got[: len(texts)][::-1], atol=1e-6)
 
 

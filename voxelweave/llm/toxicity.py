@@ -123,6 +123,8 @@ class Model:
     def _score(self, block: list[tuple[int, bytes]], margins: np.ndarray) -> None:
         if block:
             g = grams([x for _, x in block], self.bits)
+            if not len(g.half_starts):  # no words at all
+                return
             np.maximum.at(margins, np.array([n for n, _ in block]), worst_bags(bag_means(self.weight, g), g)[1])
 
 
@@ -145,6 +147,8 @@ def train(texts: list[str], labels: np.ndarray, bits: int = 18, width: int = 8,
         held = np.zeros(len(texts), bool)
     g = grams([t.encode() for t, h in zip(texts, held) if not h], bits)
     y = labels[~held]
+    if not len(g.half_starts):
+        return Model(bits, np.zeros((1 << bits) + 1, np.float32), 1.0, float(np.log(prior / (1 - prior))), prior)
     rng = np.random.default_rng(seed)
     table = rng.normal(0, 0.1, ((1 << bits) + 1, width))
     softmax = rng.normal(0, 0.1, (2, width))
