@@ -40,16 +40,10 @@ class Grams:
     texts: int
 
 
-def grams(texts: list[bytes], bits: int) -> Grams:
-    joined = np.frombuffer(b" " + b" ".join(t.translate(FOLD) for t in texts) + b" " * max(GRAMS), np.uint8)
-    space = joined == 32
+def gram_ids(joined: np.ndarray, bits: int) -> np.ndarray:
+    """Bucket of the n-gram at each byte but the last max(GRAMS), one row for each length."""
     n = len(joined) - max(GRAMS)
-    ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))  # the space before the next text
-    word_starts = np.flatnonzero(space[:-1] & ~space[1:])  # the space before a word
-    word_text = np.searchsorted(ends, word_starts, side="right")
-    first = np.searchsorted(word_text, np.arange(len(texts)))
-    head = (np.arange(len(word_starts)) - first[word_text]) % HALF == 0
-    spaces = np.cumsum(space, dtype=np.int32)
+    spaces = np.cumsum(joined == 32, dtype=np.int32)
     ids = np.empty((len(GRAMS), n), np.int32)
     rolling = joined[:n].astype(np.uint32)
     for k in range(1, max(GRAMS)):
@@ -58,6 +52,19 @@ def grams(texts: list[bytes], bits: int) -> Grams:
             bucket = ((rolling ^ (rolling >> np.uint32(15))) * np.uint32(0x9E3779B1)) >> np.uint32(32 - bits)
             whole = spaces[k - 1 : k - 1 + n] == spaces[:n]  # no word end inside
             ids[GRAMS.index(k + 1)] = np.where(whole, bucket, 1 << bits)
+    return ids
+
+
+def grams(texts: list[bytes], bits: int) -> Grams:
+    joined = np.frombuffer(b" " + b" ".join(t.translate(FOLD) for t in texts) + b" " * max(GRAMS), np.uint8)
+    space = joined == 32
+    ids = gram_ids(joined, bits)
+    n = ids.shape[1]
+    ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))  # the space before the next text
+    word_starts = np.flatnonzero(space[:-1] & ~space[1:])  # the space before a word
+    word_text = np.searchsorted(ends, word_starts, side="right")
+    first = np.searchsorted(word_text, np.arange(len(texts)))
+    head = (np.arange(len(word_starts)) - first[word_text]) % HALF == 0
     if len(word_starts):
         inside = np.where(ids[0] < 1 << bits, ids[0], 0).astype(np.int64)
         sign = np.add.reduceat(inside, word_starts) * 31 + joined[word_starts + 1]
@@ -97,6 +104,52 @@ def worst_bags(means: np.ndarray, g: Grams) -> tuple[np.ndarray, np.ndarray]:
     return share, np.where(bags > 0, np.bincount(g.half_text, share * means, g.texts), -np.inf)
 
 
+def long_score(weight: np.ndarray, data: bytes, bits: int, at_once: int) -> float:
+    """The score of one text as by ``grams``, ``bag_means`` and ``worst_bags``, with n-grams of ``at_once`` bytes at a time.
+
+    What is kept of the whole text are three numbers a word, so bags and the worst sixteenth are those of the whole text.
+    """
+    joined = np.frombuffer(b" " + data.translate(FOLD) + b" " * max(GRAMS), np.uint8)
+    n = len(joined) - max(GRAMS)
+    weight = weight.astype(np.float32, copy=False)
+    sums: list[np.ndarray] = []  # of each stretch: (weight, n-grams, sum of buckets of the shortest n-grams) of its words
+    signs: list[np.ndarray] = []
+    carry, carry_sign = np.zeros(2), 0
+    firsts = []
+    for at in range(0, n, at_once):
+        part = joined[at : min(at + at_once, n) + max(GRAMS)]
+        ids = gram_ids(part, bits)
+        size = ids.shape[1]
+        starts = np.flatnonzero((part[:size] == 32) & (part[1 : size + 1] != 32))
+        total, count = np.zeros(size, np.float32), np.zeros(size, np.float32)
+        for row in ids:
+            total += weight[row]
+            count += row < len(weight) - 1
+        inside = np.where(ids[0] < 1 << bits, ids[0], 0).astype(np.int64)
+        bounds = np.append(0, starts)
+        own = np.stack([np.add.reduceat(v, bounds, dtype=float) for v in (total, count)])
+        sign = np.add.reduceat(inside, bounds)
+        if len(starts) and starts[0] == 0:  # reduceat of an empty stretch gives its first value
+            own[:, 0], sign[0] = 0, 0
+        own[:, 0] += carry  # the stretch before the first start belongs to the word that began earlier
+        sign[0] += carry_sign
+        carry, carry_sign = own[:, -1], sign[-1]
+        sums.append(own[:, :-1])
+        signs.append(sign[:-1])
+        firsts.append(part[starts + 1])
+    total, count = np.concatenate([*sums, carry[:, None]], axis=1)[:, 1:]  # what comes before the first word holds nothing
+    if not len(total):
+        return -np.inf
+    sign = np.append(np.concatenate(signs), carry_sign)[1:] * 31 + np.concatenate(firsts)
+    again = np.append(False, sign[1:] == sign[:-1])
+    total[again] = count[again] = 0
+    heads = np.arange(0, len(total), HALF)
+    total, count = np.add.reduceat(total, heads), np.add.reduceat(count, heads)
+    total, count = total + np.append(total[1:], 0), count + np.append(count[1:], 0)
+    means = np.sort(total / np.maximum(count, 1))
+    return float(means[-(-(-len(means) // WORST_SHARE)) :].mean())
+
+
 @dataclass
 class Model:
     bits: int
@@ -110,11 +163,13 @@ class Model:
         block: list[tuple[int, bytes]] = []
         for number, text in enumerate(texts):
             data = (text or "").encode()
-            for at in range(0, max(1, len(data)), BLOCK_BYTES):  # long texts in pieces that overlap by a bag or more
-                block.append((number, data[max(0, at - 1024) : at + BLOCK_BYTES]))
-                if sum(len(x) for _, x in block) >= BLOCK_BYTES:
-                    self._score(block, margins)
-                    block = []
+            if len(data) > BLOCK_BYTES:
+                margins[number] = long_score(self.weight, data, self.bits, BLOCK_BYTES)
+                continue
+            block.append((number, data))
+            if sum(len(x) for _, x in block) >= BLOCK_BYTES:
+                self._score(block, margins)
+                block = []
         self._score(block, margins)
         known = np.isfinite(margins)
         score = 1 / (1 + np.exp(-(self.slope * np.where(known, margins, 0) + self.offset)))
@@ -125,7 +180,7 @@ class Model:
             g = grams([x for _, x in block], self.bits)
             if not len(g.half_starts):  # no words at all
                 return
-            np.maximum.at(margins, np.array([n for n, _ in block]), worst_bags(bag_means(self.weight, g), g)[1])
+            margins[[n for n, _ in block]] = worst_bags(bag_means(self.weight, g), g)[1]
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
