@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from voxelweave.llm import audio_features, compression_quality, decontamination, licences, line_winnowing, mixing, simhash_vptree, token_files, toxicity, url_templates
+from voxelweave.llm import (
+    audio_features, collocations, compression_quality, decontamination, licences, line_winnowing, mixing, secrets, simhash_vptree, source_divergence,
+    token_files, toxicity, url_templates,
+)
 from voxelweave.llm.common import tables
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -90,3 +93,24 @@ def op3_audio_features(spark, sf_dir):
 def op4_compression_quality(spark, sf_dir):
     table = tables(spark, sf_dir)
     return compression_quality.scores(table("documents"), compression_quality.fit(table("documents"), table("labels")))
+
+
+@query
+def op11_secret_novelty(spark, sf_dir):
+    return secrets.digest(secrets.scan(tables(spark, sf_dir)("documents")))
+
+
+@query
+def op12_phrase_collocations(spark, sf_dir):
+    return collocations.collocations(tables(spark, sf_dir)("documents"))
+
+
+ORACLE["op12_phrase_collocations"] = collocations.ORACLE_SQL
+
+
+@query
+def op13_source_divergence(spark, sf_dir):
+    return source_divergence.divergence(tables(spark, sf_dir)("documents"))
+
+
+ORACLE["op13_source_divergence"] = source_divergence.ORACLE_SQL
