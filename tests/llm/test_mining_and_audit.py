@@ -133,10 +133,10 @@ def test_collocations_equal_plain_counts(spark):
     assert mined(df, least=5, top=40, share=1 << 40, flush_words=64, piece_bytes=50) == want
 
 
-def test_failures_of_the_border_are_counted_in_more_passes(spark):
+def test_failures_of_the_border_are_counted_in_an_expansion(spark):
     df = documents(spark, [(i, "a b c d e") for i in range(10)])
     _, found, turns = co.frequent_phrases(df, 5, 1 << 40)
-    assert turns == 3 and found.count() == 4 + 3 + 2
+    assert turns == 1 and found.count() == 4 + 3 + 2
     assert co.collocations(documents(spark, [])).count() == 0
 
 

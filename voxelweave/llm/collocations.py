@@ -3,8 +3,10 @@
 A deterministic sample of the documents proposes phrases of up to three words that look frequent at a lowered threshold, level by
 level. One pass over all texts then counts, exactly, every word and every phrase of two to four words whose two shorter parts
 (all but the last word, all but the first) were proposed: the proposals and their negative border at once. A frequent phrase of
-the border that was not proposed is a failure: longer phrases around it may have been missed. Further passes count the phrases
-with frequent parts of which one is such a failure, until none is left (three passes at most, as phrases have four words).
+the border that was not proposed is a failure: longer phrases around it may have been missed. An expansion pass counts the phrases
+of which one part is such a failure and the other is frequent. A part that this pass counts itself is taken as a possible failure, so
+longer phrases are counted at once with their parts, and one expansion closes all levels: every part of a frequent phrase is
+frequent, so it was counted before or is counted in the same pass.
 
 A phrase is the tuple of 64-bit hashes of its words, each with its language; that no frequent word shares its hash with any other
 word is checked, and another seed is taken if one does. Tasks ask a Bloom filter of bounded size whether a part was proposed. Its
@@ -113,9 +115,10 @@ def _grams(hashes: np.ndarray, carried: int, filters: Sequence[tuple | None]) ->
     """(word columns, counts) of the phrases of two to four words that the filters let through and that end behind ``carried``.
 
     filters[k - 1] judges the parts of k words: (known, new); a phrase is counted if both its parts are known and, unless new is
-    None, one of them is new. None counts no longer phrases from there on.
+    None, one of them is new. What is counted because of a new part is itself taken as known and new. None counts no longer phrases.
     """
     n = len(hashes)
+    pending = np.zeros(n, bool)
     for k in range(1, LONGEST):
         if filters[k - 1] is None or n <= k:
             return
@@ -123,15 +126,16 @@ def _grams(hashes: np.ndarray, carried: int, filters: Sequence[tuple | None]) ->
         if k == 1:
             ends = np.flatnonzero(hashes)
         mixed = _mix([hashes[ends - k + 1 + j] for j in range(k)])
-        inside = _contains(known, mixed)
+        inside = _contains(known, mixed) | pending[ends]
         ends, mixed = ends[inside], mixed[inside]
         here = np.zeros(n, bool)
         here[ends] = True
         longer = here[1:] & here[:-1]
         if new is not None:
             fresh = np.zeros(n, bool)
-            fresh[ends[_contains(new, mixed)]] = True
+            fresh[ends] = _contains(new, mixed) | pending[ends]
             counted = longer & (fresh[1:] | fresh[:-1])
+            pending = np.append(False, counted)
         else:
             counted = longer
         at = np.flatnonzero(counted) + 1
@@ -243,18 +247,12 @@ def frequent_phrases(documents: DataFrame, least: int = 30, share: int = 16, see
     zero = F.lit(0).cast("long")
     known = often.select("w1", *[zero.alias(c) for c in KEY[1:]]).union(phrases.where("w4 = 0").select(*KEY))
     failed = stored(known.join(reduce(DataFrame.union, proposed), KEY, "left_anti"), "failures")
-    turns = 0
-    while not failed.isEmpty():
-        turns += 1
-        new, filters = stored(failed, "failures"), []
-        for k in range(1, LONGEST):
-            filters.append((bloom_filter(known.where(size_of() == k)), bloom_filter(new.where(size_of() == k))))
-        more = _phrases(count_phrases(texts, filters, False, seed, **how)).where(F.col("f") >= least)
-        found = stored(more.join(phrases.select(*KEY), KEY, "left_anti"), "expanded")  # false positives were counted before
-        phrases = phrases.union(found)
-        known = known.union(found.where("w4 = 0").select(*KEY))
-        failed = found.where("w4 = 0").select(*KEY)
-    return words, phrases, turns
+    if failed.isEmpty():
+        return words, phrases, 0
+    filters = [tuple(bloom_filter(df.where(size_of() == k)) for df in (known, failed)) for k in range(1, LONGEST)]
+    more = _phrases(count_phrases(texts, filters, False, seed, **how)).where(F.col("f") >= least)
+    found = stored(more.join(phrases.select(*KEY), KEY, "left_anti"), "expanded")  # false positives were counted before
+    return words, phrases.union(found), 1
 
 
 def _both(counted: DataFrame, least: int) -> DataFrame:
