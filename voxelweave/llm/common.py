@@ -38,3 +38,20 @@ def sized(small: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 def tables(spark: SparkSession, sf_dir: str) -> Callable[[str], DataFrame]:
     return lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+class Scratch:
+    """Stored tables of one run in a folder of their own, which ``clear`` deletes when nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark, self.path, self.count = spark, work_path(spark, name), 0
+
+    def stored(self, df: DataFrame, name: str, **options: str) -> DataFrame:
+        self.count += 1
+        path = f"{self.path}/{self.count}-{name}"
+        df.write.parquet(path, **options)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
