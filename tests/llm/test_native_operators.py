@@ -56,6 +56,13 @@ def test_null_items_hit_but_are_not_listed(spark):
     assert (got.n_hit, got.n_items, got.contaminated) == (2, 0, True)
 
 
+def test_capitals_whose_lower_case_depends_on_what_follows(spark):
+    words = "ΕΣ.ΑΒ " + " ".join(f"w{i}" for i in range(12))
+    df, bench = documents(spark, [(1, words), (2, "İ ΟΔΟΣ: " + words)]), items(spark, [(1, words)])
+    got = same(dc.contamination(df, bench), dc.ORACLE_SQL, ["doc_id", "n_words", "n_hit", "contaminated"], documents=df, benchmark=bench)
+    assert sorted(got) == [(1, 14, 14, True), (2, 16, 14, True)]
+
+
 # ------------------------------------------------------------------ lines
 
 def lines_of(spark, rows):
@@ -101,6 +108,14 @@ def test_licences_equal_sql(spark):
     assert by_id[30][2] == "Apache-2.0" and all(by_id[30 + i][1] >= 1 for i in range(len(texts))) and by_id[4][1] == 0
 
 
+def test_every_notice_of_a_text_is_found(spark):
+    header, short, mit = licences.TEMPLATES["Apache-2.0-header"], licences.TEMPLATES["Apache-2.0"], licences.TEMPLATES["MIT"]
+    text = " ".join([header, prose(1, 30), short, prose(2, 30), header, mit, mit])
+    df = documents(spark, [(1, text)])
+    (row,) = same(licences.scan(df), licences.oracle_sql(), ["doc_id", "n_licences", "licences", "spans", "best_score"], documents=df)
+    assert row[2] == "Apache-2.0-header,Apache-2.0,Apache-2.0-header,MIT,MIT" and row[4] == 1
+
+
 def test_no_templates_no_matches(spark):
     df = documents(spark, awkward())
     assert {r.n_licences for r in licences.scan(df, {"one": "word"}).collect()} == {0}

@@ -7,7 +7,7 @@ stick out of the text; the rest is compared word by word over a stretch of the w
 
 The first pass over the texts keeps the positions of shingles that occur in any item, and one end mark with the number of
 words for each document; rarity, prefixes and candidates come from that small table. The second pass reads the texts of
-candidate documents only. Shingles are compared by hash of Unicode-lowered words, a superset that the comparison cuts down.
+candidate documents only. Shingles are compared by hash of their words, lower-cased A-Z like the words that are compared at last.
 """
 
 from __future__ import annotations
@@ -41,18 +41,17 @@ def benchmark_windows(benchmark: DataFrame, window: int) -> DataFrame:
     size = F.least(F.lit(window), F.size("words"))
     each = words.select("item_id", size.alias("size"), F.explode(F.transform(F.sequence(F.lit(1), F.size("words") - size + 1), lambda i: F.slice("words", i, size))).alias("words"))
     per = each.groupBy("words", "size").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
-    lowered = per.select("*", F.transform("words", F.lower).alias("low"))
-    hashes = _hashes("low", SHINGLE)
+    hashes = _hashes("words", SHINGLE)
     for k in range(SHINGLE - 1, 0, -1):
-        hashes = F.when(F.col("size") == k, _hashes("low", k)).otherwise(hashes)
-    return lowered.select(F.array_join("words", " ").alias("window_text"), "size", "items", hashes.alias("shingles"))
+        hashes = F.when(F.col("size") == k, _hashes("words", k)).otherwise(hashes)
+    return per.select(F.array_join("words", " ").alias("window_text"), "size", "items", hashes.alias("shingles"))
 
 
 def shingle_positions(documents: DataFrame, windows: DataFrame) -> DataFrame:
     """(doc_id, text_key, n_words, pos, h): positions of the windows' shingles, and one END_MARK row for each document."""
     keys = stored(windows.select(F.explode("shingles").alias("h")).distinct(), "shingles")
     short = sorted(r[0] for r in windows.where(F.col("size") < SHINGLE).select("size").distinct().collect())  # SHINGLE - 1 values at most
-    texts = documents.select("doc_id", F.xxhash64("text").alias("text_key"), split_words(F.lower("text")).alias("words"))
+    texts = documents.select("doc_id", F.xxhash64("text").alias("text_key"), split_words(ascii_lower(F.col("text"))).alias("words"))
     marked = keys.union(keys.sparkSession.createDataFrame([(END_MARK,)], "h long"))
     if keys.count() > 0:
         marked = sized(stored(marked, "marked_shingles"))
@@ -73,7 +72,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = 13,
     hit words reach the words of the document. Only doc_id, text and item_id, text are read, so further columns may have any
     name. Null or empty texts have no words and are clean; so is every document if the benchmark is empty. Repeated rows and
     ids come back as often as given, each judged by its own text; a null doc_id is kept. Items with null ids hit words but
-    are not counted or listed. Repeated items count once.
+    are not counted or listed. Repeated items count once. Texts of any length are read whole.
     """
     windows = stored(benchmark_windows(benchmark, window), "windows")
     positions = shingle_positions(documents, windows)

@@ -78,12 +78,12 @@ def template_table(spark, templates: Mapping[str, str]) -> DataFrame:
 
 
 def matches(documents: DataFrame, templates: Mapping[str, str] = TEMPLATES, threshold: float = 0.8) -> DataFrame:
-    """(doc_id, text_key, licence, score, first, last): the best window of each template, first of equals; word positions
-    from 0. Of overlapping matches the best stays, the longer of equals, then the smaller name."""
+    """(doc_id, text_key, licence, score, first, last): windows that are similar enough; word positions from 0. They are taken from
+    the best on (of equals the longer, then the smaller name, then the earlier) unless they overlap one that was taken."""
     known = stored(template_table(documents.sparkSession, templates), "templates")
-    each = known.select("licence", "size", F.size("grams").alias("n_grams"), F.explode("grams").alias("gram")).withColumn("h", F.xxhash64(F.lower("gram")))
+    each = known.select("licence", "size", F.size("grams").alias("n_grams"), F.explode("grams").alias("gram")).withColumn("h", F.xxhash64("gram"))
     keys = F.broadcast(each.select("h").distinct())  # bounded by the given templates
-    texts = documents.select("doc_id", F.xxhash64("text").alias("text_key"), split_words(F.lower("text")).alias("words"))
+    texts = documents.select("doc_id", F.xxhash64("text").alias("text_key"), split_words(ascii_lower(F.col("text"))).alias("words"))
     hashes = F.when(F.size("words") > 1, F.transform(F.sequence(F.lit(0), F.size("words") - 2), lambda i: F.xxhash64(F.concat_ws(" ", F.get(F.col("words"), i), F.get(F.col("words"), i + 1)))))
     hits = stored(texts.select(*KEY, F.size("words").alias("n_words"), F.posexplode(hashes).alias("pos", "h")).join(keys, "h").select(*KEY, "n_words", "pos", "h").distinct(), "bigram_hits")
 
@@ -107,17 +107,15 @@ def matches(documents: DataFrame, templates: Mapping[str, str] = TEMPLATES, thre
     cut = plain.join(per_text, same(plain, per_text)).select(plain["doc_id"], plain["text_key"], F.size("words").alias("n_words"), F.explode(F.transform("found", lambda c: F.struct(c["licence"].alias("licence"), c["start"].alias("first"), F.slice("words", c["start"] + 1, c["size"]).alias("w")))).alias("c"))
     compared = cut.select(*KEY, "c.licence", "c.first", F.array_distinct(bigrams(F.col("c.w"))).alias("own"), F.size("c.w").alias("length")).join(F.broadcast(known), "licence")
     dice = 2 * F.size(F.array_intersect("own", "grams")) / (F.size("own") + F.size("grams"))
-    best = compared.withColumn("score", dice).where(F.col("score") >= threshold).groupBy(*KEY, "licence").agg(F.max(F.struct("score", (-F.col("first")).alias("early"), "length")).alias("m"))
-    spans = best.select(*KEY, F.struct(F.col("m.score").alias("score"), F.col("m.length").alias("length"), "licence", (-F.col("m.early")).alias("first")).alias("m"))
-    listed = spans.groupBy(*KEY).agg(F.collect_list("m").alias("all"))  # one per template at most
+    alike = compared.withColumn("score", dice).where(F.col("score") >= threshold)
+    order = F.struct((-F.col("score")).alias("worse"), (-F.col("length")).alias("shorter"), "licence", "first", "score", "length")
+    listed = alike.groupBy(*KEY).agg(F.array_sort(F.collect_list(order)).alias("all"))
 
-    def better(a: Column, b: Column) -> Column:
-        return (a["score"] > b["score"]) | ((a["score"] == b["score"]) & ((a["length"] > b["length"]) | ((a["length"] == b["length"]) & (a["licence"] < b["licence"]))))
+    def take(taken: Column, m: Column) -> Column:
+        met = F.exists(taken, lambda o: (o["first"] < m["first"] + m["length"]) & (m["first"] < o["first"] + o["length"]))
+        return F.when(met, taken).otherwise(F.concat(taken, F.array(m)))
 
-    def beaten(m: Column) -> Column:
-        return F.exists("all", lambda o: better(o, m) & (o["first"] < m["first"] + m["length"]) & (m["first"] < o["first"] + o["length"]))
-
-    kept = listed.select(*KEY, F.explode(F.filter("all", lambda m: ~beaten(m))).alias("m"))
+    kept = listed.select(*KEY, F.explode(F.aggregate("all", F.slice("all", 1, 0), take)).alias("m"))
     return kept.select(*KEY, "m.licence", "m.score", "m.first", (F.col("m.first") + F.col("m.length") - 1).alias("last"))
 
 
@@ -145,8 +143,9 @@ def oracle_sql(templates: Mapping[str, str] = TEMPLATES, threshold: float = 0.8)
     values = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in sorted(templates.items()))
     words = lambda t: rf"regexp_extract_all(translate(coalesce({t}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
     pairs = lambda w: f"list_distinct(list_transform(range(1, len({w})), lambda i: {w}[i] || ' ' || {w}[i + 1]))"
+    apart = lambda w: f"list_filter({w}[2:], lambda o: o.first >= {w}[1].first + {w}[1].length OR {w}[1].first >= o.first + o.length)"
     return f"""
-WITH tw AS (SELECT licence, {words('t')} AS w FROM (VALUES {values}) v(licence, t)),
+WITH RECURSIVE tw AS (SELECT licence, {words('t')} AS w FROM (VALUES {values}) v(licence, t)),
 tp AS (SELECT licence, len(w) AS size, {pairs('w')} AS grams FROM tw WHERE len(w) > 1),
 tg AS (SELECT licence, size, grams, unnest(grams) AS gram FROM tp),
 d AS (SELECT row_number() OVER () AS r, doc_id, {words('text')} AS w FROM documents),
@@ -155,9 +154,9 @@ st AS (SELECT DISTINCT g.r, licence, size, grams, CASE WHEN len(w) < size THEN 1
 wn AS (SELECT st.r, licence, first, grams, w[first:first + size - 1] AS x FROM st JOIN d ON d.r = st.r),
 ow AS (SELECT *, {pairs('x')} AS own FROM wn),
 sc AS (SELECT r, licence, first - 1 AS first, len(x) AS length, 2 * len(list_intersect(own, grams))::DOUBLE / (len(own) + len(grams))::DOUBLE AS score FROM ow),
-bs AS (SELECT * FROM sc WHERE score >= {threshold}::DOUBLE QUALIFY row_number() OVER (PARTITION BY r, licence ORDER BY score DESC, first) = 1),
-kp AS (SELECT * FROM bs m WHERE NOT EXISTS (SELECT 1 FROM bs o WHERE o.r = m.r AND o.first < m.first + m.length AND m.first < o.first + o.length
-  AND (o.score > m.score OR (o.score = m.score AND (o.length > m.length OR (o.length = m.length AND o.licence < m.licence)))))),
+al AS (SELECT r, list({{'licence': licence, 'first': first, 'length': length, 'score': score}} ORDER BY score DESC, length DESC, licence, first) AS l FROM sc WHERE score >= {threshold}::DOUBLE GROUP BY r),
+tk AS (SELECT r, l[1] AS m, {apart('l')} AS rest FROM al UNION ALL SELECT r, rest[1], {apart('rest')} FROM tk WHERE len(rest) > 0),
+kp AS (SELECT r, m.licence AS licence, m.first AS first, m.length AS length, m.score AS score FROM tk),
 ag AS (SELECT r, count(*) AS n, string_agg(licence, ',' ORDER BY first, first + length, licence) AS licences, string_agg(first || '-' || (first + length - 1), ',' ORDER BY first, first + length, licence) AS spans, max(score) AS best FROM kp GROUP BY r)
 SELECT doc_id, coalesce(n, 0) AS n_licences, coalesce(licences, '') AS licences, coalesce(spans, '') AS spans, coalesce(best, 0) AS best_score FROM d LEFT JOIN ag USING (r)
 """
