@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from voxelweave.checks import ContractError
-from voxelweave.functions import stats
-from voxelweave.operators import effects, inference
+from voxelweave.functions import ranks, stats
+from voxelweave.operators import effects, features, inference
 
 COHORTS = {"EN": 5, "FR": 6, "ZH": 7}
 REGIONS = {"L_IFG": "SEMANTIC", "R_MTG": "SEMANTIC", "L_A1": "AUDITORY", "R_STG": "AUDITORY"}
@@ -82,7 +82,7 @@ def test_published_holm_values(spark):
     # Published one-sided p values of the twelve cells that are below 1, and their corrected values.
     raw = [1.0, 0.9658034196580342, 9.999000099990002e-05]
     df = spark.createDataFrame([(i, p) for i, p in enumerate(raw)], "i int, p_raw double")
-    got = {r.i: r.p_holm for r in stats.holm(df).collect()}
+    got = {r.i: r.p_holm for r in ranks.holm(df, parts=3).collect()}
     assert got[2] == pytest.approx(3 * raw[2]) and got[0] == 1.0 and got[1] == 1.0
 
 
@@ -90,7 +90,7 @@ def test_holm_against_loop(spark):
     rng = np.random.default_rng(0)
     p = np.round(rng.uniform(0, 0.2, 30), 2)
     df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(p)], "i int, p_raw double")
-    got = {r.i: r.p_holm for r in stats.holm(df).collect()}
+    got = {r.i: r.p_holm for r in ranks.holm(df, parts=3).collect()}
     worst = 0.0
     for rank, i in enumerate(np.argsort(p, kind="stable")):
         worst = max(worst, p[i] * (30 - rank))
@@ -143,6 +143,28 @@ def test_dense_index_matches_order(spark):
     assert got == {v: i for i, v in enumerate(sorted(ids))}
 
 
+def test_ranges_are_even_whatever_the_groups_and_values(spark):
+    """One group with nearly all rows, many of one row, and values that an outlier would push into one equal-width range."""
+    rng = np.random.default_rng(4)
+    rows = [("giant", float(v)) for v in rng.normal(size=6000)] + [("giant", 1e12)] + [(f"g{i}", float(i)) for i in range(300)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    dealt = ranks.in_ranges(df, ["k"], ["v"], parts=8)
+    sizes = [r["count"] for r in dealt.groupBy("k", ranks.RANGE).count().collect()]
+    assert max(sizes) < 2 * len(rows) / 8 and sum(sizes) == len(rows)
+    got = [r for r in ranks.ranked(df, ["k"], ["v"], "place", parts=8).collect() if r.k == "giant"]
+    assert [r.place for r in sorted(got, key=lambda r: r.v)] == list(range(6001))
+    top = {r.v: r.top for r in ranks.running(dealt, ["k"], ["v"], top=("max", -F.col("v"))).collect() if r.k == "giant"}
+    assert set(top.values()) == {-min(top)}
+
+
+def test_derangements_of_a_giant_run(spark):
+    rows = spark.range(2000).selectExpr("'EN' as language", "1 as canonical_run", "id as triplet_row_index").union(spark.range(3).selectExpr("'EN'", "2", "id + 9000"))
+    got = features.shuffle_permutations(rows, 2, 1).collect()
+    for shuffle in (0, 1):
+        one = {r.triplet_row_index: r.permuted_row_index for r in got if r.shuffle_index == shuffle}
+        assert sorted(one) == sorted(one.values()) and len(one) == 2003 and all(a != b and (a < 9000) == (b < 9000) for a, b in one.items())
+
+
 def test_null_correlations_stay_null(spark):
     assert spark.range(1).select(stats.fisher_z(F.lit(None).cast("double")).alias("z")).first().z is None
 
@@ -150,5 +172,5 @@ def test_null_correlations_stay_null(spark):
 @pytest.mark.parametrize("values", [[1.0], [2.0, 2.0, 2.0], list(np.round(np.random.default_rng(1).normal(size=301), 2)), [0.0] * 50 + [1e9]])
 def test_exact_percentiles(spark, values):
     df = spark.createDataFrame([("g", float(v)) for v in values] + [("g", None), ("h", 3.0)], "k string, v double")
-    got = {r.k: r for r in stats.exact_percentiles(df, ["k"], "v", {"low": 0.025, "mid": 0.5, "high": 0.975}, buckets=16).collect()}
+    got = {r.k: r for r in ranks.exact_percentiles(df, ["k"], "v", {"low": 0.025, "mid": 0.5, "high": 0.975}, parts=5).collect()}
     assert np.allclose([got["g"].low, got["g"].mid, got["g"].high], np.quantile(values, [0.025, 0.5, 0.975])) and got["h"].mid == 3.0

@@ -104,6 +104,7 @@ SELECT model, language, roi_family, layer_index AS block, layer_depth AS block_d
 FROM (SELECT model, language, roi_family, layer_index, layer_depth,
   avg(mean_z) FILTER (condition = 'shared') - avg(mean_z) FILTER (condition = 'specific') AS d FROM v_layer_source GROUP BY 1, 2, 3, 4, 5)
 QUALIFY row_number() OVER (PARTITION BY model, language, roi_family ORDER BY round(d, 10) DESC NULLS LAST, layer_index) = 1"""
+ORACLE["complete_layer_grid"] = ORACLE["representative_layers"]
 ORACLE["prioritised_group_tables"] = f"""
 SELECT language, model, roi_family, {rs('mean_z')}, roi_name, layer_index, layer_depth, condition, source_priority FROM (
   SELECT language, model, roi_family, mean_z, roi_name, layer_index, layer_depth, condition, 0 AS source_priority FROM v_layer_source

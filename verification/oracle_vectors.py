@@ -194,6 +194,17 @@ SELECT {keys}, d, m / greatest(sqrt(sum(m * m) OVER (PARTITION BY {keys})), 1e-8
 
 VIEWS["v_story_vectors"] = encoded("v_story_rows", "triplet_row_index, language")
 ORACLE["distinct_text_encoding"] = f"SELECT language, triplet_row_index, CAST(d AS INTEGER) AS dim, {r('v', 'value')} FROM v_story_vectors"
+ORACLE["filled_row_index"] = """
+SELECT o_orderkey, o_custkey + 3 AS triplet_id, CAST(c_nationkey AS BIGINT) AS triplet_row_index FROM orders JOIN customer ON c_custkey = o_custkey + 3"""
+ORACLE["parsed_token_metadata"] = """
+SELECT p_partkey, CAST(i AS INTEGER) AS token_index, substr(p_name, CAST(i * 4 + 1 AS INTEGER), 4) AS token, i * 4 AS start, least(i * 4 + 4, length(p_name)) AS "end"
+FROM (SELECT p_partkey, p_name, unnest(range((length(p_name) + 3) // 4)) AS i FROM part)"""
+VIEWS["v_longer"] = "SELECT triplet_row_index, text || ' encore' AS text FROM v_story_rows WHERE language = 'FR' AND triplet_row_index % 2 = 0"
+VIEWS["v_longer_vectors"] = encoded("v_longer", "triplet_row_index")
+ORACLE["mutated_shared_vectors"] = f"""
+SELECT f.triplet_row_index, CAST(f.d AS INTEGER) AS dim, {r('(coalesce(c.v, f.v) + z.v) / 2', 'value')}
+FROM (FROM v_story_vectors WHERE language = 'FR') f JOIN (FROM v_story_vectors WHERE language = 'ZH') z ON z.triplet_row_index = f.triplet_row_index AND z.d = f.d
+LEFT JOIN v_longer_vectors c ON c.triplet_row_index = f.triplet_row_index AND c.d = f.d"""
 ORACLE["packed_batches"] = """
 WITH RECURSIVE p AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS position, greatest(1, n_chars) AS cost FROM documents),
 step AS (SELECT lang, position, cost AS fill, 0::BIGINT AS batch_index FROM p WHERE position = 0

@@ -1,4 +1,4 @@
-"""Small statistical expressions: Fisher z, Holm windows, stable hashing, index assignment."""
+"""Small statistical expressions: Fisher z, stable hashing, index assignment by bounded id ranges (skewed groups: ``ranks``)."""
 
 from __future__ import annotations
 
@@ -47,34 +47,13 @@ def alpha_grid(low: float = -2.0, high: float = 6.0, n: int = 15) -> list[float]
     return [10.0 ** (low + (high - low) * i / (n - 1)) for i in range(n)]
 
 
-def holm(df: DataFrame, p: str = "p_raw", out: str = "p_holm", family: Sequence[str] = ()) -> DataFrame:
-    """Holm step-down over all tests of a family.
-
-    Input is one row per hypothesis test (models x languages x hypotheses), not data rows, so a
-    single window over the grid is the right size; ``family`` splits it when there are several grids.
-    """
-    if not family:
-        df = df.withColumn("_family", F.lit(0))
-    keys = list(family) or ["_family"]
-    ranked = Window.partitionBy(*keys).orderBy(p)
-    whole = Window.partitionBy(*keys)
-    step = F.col(p) * (F.count(F.lit(1)).over(whole) - F.row_number().over(ranked) + 1)
-    running = ranked.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return (
-        df.withColumn("_step", step)
-        .withColumn(out, F.least(F.lit(1.0), F.max("_step").over(running)))
-        .drop("_step", "_family")
-    )
-
-
 def dense_index(
     df: DataFrame, group: Sequence[str], bucket: Column, order: Sequence[str], out: str = "row_index"
 ) -> DataFrame:
     """0-based position by (bucket, order) inside each group without putting a group into one task.
 
     Rows are numbered per (group, bucket); bucket offsets are running sums over the bucket counts, a
-    table with one row per bucket. Buckets have to be bounded: a hash prefix, or a fixed id width for
-    unique ids.
+    table with one row per bucket. Buckets have to be bounded: a fixed id width for unique ids.
     """
     buckets = df.withColumn("_bucket", bucket)
     if not group:
@@ -95,35 +74,3 @@ def dense_index(
 def index_by_id(df: DataFrame, id_column: str, out: str = "triplet_row_index", width: int = 65536) -> DataFrame:
     """Row index in ascending order of a unique integer id; a bucket holds at most ``width`` ids."""
     return dense_index(df, [], F.floor(F.col(id_column) / F.lit(width)), [id_column], out)
-
-
-def exact_percentiles(df: DataFrame, group: Sequence[str], value: str, probs: dict[str, float], buckets: int = 1024) -> DataFrame:
-    """Percentiles with linear interpolation, without collecting a group in one task.
-
-    Equal values collapse into counts first; ranks come from running sums inside value ranges plus the
-    offsets of the ranges, a table of at most ``buckets`` rows per group.
-    """
-    group = list(group)
-    tallied = df.where(F.col(value).isNotNull()).groupBy(*group, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    span = tallied.groupBy(*group).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_c").alias("_n"))
-    share = (F.col("_v") - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
-    bucket = F.least(F.lit(buckets - 1), F.floor(F.coalesce(share, F.lit(0.0)) * buckets))
-    placed = tallied.join(span, group).withColumn("_bucket", bucket)
-    before = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = placed.groupBy(*group, "_bucket").agg(F.sum("_c").alias("_t")).select(
-        *group, "_bucket", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_offset")
-    )
-    inside = Window.partitionBy(*group, "_bucket").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = placed.withColumn("_end", F.sum("_c").over(inside)).join(offsets, [*group, "_bucket"]).withColumn("_end", F.col("_end") + F.col("_offset"))
-    start, end = F.col("_end") - F.col("_c"), F.col("_end")
-
-    def at(rank: Column) -> Column:
-        return F.max(F.when((start <= rank) & (rank < end), F.col("_v")))
-
-    out = []
-    for name, p in probs.items():
-        position = (F.col("_n") - 1) * F.lit(float(p))
-        low = F.floor(position)
-        lower, upper = at(low), at(F.least(low + 1, F.col("_n") - 1))
-        out.append((lower + (upper - lower) * F.max(position - low)).alias(name))
-    return ranked.groupBy(*group).agg(*out)

@@ -8,13 +8,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from voxelweave.functions.ranks import ranked
 from voxelweave.functions.stats import hash_int
 from voxelweave.functions.vector import (
     dot, doubles, l2_normalised, lane_sums, lane_values, lanes, let, mean_of_two, norm, scaled, without_projection,
 )
 from voxelweave.operators.upserts import upsert_scope
 from voxelweave.schemas import LANGUAGES
-from voxelweave.session import spread
+from voxelweave.session import cut, spread
 
 GROUP = ["model", "block", "state"]
 LANE = 16
@@ -124,29 +125,22 @@ def vector_differences(a: DataFrame, b: DataFrame, keys: Sequence[str], report:
     )
 
 
-def shuffle_permutations(rows: DataFrame, n_shuffles: int, seed: int, bucket_rows: int = 65536) -> DataFrame:
+def shuffle_permutations(rows: DataFrame, n_shuffles: int, seed: int) -> DataFrame:
     """Run-local derangements: order each run by a hash and pass every row on to the next one, cyclically.
 
-    Small ``hash buckets`` keep windows bounded: inside a bucket ``lead`` finds the successor, and the last
-    row of a bucket takes the head of the next non-empty bucket (the first one after the last). A run with one
-    row maps to itself and has to be rejected by ``singleton_runs``.
+    Positions come from sampled ranges, so a run may hold any share of the rows. A run with one row maps to itself and
+    has to be rejected by ``singleton_runs``.
     """
     keys = ["language", "shuffle_index", "canonical_run"]
     drawn = rows.select(
         "language", "canonical_run", "triplet_row_index",
         F.explode(F.sequence(F.lit(0), F.lit(n_shuffles - 1))).alias("shuffle_index"),
     ).withColumn("_order", F.md5(F.concat_ws("|", F.lit(str(seed)), "language", "shuffle_index", "canonical_run", "triplet_row_index")))
-    drawn = drawn.withColumn("_bucket", F.substring("_order", 1, 3))
-    inside = Window.partitionBy(*keys, "_bucket").orderBy("_order", "triplet_row_index")
-    heads = drawn.groupBy(*keys, "_bucket").agg(F.min_by("triplet_row_index", F.struct("_order", "triplet_row_index")).alias("_head"))
-    ring = Window.partitionBy(*keys).orderBy("_bucket")
-    whole = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    heads = heads.withColumn("_next_head", F.coalesce(F.lead("_head").over(ring), F.first("_head").over(whole)))
-    return (
-        drawn.withColumn("_next", F.lead("triplet_row_index").over(inside))
-        .join(heads.drop("_head"), [*keys, "_bucket"])
-        .select(*keys, "triplet_row_index", F.coalesce("_next", "_next_head").alias("permuted_row_index"))
-    )
+    placed = cut(ranked(drawn, keys, ["_order", "triplet_row_index"], "_place").drop("_order"))
+    sizes = rows.groupBy("language", "canonical_run").agg(F.count(F.lit(1)).alias("_n"))
+    here = placed.join(sizes, ["language", "canonical_run"]).withColumn("_next", (F.col("_place") + 1) % F.col("_n"))
+    following = placed.select(*keys, F.col("_place").alias("_next"), F.col("triplet_row_index").alias("permuted_row_index"))
+    return here.join(following, [*keys, "_next"]).select(*keys, "triplet_row_index", "permuted_row_index")
 
 
 def singleton_runs(rows: DataFrame) -> DataFrame:

@@ -13,7 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from voxelweave.checks import axis, coverage_gaps, demand_empty
-from voxelweave.functions.stats import dense_index, holm, stable_offset
+from voxelweave.functions.ranks import holm, ranked
+from voxelweave.functions.stats import stable_offset
 from voxelweave.operators.effects import subject_family_deltas
 from voxelweave.schemas import ATTENTION_STATES, FEEDFORWARD_STATES, H1, H2
 from voxelweave.session import broadcast_if_small, cut, spread
@@ -102,10 +103,10 @@ def bootstrap_draws(effects: DataFrame, bootstraps: int, seed: int, cell: Sequen
 
     Draws are generated where they are summed: blocks of draws are dealt over the executors, one hash gives four
     positions, and values are looked up by a broadcast of the cells' effects if those are few, so that neither
-    draws times subjects rows nor their positions are shuffled. The index is built from bounded hash buckets.
+    draws times subjects rows nor their positions are shuffled. The index comes from sampled ranges of equal depth.
     """
-    bucket = F.substring(F.md5(F.col("subject_id").cast("string")), 1, 2)
-    indexed = dense_index(effects.select(*cell, "subject_id", "effect_value"), cell, bucket, ["subject_id"], "slot")
+    shuffled = effects.select(*cell, "subject_id", "effect_value", F.substring(F.md5(F.col("subject_id").cast("string")), 1, 2).alias("_order"))
+    indexed = ranked(shuffled, cell, ["_order", "subject_id"], "slot")
     values = cut(indexed.select(*cell, F.col("slot").alias("pick"), "effect_value"))
     sizes = values.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"))
     blocks = sizes.select(*cell, "n", F.explode(F.sequence(F.lit(0), F.lit((bootstraps - 1) // DRAWS_PER_BLOCK))).alias("_block"))

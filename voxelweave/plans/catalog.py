@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from voxelweave import checks
-from voxelweave.functions import stats
+from voxelweave.functions import ranks, stats
 from voxelweave.operators import effects, inference, manifests, upserts
 from voxelweave.plans import bindings as b, reports
 
@@ -140,6 +140,15 @@ def representative_layers(spark, sf):
     return rounded(effects.representative_layers(effects.layer_deltas(source)))
 
 
+@query
+def complete_layer_grid(spark, sf):
+    """The selected layers, after a check that every model, language and tested family has exactly one."""
+    groups = effects.group_results(b.subject_results(spark, sf))
+    expected = groups.where("roi_family <> 'CONTROL'").select("model", "language", "roi_family").distinct().count()
+    layers = effects.representative_layers(effects.layer_deltas(effects.normalise_group_source(groups)))
+    return rounded(effects.demand_row_count(layers, expected, "representative layers"))
+
+
 @query
 def prioritised_group_tables(spark, sf):
     """Two group tables in two layouts; the later one wins per key."""
@@ -198,7 +207,7 @@ def primary_coverage(spark, sf):
 def holm_by_supplier(spark, sf):
     """Holm correction of one made-up p per part, one family of tests per brand."""
     parts = b.table(spark, sf, "part").select("p_partkey", "p_brand", (F.col("p_retailprice") % 100 / 1000).alias("p_raw"))
-    return rounded(stats.holm(parts, family=["p_brand"]))
+    return rounded(ranks.holm(parts, family=["p_brand"]))
 
 
 @query
@@ -312,4 +321,4 @@ def figure9_region_preference(spark, sf):
 @query
 def price_percentiles(spark, sf):
     """Exact percentiles of line prices per return flag."""
-    return rounded(stats.exact_percentiles(b.table(spark, sf, "lineitem"), ["l_returnflag"], "l_extendedprice", {"ci_low": 0.025, "ci_high": 0.975}))
+    return rounded(ranks.exact_percentiles(b.table(spark, sf, "lineitem"), ["l_returnflag"], "l_extendedprice", {"ci_low": 0.025, "ci_high": 0.975}))

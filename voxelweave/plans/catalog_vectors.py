@@ -214,6 +214,42 @@ def mapping_failures(spark, sf):
     return words.sentence_candidates(story, metadata, ["triplet_row_index", "sentence_language"])[1]
 
 
+@query
+def filled_row_index(spark, sf):
+    """Orders as rows that carry an id only; the row index of the id is looked up, unknown ids drop out."""
+    rows = b.table(spark, sf, "orders").select("o_orderkey", (F.col("o_custkey") + 3).alias("triplet_id"))
+    known = b.table(spark, sf, "customer").select(F.col("c_custkey").alias("triplet_id"), F.col("c_nationkey").cast("bigint").alias("triplet_row_index"))
+    return words.fill_row_index(rows, known)
+
+
+@query
+def parsed_token_metadata(spark, sf):
+    """Token strings and offsets of part names from JSON text, one row per token."""
+    offsets = F.filter(b.piece_offsets(F.col("p_name")), lambda s: s["end"] > s["start"])
+    tokens = F.transform(offsets, lambda s: F.substring(F.col("p_name"), s["start"] + 1, s["end"] - s["start"]))
+    written = b.table(spark, sf, "part").select(
+        "p_partkey", F.to_json(tokens).alias("token_strings_json"), F.to_json(F.transform(offsets, lambda s: F.array(s["start"], s["end"]))).alias("char_offsets_json")
+    )
+    parsed = words.parse_token_json(written)
+    each = parsed.select("p_partkey", "token_strings", F.posexplode("char_offsets").alias("token_index", "_span"))
+    return each.select(
+        "p_partkey", "token_index", F.get("token_strings", F.col("token_index")).alias("token"),
+        F.col("_span.start").cast("bigint").alias("start"), F.col("_span.end").cast("bigint").alias("end"),
+    )
+
+
+@query
+def mutated_shared_vectors(spark, sf):
+    """Shared vectors of English after a word was added to the French text of every second triplet; the others keep their stored vector."""
+    encoder = features.digest_encoder(b.ENCODER_DIMS)
+    lines = b.by_language(_story(spark, sf)).select("language", "triplet_row_index", "text")
+    requests = lines.where("language = 'EN'").select("triplet_row_index")
+    changed = lines.where("language = 'FR' AND triplet_row_index % 2 = 0").withColumn("text", F.concat("text", F.lit(" encore")))
+    encoded = features.encode_distinct(changed, encoder).withColumnRenamed("language", "sentence_language")
+    states = features.encode_distinct(lines, encoder)
+    return long_form(features.mutated_shared(requests, encoded, states, "EN"), ["triplet_row_index"])
+
+
 @query
 def distinct_text_encoding(spark, sf):
     """Story sentences encoded once per distinct text."""

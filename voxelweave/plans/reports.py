@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from voxelweave.checks import axis
-from voxelweave.functions.stats import exact_percentiles
+from voxelweave.functions.ranks import exact_percentiles
 from voxelweave.functions.text import marker, roi_stem
 from voxelweave.operators.effects import group_region_deltas, real
 from voxelweave.schemas import HEATMAP_STATES, TABLE4_STEMS
