@@ -1,3 +1,4 @@
+import hashlib
 import itertools
 
 import numpy as np
@@ -179,6 +180,24 @@ def test_samples_without_replacement_match_the_cells(spark):
     assert picks.groupby("draw").word_index.apply(tuple).nunique() > 1
 
 
+def test_draws_are_sets_of_free_positions(spark):
+    """Every draw of a cell against a plain list of the positions that are left, and all words equally often."""
+    spec = [[("FR", "CONTENT")] * 23, [("FR", "CONTENT")] * 6]
+    plan = deletion.matching_plan(deletion.rank_words(candidate_table(spark, spec)), [3]).cache()
+    picks = deletion.sample_words(plan, 400, 5).toPandas()
+    keys = plan.select(*deletion.GROUP).distinct().toPandas().set_index("triplet_row_index", drop=False)
+    for t, words in enumerate([range(3, 23), range(3, 6)]):
+        for draw, group in picks[picks.triplet_row_index == t].groupby("draw"):
+            left, want = list(words), []
+            for i in range(3):
+                text = "|".join(map(str, [5, *keys.loc[t, deletion.GROUP], 3, draw, "FR|CONTENT", i]))
+                want.append(left.pop(int(hashlib.md5(text.encode()).hexdigest()[:15], 16) % len(left)))
+            assert sorted(group.word_index) == sorted(want)
+    often = picks[picks.triplet_row_index == 0].word_index.value_counts()
+    assert len(often) == 20 and often.min() > 30 and often.max() < 95  # 60 expected
+    assert picks.groupby(["triplet_row_index", "draw"]).size().eq(3).all()
+
+
 def test_total_count_fallbacks(spark):
     spec = [[("FR", "CONTENT")] * 4, [("FR", "CONTENT"), ("FR", "EDGE"), ("FR", "PUNCT"), ("FR", "PUNCT")], [("FR", "CONTENT"), ("FR", "CONTENT"), ("ZH", "EDGE")], [("FR", "EDGE")]]
     plan = deletion.total_count_plan(deletion.rank_words(candidate_table(spark, spec)), 2)

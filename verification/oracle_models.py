@@ -132,18 +132,26 @@ VIEWS["v_plan"] = plan("[1, 2]")
 ORACLE["matching_plan"] = f"""
 SELECT {KEY}, triplet_row_index, k, policy, cell, need, count(*) AS n_words, count(*) FILTER (eligible) AS n_eligible, count(*) FILTER (selected) AS n_selected
 FROM v_plan GROUP BY language, roi_family, subject_id, triplet_row_index, k, policy, cell, need"""
-HASH = """md5('1337|m0|' || language || '|0|OUTPUT|' || roi_family || '|' || subject_id || '|' || triplet_row_index || '|' || k || '|' || draw || '|' || sentence_language
-  || '|' || word_index || '|' || word_char_start || '|' || word_char_end)"""
-VIEWS["v_sampled"] = f"""
-SELECT * FROM v_plan, (SELECT CAST(unnest(range(4)) AS INTEGER) AS draw) WHERE eligible AND need > 0
-QUALIFY row_number() OVER (PARTITION BY {GROUP}, k, draw, cell ORDER BY {HASH}) <= need"""
+def sampled(rows: str, draws: int) -> str:
+    """One or two words of each cell for every draw; the second is counted among those the first has left."""
+    key = f"{GROUP}, k, cell"
+    number = lambda i: f"""CAST('0x' || substr(md5('1337|m0|' || language || '|0|OUTPUT|' || roi_family || '|' || subject_id || '|' || triplet_row_index
+  || '|' || k || '|' || draw || '|' || cell || '|{i}'), 1, 15) AS BIGINT)"""
+    return f"""
+WITH w AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY {WORD}) - 1 AS place, count(*) OVER (PARTITION BY {key}) AS n FROM ({rows})),
+c AS (SELECT *, {number(0)} % n AS one, CASE WHEN need > 1 AND n > 1 THEN {number(1)} % (n - 1) END AS two
+  FROM (SELECT DISTINCT {key}, need, n FROM w), (SELECT CAST(unnest(range({draws})) AS INTEGER) AS draw)),
+t AS (SELECT {key}, draw, one AS place FROM c UNION ALL SELECT {key}, draw, two + CAST(two >= one AS INTEGER) FROM c WHERE two IS NOT NULL)
+SELECT w.*, t.draw FROM t JOIN w USING ({key}, place)"""
+
+
+VIEWS["v_sampled"] = sampled("SELECT * FROM v_plan WHERE eligible AND need > 0", 100)
 ORACLE["sampled_words"] = f"SELECT {KEY}, triplet_row_index, k, draw, {WORD} FROM v_sampled"
-ORACLE["total_count_sample"] = f"""
-WITH p AS (SELECT *, 2 AS k, least(2, count(*) OVER g) AS need, count(*) FILTER (score_rank > 2) OVER g AS pool,
-    count(*) FILTER (score_rank > 2 AND token_class <> 'PUNCT') OVER g AS spoken FROM v_ranked WINDOW g AS (PARTITION BY {GROUP}))
-SELECT {KEY}, triplet_row_index, k, draw, {WORD} FROM p, (SELECT CAST(unnest(range(2)) AS INTEGER) AS draw)
-WHERE pool < need OR (score_rank > 2 AND (token_class <> 'PUNCT' OR spoken < need))
-QUALIFY row_number() OVER (PARTITION BY {GROUP}, draw ORDER BY {HASH}) <= need"""
+TOTAL = f"""
+SELECT * FROM (SELECT *, CAST(2 AS INTEGER) AS k, 'all' AS cell, least(2, count(*) OVER g) AS need, count(*) FILTER (score_rank > 2) OVER g AS pool,
+  count(*) FILTER (score_rank > 2 AND token_class <> 'PUNCT') OVER g AS spoken FROM v_ranked WINDOW g AS (PARTITION BY {GROUP}))
+WHERE pool < need OR (score_rank > 2 AND (token_class <> 'PUNCT' OR spoken < need))"""
+ORACLE["total_count_sample"] = f"SELECT {KEY}, triplet_row_index, k, draw, {WORD} FROM ({sampled(TOTAL, 100)})"
 CORR = "greatest(-0.999999e0, least(0.999999e0, coalesce(CASE WHEN var_pop({a}) > 0 AND var_pop({p}) > 0 THEN corr({a}, {p}) END, 0e0)))"
 VIEWS["v_base_z"] = f"""
 SELECT language, roi_family, subject_id, avg(atanh(c)) AS base_z FROM (
@@ -151,7 +159,7 @@ SELECT language, roi_family, subject_id, avg(atanh(c)) AS base_z FROM (
 ORACLE["base_scores"] = f"SELECT {KEY}, {rs('base_z')} FROM v_base_z"
 VIEWS["v_picks"] = f"""
 SELECT {GROUP}, canonical_run, k, -1 AS draw, sentence_language, word_char_start AS s, word_char_end AS e FROM v_plan WHERE selected
-UNION ALL SELECT {GROUP}, canonical_run, k, draw, sentence_language, word_char_start, word_char_end FROM v_sampled"""
+UNION ALL SELECT {GROUP}, canonical_run, k, draw, sentence_language, word_char_start, word_char_end FROM v_sampled WHERE draw < 4"""
 VIEWS["v_requests"] = f"""
 SELECT {GROUP}, canonical_run, k, draw, sentence_language, list({{'s': s, 'e': e}} ORDER BY s DESC) AS sp FROM v_picks GROUP BY ALL"""
 # k is at most 2, so at most two cuts from right to left.

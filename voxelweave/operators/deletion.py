@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from voxelweave.functions.stats import fisher_z, pearson_from_sums
+from voxelweave.functions.stats import fisher_z, hash_int, pearson_from_sums
 from voxelweave.functions.text import delete_spans
 from voxelweave.functions.vector import dot
 from voxelweave.operators.attribution import FOLD, SETTING, vector_changes
@@ -142,17 +142,41 @@ def total_count_plan(ranked: DataFrame, k: int, group: Sequence[str] = GROUP, *,
     return _eligible(rows.withColumn("policy", policy))
 
 
+def drawn_positions(n: Column, need: Column, number: Callable[[Column], Column]) -> Column:
+    """Sorted positions (from 0) of ``need`` draws without replacement out of ``n``; the i-th draw takes the (number(i) mod (n - i))-th
+    position that is still free."""
+
+    def take(taken: Column, i: Column) -> Column:
+        free = F.pmod(number(i), n - i)
+        at = F.aggregate(taken, free, lambda place, t: F.when(place >= t, place + 1).otherwise(place))
+        return F.array_sort(F.concat(taken, F.array(at)))
+
+    turns = F.sequence(F.lit(0).cast("bigint"), F.least(need, n) - 1)
+    return F.aggregate(turns, F.array().cast("array<bigint>"), take)
+
+
+def narrow(plan: DataFrame) -> DataFrame:
+    """What the texts of the draws need."""
+    return plan.select(*GROUP, "canonical_run", "k", "cell", "need", "eligible", *WORD)
+
+
 def sample_words(plan: DataFrame, draws: int, seed: int, group: Sequence[str] = GROUP) -> DataFrame:
-    """Sampling without replacement: the ``need`` smallest hashes of each (group, k, draw, cell)."""
-    drawn = plan.where(F.col("eligible") & (F.col("need") > 0)).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    token = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in [*group, "k", "draw", *WORD]]))
-    order = Window.partitionBy(*group, "k", "draw", "cell").orderBy("_hash", *WORD)
-    return (
-        drawn.withColumn("_hash", token)
-        .withColumn("_rank", F.row_number().over(order))
-        .where(F.col("_rank") <= F.col("need"))
-        .drop("_hash", "_rank")
+    """Sampling without replacement: ``need`` of the eligible words of each (group, k, cell), for every draw.
+
+    The words of a cell, those of one sentence at most, become one row in order; a draw hashes once for each word it takes,
+    so the work grows with the words drawn and not with words times draws. All columns of ``plan`` come along: select before.
+    """
+    key = [*group, "k", "cell"]
+    rest = [c for c in plan.columns if c not in (*key, *WORD, "need", "eligible")]
+    cells = plan.where(F.col("eligible") & (F.col("need") > 0)).groupBy(*key).agg(
+        F.max("need").cast("bigint").alias("_need"), F.array_sort(F.collect_list(F.struct(*WORD, *rest))).alias("_words")
     )
+    drawn = cells.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in [*group, "k", "draw", "cell"]])
+    places = drawn_positions(F.size("_words").cast("bigint"), F.col("_need"), lambda i: hash_int(text, i, digits=15))
+    taken = drawn.select(*key, "draw", "_words", F.explode(places).alias("_place"))
+    word = F.get("_words", F.col("_place").cast("int"))
+    return taken.select(*key, "draw", *[word[c].alias(c) for c in (*WORD, *rest)])
 
 
 def span_requests(selected: DataFrame, extra: Sequence[str]) -> DataFrame:
@@ -231,7 +255,7 @@ def deletion_rows(
     plan = cut(plan)  # read for the selection, the draws and the policy labels
     top = plan.where("selected").withColumn("draw", F.lit(-1))
     picks = top.select(*GROUP, "canonical_run", "k", "draw", *WORD).unionByName(
-        sample_words(plan, draws, seed).select(*GROUP, "canonical_run", "k", "draw", *WORD)
+        sample_words(narrow(plan), draws, seed).select(*GROUP, "canonical_run", "k", "draw", *WORD)
     )
     requests = cut(span_requests(picks, ["k", "draw"]))  # read for the texts, the gains and the draws
     changes = vector_changes(mutated_texts(requests, texts), states, encoder)

@@ -15,7 +15,9 @@ from voxelweave.session import cut, work_path
 from voxelweave.sources import sinks, tables, vectors
 
 ENCODER = digest_encoder(b.ENCODER_DIMS)
-KS, DRAWS = (1, 2), 4
+KS = (1, 2)
+DRAWS = 100  # as in the study
+SCORED_DRAWS = 4  # scoring still has a row per fold, draw and scan
 
 
 # ------------------------------------------------------------------ regression
@@ -190,14 +192,14 @@ def matching_plan(spark, sf):
 @query
 def sampled_words(spark, sf):
     plan = deletion.matching_plan(deletion.rank_words(_story_attributions(spark, sf)[0]), KS)
-    return deletion.sample_words(plan, DRAWS, SEED).select(*deletion.GROUP, "k", "draw", *deletion.WORD)
+    return deletion.sample_words(deletion.narrow(plan), DRAWS, SEED).select(*deletion.GROUP, "k", "draw", *deletion.WORD)
 
 
 @query
 def total_count_sample(spark, sf):
     """Random words matched on their number only."""
     plan = deletion.total_count_plan(deletion.rank_words(_story_attributions(spark, sf)[0]), 2)
-    return deletion.sample_words(plan, 2, SEED).select(*deletion.GROUP, "k", "draw", *deletion.WORD)
+    return deletion.sample_words(deletion.narrow(plan), DRAWS, SEED).select(*deletion.GROUP, "k", "draw", *deletion.WORD)
 
 
 @query
@@ -209,7 +211,7 @@ def _deletion(spark, sf):
     rows, parts, models, series = _story_attributions(spark, sf)
     return pipeline.run_deletion_validation(
         rows, models=models, series=series, basis=parts["basis"], texts=parts["texts"], states=parts["states"], encoder=ENCODER,
-        ks=KS, draws=DRAWS, seed=SEED,
+        ks=KS, draws=SCORED_DRAWS, seed=SEED,
     )
 
 
@@ -309,7 +311,7 @@ def deletion_validation_fitted(spark, sf):
     return rounded(
         pipeline.run_deletion_validation(
             rows, models=models, series=series, basis=parts["basis"], texts=parts["texts"], states=parts["states"], encoder=ENCODER,
-            ks=(1, 2, 3), draws=DRAWS, seed=SEED, adaptive_k3=True,
+            ks=(1, 2, 3), draws=SCORED_DRAWS, seed=SEED, adaptive_k3=True,
         )
     )
 
