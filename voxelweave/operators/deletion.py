@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from voxelweave.functions.stats import fisher_z, hash_int, pearson_from_sums
@@ -15,6 +17,7 @@ from voxelweave.session import cut, spread
 
 SUBJECT = [*SETTING, "roi_family", "subject_id"]
 GROUP = [*SUBJECT, "triplet_row_index"]
+SCANS_PER_BLOCK = 512
 WORD = ["sentence_language", "word_index", "word_char_start", "word_char_end"]
 
 # Policy labels, in the order they are tried.
@@ -215,30 +218,53 @@ def base_scores(sums: DataFrame) -> DataFrame:
     return sums.groupBy(*SUBJECT).agg(F.avg(_run_z(F.col("sp"), F.col("spp"), F.col("sap"))).alias("base_z"))
 
 
-def mutated_scores(gains: DataFrame, basis: DataFrame, series: DataFrame, sums: DataFrame, extra: Sequence[str]) -> DataFrame:
-    """Mean Fisher z after mutating the sentences listed in ``gains`` (group keys, extra, canonical_run, g).
-
-    Sentence changes add up per scan; only touched scans meet the series, as corrections to the fold
-    sums. Runs without a change keep their base score.
+def _block_corrections(key: tuple, changed: pd.DataFrame, scans: pd.DataFrame) -> pd.DataFrame:
+    """Corrections to the sums of one fold by one block of scans, for all its (k, draw) lanes at once."""
+    if changed.empty or scans.empty:
+        return pd.DataFrame(columns=[*FOLD, "k", "draw", "dp", "dpp", "dap"])
+    flat = lambda c, kind: np.concatenate([np.asarray(v, kind) for v in changed[c]])
+    lanes, lane = np.unique(np.stack([flat("ks", np.int64), flat("draws", np.int64)]), axis=1, return_inverse=True)
+    sentences = np.arange(len(changed))
+    gain = np.zeros((len(changed), lanes.shape[1]))
+    np.add.at(gain, (np.repeat(sentences, changed["ks"].map(len)), lane.ravel()), flat("gs", float))
+    place = pd.Index(scans["scan"]).get_indexer(flat("scans", np.int64))
+    weight = np.zeros((len(scans), len(changed)))
+    here = place >= 0
+    np.add.at(weight, (place[here], np.repeat(sentences, changed["scans"].map(len))[here]), flat("weights", float)[here])
+    change = weight @ gain
+    p, a = scans["predicted"].to_numpy(), scans["actual"].to_numpy()
+    sums = {"dp": change.sum(0), "dpp": 2 * (p @ change) + (change * change).sum(0), "dap": a @ change}
+    return pd.DataFrame(dict(zip(FOLD, key)) | {"k": lanes[0], "draw": lanes[1]} | sums)
+
+
+def mutated_scores(gains: DataFrame, basis: DataFrame, series: DataFrame, sums: DataFrame) -> DataFrame:
+    """Mean Fisher z of every (k, draw) after mutating the sentences listed in ``gains`` (group keys, canonical_run, k, draw, g).
+
+    Draws are lanes: a sentence is one row with its gains, a task holds one block of ``SCANS_PER_BLOCK`` scans of one fold with the
+    sentences that reach it, and all draws move its scans in one matrix product. What leaves are corrections to the fold
+    sums, so there is no row for each draw and scan. Runs without a change keep their base score.
     """
-    touched = (
-        gains.join(basis, ["language", "canonical_run", "triplet_row_index"])
-        .groupBy(*FOLD, *extra, "scan")
-        .agg(F.sum(F.col("g") * F.col("weight")).alias("change"))
-    )
-    p, q = F.col("predicted"), F.col("change")
-    corrections = (
-        touched.join(series, [*FOLD, "scan"])
-        .groupBy(*FOLD, *extra)
-        .agg(F.sum(q).alias("dp"), F.sum(2 * p * q + q * q).alias("dpp"), F.sum(F.col("actual") * q).alias("dap"))
+    block = F.floor(F.col("scan") / SCANS_PER_BLOCK).alias("block_of_scans")
+    lanes = gains.groupBy(*FOLD, "triplet_row_index").agg(F.collect_list(F.struct("k", "draw", "g")).alias("_lanes"))
+    lanes = lanes.select(*FOLD, "triplet_row_index", *[F.col(f"_lanes.{c}").alias(f"{c}s") for c in ("k", "draw", "g")])
+    reach = basis.groupBy("language", "canonical_run", "triplet_row_index", block).agg(F.collect_list(F.struct("scan", "weight")).alias("_reach"))
+    reach = reach.select(
+        "language", "canonical_run", "triplet_row_index", "block_of_scans", F.col("_reach.scan").alias("scans"), F.col("_reach.weight").alias("weights")
     )
-    wanted = gains.select(*SUBJECT, *extra).distinct().join(sums, SUBJECT)
+    changed = lanes.join(reach, ["language", "canonical_run", "triplet_row_index"]).drop("triplet_row_index")
+    moved_scans = series.select(*FOLD, "scan", "predicted", "actual", block)
+    types = dict(series.select(*FOLD).dtypes)
+    schema = ", ".join([*[f"{c} {types[c]}" for c in FOLD], "k int", "draw int", "dp double", "dpp double", "dap double"])
+    tasks = [*FOLD, "block_of_scans"]
+    parts = changed.groupBy(*tasks).cogroup(moved_scans.groupBy(*tasks)).applyInPandas(_block_corrections, schema)
+    corrections = parts.groupBy(*FOLD, "k", "draw").agg(*[F.sum(c).alias(c) for c in ("dp", "dpp", "dap")])
+    wanted = gains.select(*SUBJECT, "k", "draw").distinct().join(sums, SUBJECT)
     zero = F.lit(0.0)
-    moved = wanted.join(corrections, [*FOLD, *extra], "left")
+    moved = wanted.join(corrections, [*FOLD, "k", "draw"], "left")
     z = _run_z(
         F.col("sp") + F.coalesce("dp", zero), F.col("spp") + F.coalesce("dpp", zero), F.col("sap") + F.coalesce("dap", zero)
     )
-    return moved.groupBy(*SUBJECT, *extra).agg(F.avg(z).alias("z"))
+    return moved.groupBy(*SUBJECT, "k", "draw").agg(F.avg(z).alias("z"))
 
 
 def deletion_rows(
@@ -270,7 +296,7 @@ def deletion_rows(
         *GROUP, "canonical_run", "k", "draw", "g"
     )
     sums = fold_sums(series)
-    scores = mutated_scores(per_draw, basis, series, sums, ["k", "draw"])
+    scores = mutated_scores(per_draw, basis, series, sums)
     policies = plan.where("selected").groupBy(*SUBJECT, "k").agg(
         F.array_join(F.array_sort(F.collect_set("policy")), "+").alias("matching_policy")
     )
