@@ -159,7 +159,7 @@ SELECT language, roi_family, subject_id, avg(atanh(c)) AS base_z FROM (
 ORACLE["base_scores"] = f"SELECT {KEY}, {rs('base_z')} FROM v_base_z"
 VIEWS["v_picks"] = f"""
 SELECT {GROUP}, canonical_run, k, -1 AS draw, sentence_language, word_char_start AS s, word_char_end AS e FROM v_plan WHERE selected
-UNION ALL SELECT {GROUP}, canonical_run, k, draw, sentence_language, word_char_start, word_char_end FROM v_sampled WHERE draw < 4"""
+UNION ALL SELECT {GROUP}, canonical_run, k, draw, sentence_language, word_char_start, word_char_end FROM v_sampled"""
 VIEWS["v_requests"] = f"""
 SELECT {GROUP}, canonical_run, k, draw, sentence_language, list({{'s': s, 'e': e}} ORDER BY s DESC) AS sp FROM v_picks GROUP BY ALL"""
 # k is at most 2, so at most two cuts from right to left.
@@ -178,7 +178,7 @@ SELECT q.language, q.roi_family, q.subject_id, q.canonical_run, q.k, q.draw, b.s
 FROM v_requests q JOIN v_request_gain g ON g.triplet_row_index = q.triplet_row_index AND g.language = q.sentence_language AND g.sp = q.sp
 JOIN v_story_basis b ON b.language = q.language AND b.canonical_run = q.canonical_run AND b.triplet_row_index = q.triplet_row_index GROUP BY 1, 2, 3, 4, 5, 6, 7"""
 VIEWS["v_mutated_z"] = f"""
-WITH cells AS (SELECT f.*, k, draw FROM v_fold_series f, (SELECT unnest([1, 2]) AS k), (SELECT CAST(unnest(range(-1, 4)) AS INTEGER) AS draw)),
+WITH cells AS (SELECT f.*, k, draw FROM v_fold_series f, (SELECT unnest([1, 2]) AS k), (SELECT CAST(unnest(range(-1, 100)) AS INTEGER) AS draw)),
 moved AS (SELECT cells.*, predicted + coalesce(change, 0) AS moved FROM cells LEFT JOIN v_changes USING (language, roi_family, subject_id, canonical_run, k, draw, scan))
 SELECT language, roi_family, subject_id, k, draw, avg(atanh(c)) AS z FROM (
   SELECT language, roi_family, subject_id, canonical_run, k, draw, {CORR.format(a='actual', p='moved')} AS c FROM moved GROUP BY 1, 2, 3, 4, 5, 6) GROUP BY 1, 2, 3, 4, 5"""
@@ -191,7 +191,7 @@ JOIN (SELECT language, roi_family, subject_id, k, string_agg(DISTINCT policy, '+
   USING (language, roi_family, subject_id, k)"""
 ORACLE["deletion_rows"] = f"""
 SELECT subject_id, 'm0' AS model, language, roi_family, 0 AS representative_block, 'OUTPUT' AS representative_state, k,
-  {rs('base_z', 'topk_z', 'random_z_mean', 'delta_topk', 'delta_random', 'delta_diff')}, 4 AS n_random_draws, matching_policy FROM v_deletion"""
+  {rs('base_z', 'topk_z', 'random_z_mean', 'delta_topk', 'delta_random', 'delta_diff')}, 100 AS n_random_draws, matching_policy FROM v_deletion"""
 VIEWS["v_table6"] = """
 SELECT 'm0' AS model, language, roi_family, k, avg(delta_topk) AS effect_topk, avg(delta_random) AS effect_random, avg(delta_diff) AS diff,
   quantile_cont(delta_diff, 0.025e0) AS ci_low, quantile_cont(delta_diff, 0.975e0) AS ci_high FROM v_deletion GROUP BY 2, 3, 4"""

@@ -17,7 +17,7 @@ from voxelweave.sources import sinks, tables, vectors
 ENCODER = digest_encoder(b.ENCODER_DIMS)
 KS = (1, 2)
 DRAWS = 100  # as in the study
-SCORED_DRAWS = 4  # scoring still has a row per fold, draw and scan
+SCORED_DRAWS = 100
 
 
 # ------------------------------------------------------------------ regression
