@@ -144,7 +144,56 @@ def test_urls_equal_sql(spark):
     assert verdict[("a.example.net", "/en/12")][3:5] == ("example.net/en/", "allow") and verdict[("example.com", "/de/x")][3:5] == ("example.com/de/", "block")
     assert verdict[("example.com", "/de")][3] is None and verdict[("", "")][4] == "allow" and verdict[("net", "/")][3:5] == ("net/", "block") and verdict[("fakenet", "/a")][3] is None
     assert verdict[("spam.com", "/deal/77")][4] == "block" and verdict[("spam.com", "/news/1")][4] == "allow"
-    assert {r[5] for r in got if r[1] == "wide.com"} == {"/*/p"}
+    assert {r[5] for r in got if r[1] == "wide.com"} == {"/**"}  # without labels nothing is told apart
+
+
+def labelled_pages(spark, paths):
+    """(pages, labels) from (path, pages, whether they are good)."""
+    rows, marks = [], []
+    for where, n, good in paths:
+        for _ in range(n):
+            rows.append((len(rows), f"http://h.com{where}/{len(rows)}"))
+            marks.append((len(marks), int(good)))
+    return spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(marks, "doc_id long, quality int")
+
+
+@pytest.mark.parametrize("sections", [16, 40])
+def test_a_bad_section_stands_out_whatever_the_number_of_its_siblings(spark, sections):
+    named = [f"/{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(sections)]
+    df, labels = labelled_pages(spark, [(w, 60, w != named[3]) for w in named])
+    columns = ["page_id", "host", "path", "rule", "verdict", "template", "good_share"]
+    got = same(ut.judge(df, labels), ut.oracle_sql(), columns, pages=df, labels=labels)
+    assert {r[2].rpartition("/")[0] for r in got if r[4] == "block"} == {named[3]}
+    assert {r[5] for r in got} == {named[3] + "/*", "/*/*"}
+
+
+def test_branches_below_many_segments_and_alike_ones_are_judged_together(spark):
+    deep = "/a/b/c/d/e/f/g"
+    df, labels = labelled_pages(spark, [(deep + "/good", 60, True), (deep + "/evil", 60, False), ("/x", 40, False), ("/y", 40, False), *[(f"/ok/{chr(97 + i)}", 30, True) for i in range(20)]])
+    columns = ["page_id", "host", "path", "rule", "verdict", "template", "good_share"]
+    got = same(ut.judge(df, labels), ut.oracle_sql(levels=12), columns, pages=df, labels=labels)
+    blocked = {r[2].rpartition("/")[0] for r in got if r[4] == "block"}
+    assert blocked == {deep + "/evil", "/x", "/y"}
+    where = {r[2].rpartition("/")[0]: r[5] for r in got}
+    assert where["/x"] == where["/y"] and where["/ok/a"] == where["/ok/t"] and where[deep + "/good"] != where[deep + "/evil"]
+    with pytest.raises(Exception, match="more levels"):
+        same(ut.judge(df, labels), ut.oracle_sql(), columns, pages=df, labels=labels)
+
+
+def test_fewer_labels_than_eleven_never_tell_children_apart():
+    a, z, told = 10.0, 1.96, []
+    for n in range(2, 12):
+        for child in range(1, n):
+            for bad in range(n + 1):
+                for b in range(max(0, bad - n + child), min(child, bad) + 1):
+                    for prior in (i / 50 for i in range(51)):
+                        usual = (bad + a * prior) / (n + a)
+                        gap = abs((b + a * usual) / (child + a) - (bad - b + a * usual) / (n - child + a))
+                        mean = (bad + 2 * a * usual) / (n + 2 * a)
+                        error = (mean * (1 - mean) * (1 / (child + a) + 1 / (n - child + a))) ** 0.5
+                        if error > 0 and gap >= z * error:
+                            told.append(n)
+    assert not told or min(told) == 11
 
 
 def test_urls_without_labels_or_rows(spark):

@@ -10,6 +10,8 @@ from voxelweave.session import work_path
 
 # Largest number of rows of a few scalars that is ever broadcast; beyond it the join is shuffled.
 BROADCAST_ROWS = 400_000
+# The same for rows with strings: the largest sum of their sizes.
+BROADCAST_BYTES = 32 << 20
 
 
 def fold(doc_id: Column | str, folds: int = 3) -> Column:
@@ -36,6 +38,13 @@ def sized(small: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(small) if small.count() <= rows else small.hint("merge")
 
 
+def sized_text(small: DataFrame, size: int = BROADCAST_BYTES) -> DataFrame:
+    """As ``sized`` for rows with strings of any length: the bytes of their strings and 40 for every column and row are summed."""
+    width = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in small.dtypes if kind == "string"), F.lit(40 * len(small.columns)))
+    total = small.agg(F.coalesce(F.sum(width.cast("long")), F.lit(0))).first()[0]
+    return F.broadcast(small) if total <= size else small.hint("merge")
+
+
 def tables(spark: SparkSession, sf_dir: str) -> Callable[[str], DataFrame]:
     return lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
