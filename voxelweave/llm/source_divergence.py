@@ -20,6 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import IllegalArgumentException
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -41,25 +42,24 @@ def _plain(name: str) -> Column:
 
 
 def tokens(documents: DataFrame) -> DataFrame:
-    """(lang, source, pick: a hash of the row, terms: the text's terms in order, each behind its language and a mark), a row for each document."""
+    """(lang, source, terms: the text's terms in order, each behind its language and a mark), a row for each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 500):
-            every, ends = [], [0]
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(3)):
-                words = (text.as_py() or "").encode().translate(FOLD).split()
-                mark = (lang + MARK).encode()
-                every += map(mark.__add__, words)
-                ends.append(len(every))
-            terms = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(every, pa.binary()).cast(pa.string()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), terms], names=["lang", "source", "pick", "terms"])
+            folded = [(t.as_py() or "").encode().translate(FOLD).strip() or None for t in batch.column(2)]
+            words = pc.ascii_split_whitespace(pa.array(folded, pa.binary()).cast(pa.string()))
+            n = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False)
+            marks = pc.binary_join_element_wise(batch.column(0), pa.scalar(MARK), "").take(pa.array(np.repeat(np.arange(len(n)), n)))
+            terms = pc.binary_join_element_wise(marks, pc.list_flatten(words), "")
+            ends = pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(ends, terms)], names=["lang", "source", "terms"])
 
-    named = documents.select(_plain("lang"), _plain("source"), F.pmod(F.xxhash64("text", "source"), F.lit(16)).alias("pick"), "text")
-    return named.mapInArrow(run, "lang string, source string, pick long, terms array<string>")
+    return documents.select(_plain("lang"), _plain("source"), "text").mapInArrow(run, "lang string, source string, terms array<string>")
 
 
-def vocabulary_shards(texts: DataFrame) -> int:
-    seen = texts.where("pick = 0").select(F.explode("terms").alias("t")).agg(F.approx_count_distinct("t")).first()[0]
+def vocabulary_shards(documents: DataFrame) -> int:
+    sixteenth = documents.where(F.pmod(F.xxhash64("text", "source"), F.lit(16)) == 0)
+    seen = tokens(sixteenth).select(F.explode("terms").alias("t")).agg(F.approx_count_distinct("t")).first()[0]
     return max(1, -(-seen * 13 // 10 // TERMS_PER_FIT))
 
 
@@ -78,7 +78,7 @@ def group_counts(documents: DataFrame, min_df: int = 30, shards: int | None = No
     """(groups: lang, source), (counts: lang, source, term, n > 0), (kept: lang, term), all stored."""
     texts = stored(tokens(documents), "tokens")
     groups = stored(texts.select("lang", "source").distinct(), "groups")
-    shards = shards or vocabulary_shards(texts)
+    shards = shards or vocabulary_shards(documents)
     counts = kept = None
     for k in range(shards):
         mine = texts if shards == 1 else texts.withColumn("terms", F.filter("terms", lambda t: F.pmod(F.xxhash64(t), F.lit(shards)) == k))
@@ -87,9 +87,10 @@ def group_counts(documents: DataFrame, min_df: int = 30, shards: int | None = No
             continue
         vectors, vocabulary = fitted
         raw = F.unwrap_udt("vector")
-        entries = vectors.select("lang", "source", raw["indices"].alias("places"), F.posexplode(raw["values"]).alias("i", "n"))
-        sums = entries.groupBy("lang", "source", F.get("places", F.col("i")).alias("at")).agg(F.sum(F.col("n").cast("long")).alias("n"))
-        names = pa.table({"at": pa.array(np.arange(len(vocabulary), dtype=np.int32)), "term": [v.rpartition(MARK)[2] for v in vocabulary]})
+        entries = vectors.select("source", raw["indices"].alias("places"), F.posexplode(raw["values"]).alias("i", "n"))
+        sums = entries.groupBy("source", F.get("places", F.col("i")).alias("at")).agg(F.sum(F.col("n").cast("long")).alias("n"))
+        parts = [v.rpartition(MARK) for v in vocabulary]  # a term's place tells its language
+        names = pa.table({"at": pa.array(np.arange(len(vocabulary), dtype=np.int32)), "lang": [v[0] for v in parts], "term": [v[2] for v in parts]})
         table = documents.sparkSession.createDataFrame(names)
         here = stored(sums.join(table, "at").select("lang", "source", "term", "n"), "counts")
         counts = here if counts is None else counts.union(here)
