@@ -228,6 +228,15 @@ SELECT replace(model, '_encoder', '') AS model, upper(language) AS target_langua
   {r('CAST(layer_index AS DOUBLE) / (SELECT greatest(1, max(layer_index)) FROM v_features0)', 'block_depth_norm')}, 'OUTPUT' AS state,
   upper(condition) AS condition, shuffle_index, 64 AS feature_dim, n_rows FROM v_features0"""
 
+ORACLE["group_bridge"] = f"""
+SELECT language, model, block, block_depth_norm, state, condition, roi, roi_family, {rs('mean_z', 'mean_r', 'mean_r2', 'se_z')}, n_subjects, legacy_status, source_release
+FROM (SELECT language, model, block, block_depth_norm, state, condition, roi, roi_family, legacy_status, source_release, avg(z_mean) AS mean_z, avg(r_mean) AS mean_r,
+  avg(r2_mean) AS mean_r2, stddev_samp(z_mean) / sqrt(count(z_mean)) AS se_z, count(DISTINCT subject_id) AS n_subjects FROM v_bridge GROUP BY ALL)"""
+ORACLE["output_state_manifest"] = f"""
+SELECT CASE WHEN vec_id % 2 = 0 THEN 'xlmr' ELSE 'nllb' END AS model, {pick('vec_id % 3', 'EN', 'FR', 'ZH')} AS language, CAST(vec_id // 6 % 4 AS INTEGER) AS block,
+  {r('CAST(vec_id // 6 % 4 AS DOUBLE) / 3', 'block_depth_norm')}, 'OUTPUT' AS state, CAST(count(*) AS INTEGER) AS n_rows, CAST(len(embedding) AS INTEGER) AS hidden_size, 'float32' AS dtype
+FROM embeddings GROUP BY ALL"""
+
 # ------------------------------------------------------------------ inference
 VIEWS["v_contrasts"] = """
 SELECT model, language, hypothesis, subject_id, avg(delta_z) FILTER (pos) AS positive_mean, avg(delta_z) FILTER (NOT pos) AS negative_mean,

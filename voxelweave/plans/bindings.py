@@ -188,6 +188,29 @@ def legacy_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).cast("int").alias("n_rows")).withColumn("feature_dim", F.lit(64))
 
 
+def legacy_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The older group table: means and the standard error over subjects of each metric."""
+    def of(metric: str) -> Column:
+        return F.when(F.col("metric_name") == metric, F.col("value"))
+
+    keys = ["language", "model", "roi_name", "roi_family", "layer_index", "layer_depth", "condition"]
+    return legacy_metrics(spark, sf_dir).groupBy(*keys).agg(
+        *[F.avg(of(m)).alias(f"mean_{m}") for m in ("z", "r", "r2")],
+        (F.stddev_samp(of("z")) / F.sqrt(F.count(of("z")))).alias("se_z"), F.count_distinct("subject_id").alias("n_subjects"),
+    )
+
+
+def output_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The older list of stored output vectors: one row per model, language and layer."""
+    layer = F.floor(F.col("vec_id") / 6) % 4
+    rows = table(spark, sf_dir, "embeddings").select(
+        F.when(F.col("vec_id") % 2 == 0, "xlmr").otherwise("nllb_encoder").alias("model"), choose(F.col("vec_id") % 3, "en", "fr", "zh").alias("language"),
+        layer.cast("int").alias("layer_index"), (layer / F.lit(3.0)).alias("layer_depth"), F.size("embedding").alias("hidden_size"),
+    )
+    counted = rows.groupBy("model", "language", "layer_index", "layer_depth", "hidden_size").agg(F.count("*").alias("n_rows"))
+    return counted.withColumn("dtype", F.lit("float32"))
+
+
 # ---------------------------------------------------------------- vectors, from embeddings
 
 def state_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -106,6 +106,16 @@ def output_feature_manifest(spark, sf):
     return rounded(manifests.output_feature_manifest(b.legacy_features(spark, sf)))
 
 
+@query
+def group_bridge(spark, sf):
+    return rounded(manifests.group_bridge(b.legacy_groups(spark, sf)))
+
+
+@query
+def output_state_manifest(spark, sf):
+    return rounded(manifests.output_state_manifest(b.output_states(spark, sf)))
+
+
 # ------------------------------------------------------------------ effects and selection
 
 @query
