@@ -336,8 +336,3 @@ def response_window(timing: DataFrame, scans: DataFrame, clock: ScanClock) -> Da
         .where((time >= F.col("onset_sec") + 2.0) & (time < F.col("offset_sec") + 12.0))
         .select("language", "canonical_run", "triplet_row_index", "scan")
     )
-
-
-def scan_counts(observed: DataFrame) -> DataFrame:
-    """n_scans per (language, canonical_run); ``checks.multi_valued`` guards that it is single-valued."""
-    return observed.groupBy("language", "canonical_run").agg(F.max("n_scans").cast("int").alias("n_scans"))

@@ -106,12 +106,6 @@ def roi_manifest(per_language: Mapping[str, DataFrame]) -> DataFrame:
     return out
 
 
-def roi_metadata(metadata: DataFrame) -> DataFrame:
-    return metadata.withColumnRenamed("family", "roi_family").withColumn("roi_family", F.upper("roi_family")).withColumn(
-        "roi_code", F.col("roi_name").cast("string")
-    )
-
-
 def exclusion_reason(expected_runs: int) -> Column:
     """Reasons joined by ';'; NULL branches drop out, included rows give ''."""
     return F.when(F.col("included"), F.lit("")).otherwise(

@@ -95,12 +95,3 @@ def run_deletion_validation(
             third = upserts.pending(third, done, key)
         rows = rows.unionByName(deletion.deletion_rows(attributions, ks=[3], pending=third, **inputs))
     return rows
-
-
-def nuisance_table(
-    *, timing: DataFrame, intensity: DataFrame, pitch: DataFrame, word_onsets: DataFrame, scans: DataFrame, clock: design.ScanClock
-) -> DataFrame:
-    acoustic = design.acoustic_terms(
-        intensity=intensity, pitch=pitch, word_onsets=word_onsets, timing=timing, scans=scans, clock=clock
-    )
-    return design.nuisance_rows(design.drift_terms(scans, clock), acoustic, scans)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -85,7 +84,3 @@ def read_shards(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     tag = F.regexp_extract(F.col("_metadata.file_path"), r"__([^/.]+)", 1)
     df = spark.read.parquet(*paths)
     return df.select("*", tag.alias("shard_tag"))
-
-
-def safe_name(text: str) -> str:
-    return re.sub(r"[^A-Za-z0-9]+", "_", text).strip("_").lower() or "na"
