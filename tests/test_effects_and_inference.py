@@ -1,3 +1,4 @@
+import hashlib
 import itertools
 
 import numpy as np
@@ -6,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from voxelweave.checks import ContractError
-from voxelweave.functions import ranks, stats
+from voxelweave.functions import digests, ranks, stats
 from voxelweave.operators import effects, features, inference
 
 COHORTS = {"EN": 5, "FR": 6, "ZH": 7}
@@ -174,3 +175,37 @@ def test_exact_percentiles(spark, values):
     df = spark.createDataFrame([("g", float(v)) for v in values] + [("g", None), ("h", 3.0)], "k string, v double")
     got = {r.k: r for r in ranks.exact_percentiles(df, ["k"], "v", {"low": 0.025, "mid": 0.5, "high": 0.975}, parts=5).collect()}
     assert np.allclose([got["g"].low, got["g"].mid, got["g"].high], np.quantile(values, [0.025, 0.5, 0.975])) and got["h"].mid == 3.0
+
+
+def test_numbered_digests_equal_md5():
+    prefixes = [b"", b"a|", b"1337|m|EN|" + b"x" * 45, b"y" * 64, b"z" * 130]
+    for numbers in (range(0, 3), range(0, 12_000), range(95, 1_105), range(99_990, 100_700)):
+        got = digests.numbered_md5(prefixes, numbers)
+        for i in range(len(prefixes)):
+            for j in (0, 1, 2, len(numbers) // 2, len(numbers) - 1):
+                assert got[i, j].tobytes() == hashlib.md5(prefixes[i] + b"%d" % numbers[j]).digest()
+
+
+def test_resampling_makes_no_row_for_a_draw_of_a_subject(spark, monkeypatch):
+    """Draws against plain Python, with cells that take several packed pieces and slices; rows of the plans grow with cells and draws only."""
+    monkeypatch.setattr(inference, "PIECE", 16)
+    monkeypatch.setattr(inference, "SLICE", 64)
+    rng = np.random.default_rng(3)
+    sizes = {"EN": 150, "FR": 64, "ZH": 1}
+    rows = [("m", lang, "h", f"S{i}", float(v)) for lang, n in sizes.items() for i, v in enumerate(rng.normal(size=n))]
+    df = spark.createDataFrame(rows, "model string, language string, hypothesis string, subject_id string, effect_value double")
+    flips = {(r.language, r.draw): r.permuted_mean for r in inference.sign_flip_draws(df, 70, 9).collect()}
+    boots = {(r.language, r.draw): r.sample_mean for r in inference.bootstrap_draws(df, 300, 9).collect()}
+    assert len(flips) == 3 * 70 and len(boots) == 3 * 300
+    md5 = lambda *parts: hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()
+    for lang, n in sizes.items():
+        people = [(r[3], r[4]) for r in rows if r[1] == lang]
+        for draw in (0, 31, 32, 69):
+            signs = [1 if md5(9, "m", lang, "h", "perm", s, draw // 32)[draw % 32] >= "8" else -1 for s, _ in people]
+            assert flips[lang, draw] == pytest.approx(np.mean([a * v for a, (_, v) in zip(signs, people)]))
+        slots = [v for _, _, v in sorted((md5(s)[:2], s, v) for s, v in people)]
+        for draw in (0, 255, 256, 299):
+            picks = [int(md5(9, "m", lang, "h", "boot", draw, j // 4)[j % 4 * 8 : j % 4 * 8 + 8], 16) % n for j in range(n)]
+            assert boots[lang, draw] == pytest.approx(np.mean([slots[i] for i in picks]))
+    plan = inference.sign_flip_draws(df, 70, 9)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "explode" not in plan.split("MapInArrow")[1]

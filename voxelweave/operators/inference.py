@@ -6,22 +6,30 @@ executor it lies, a retry repeats them, and nothing is broadcast.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from voxelweave.checks import axis, coverage_gaps, demand_empty
+from voxelweave.functions.digests import numbered_md5
 from voxelweave.functions.ranks import holm, ranked
 from voxelweave.functions.stats import stable_offset
+from voxelweave.functions.vector import lane_sums, lane_values
 from voxelweave.operators.effects import subject_family_deltas
 from voxelweave.schemas import ATTENTION_STATES, FEEDFORWARD_STATES, H1, H2
-from voxelweave.session import broadcast_if_small, cut, spread
+from voxelweave.session import cut, spread
 
 CELL = ["model", "language", "hypothesis"]
 FLIPS_PER_HASH = 32
-DRAWS_PER_BLOCK = 32
+DRAWS_PER_BLOCK = 256
+CELLS_PER_TASK = 256  # cells whose sums a task keeps before it hands them on
+HASHES_AT_ONCE = 65536
+ROWS_AT_ONCE = 64
+PIECE, SLICE = 65536, 1 << 22  # effects of a cell in one packed row, and in one task
 
 
 def contrasts(family_deltas: DataFrame) -> DataFrame:
@@ -60,21 +68,52 @@ def effect_summary(effects: DataFrame, cell: Sequence[str] = CELL) -> DataFrame:
     )
 
 
+def _flip_sums(cell: Sequence[str], blocks: int, schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Per cell and hash block: number of effects and the sums under its 32 sign patterns, over the rows of a partition."""
+
+    def release(sums: dict) -> pa.RecordBatch:
+        rows = [(*key, block, n, lanes) for key, (n, total) in sums.items() for block, lanes in enumerate(total.reshape(blocks, -1))]
+        columns = zip(*rows)
+        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, schema.types)], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict = {}
+        for batch in batches:
+            for first in range(0, batch.num_rows, ROWS_AT_ONCE):
+                *keys, prefixes, values = [c.to_pylist() for c in batch.slice(first, ROWS_AT_ONCE).columns]
+                # The first bit of a hex digit tells whether it is 8 or more.
+                signs = np.unpackbits(numbered_md5([p.encode() for p in prefixes], range(blocks)).reshape(-1, 1) & 136, axis=1)[:, ::4]
+                signs, values = signs.reshape(len(prefixes), -1), np.array(values)
+                places: dict = {}
+                for row, key in enumerate(zip(*keys)):
+                    places.setdefault(key, []).append(row)
+                for key, rows in places.items():
+                    n, total = sums.get(key, (0, 0.0))
+                    v = values[rows]
+                    sums[key] = (n + len(v), total + 2.0 * (v @ signs[rows].astype(np.float64)) - v.sum())
+                if len(sums) >= CELLS_PER_TASK:
+                    yield release(sums)
+                    sums = {}
+        if sums:
+            yield release(sums)
+
+    return run
+
+
 def sign_flip_draws(effects: DataFrame, permutations: int, seed: int, cell: Sequence[str] = CELL) -> DataFrame:
-    """Mean effect of every permutation: one md5 gives 32 signs, sums are combined map-side."""
-    blocks = F.sequence(F.lit(0), F.lit((permutations - 1) // FLIPS_PER_HASH))
-    key = F.concat_ws("|", F.lit(str(seed)), *cell, F.lit("perm"), F.col("subject_id").cast("string"), F.col("hash_block").cast("string"))
-    flips = F.explode(F.sequence(F.lit(1), F.lit(FLIPS_PER_HASH))).alias("position")
-    sign = F.when(F.substring(F.col("digest"), F.col("position"), F.lit(1)) >= "8", F.lit(1.0)).otherwise(F.lit(-1.0))
-    return (
-        effects.select(*cell, "subject_id", "effect_value", F.explode(blocks).alias("hash_block"))
-        .withColumn("digest", F.md5(key))
-        .select(*cell, "effect_value", "hash_block", "digest", flips)
-        .withColumn("draw", F.col("hash_block") * FLIPS_PER_HASH + F.col("position") - 1)
-        .where(F.col("draw") < permutations)
-        .groupBy(*cell, "draw")
-        .agg(F.avg(sign * F.col("effect_value")).alias("permuted_mean"))
-    )
+    """Mean effect of every permutation: one md5 gives 32 signs.
+
+    A task adds the signed effects of its rows up for all permutations, so that only sums by cell and hash block are shuffled.
+    """
+    blocks = (permutations - 1) // FLIPS_PER_HASH + 1
+    key = F.concat_ws("|", F.lit(str(seed)), *cell, F.lit("perm"), F.col("subject_id").cast("string"), F.lit(""))
+    rows = spread(effects.where("effect_value IS NOT NULL"), *cell, "subject_id").select(*cell, key.alias("_key"), F.col("effect_value").cast("double").alias("_value"))
+    schema = T.StructType([*[rows.schema[c] for c in cell], *T.StructType.fromDDL("hash_block int, n bigint, sums array<double>")])
+    parts = rows.mapInArrow(_flip_sums(cell, blocks, to_arrow_schema(schema)), schema)
+    totals = parts.groupBy(*cell, "hash_block").agg(F.sum("n").alias("n"), *lane_sums(F.col("sums"), FLIPS_PER_HASH))
+    flips = totals.select(*cell, "hash_block", "n", F.posexplode(lane_values(FLIPS_PER_HASH)).alias("position", "total"))
+    draw = F.col("hash_block") * FLIPS_PER_HASH + F.col("position")
+    return flips.where(draw < permutations).select(*cell, draw.alias("draw"), (F.col("total") / F.col("n")).alias("permuted_mean"))
 
 
 def sign_flip_test(effects: DataFrame, permutations: int, seed: int, cell: Sequence[str] = CELL, decimals: int = 12) -> DataFrame:
@@ -98,27 +137,54 @@ def sign_flip_test(effects: DataFrame, permutations: int, seed: int, cell: Seque
     )
 
 
+def _resample_sums(cell: Sequence[str], bootstraps: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Sums over the picks of one block of draws that fall into one slice of a cell's effects."""
+
+    def run(pieces: pd.DataFrame) -> pd.DataFrame:
+        pieces = pieces.sort_values("_piece")
+        head = pieces.iloc[0]
+        values, n, first = np.concatenate(list(pieces["_values"])), int(head["n"]), int(head["_slice"]) * SLICE
+        draws = range(int(head["_block"]) * DRAWS_PER_BLOCK, min((int(head["_block"]) + 1) * DRAWS_PER_BLOCK, bootstraps))
+        fours = (n + 3) // 4
+        step = max(1, HASHES_AT_ONCE // fours)
+        sums = np.zeros(len(draws))
+        for first_draw in range(0, len(draws), step):
+            keys = [f"{head['_key']}|{draw}|".encode() for draw in draws[first_draw : first_draw + step]]
+            for start in range(0, fours, HASHES_AT_ONCE):
+                end = min(fours, start + HASHES_AT_ONCE)
+                words = numbered_md5(keys, range(start, end)).view(">u4").reshape(len(keys), -1)[:, : n - 4 * start]
+                picks = words.astype(np.int64) % n - first
+                if len(values) < n:
+                    inside = (picks >= 0) & (picks < len(values))
+                    found = np.where(inside, values[np.where(inside, picks, 0)], 0.0)
+                else:
+                    found = values[picks]
+                sums[first_draw : first_draw + step] += found.sum(axis=1)
+        return pd.DataFrame({**{c: [head[c]] * len(draws) for c in cell}, "draw": list(draws), "n": n, "total": sums})
+
+    return run
+
+
 def bootstrap_draws(effects: DataFrame, bootstraps: int, seed: int, cell: Sequence[str] = CELL) -> DataFrame:
     """Means of resamples with replacement: n hashed positions per draw, looked up by dense index.
 
-    Draws are generated where they are summed: blocks of draws are dealt over the executors, one hash gives four
-    positions, and values are looked up by a broadcast of the cells' effects if those are few, so that neither
-    draws times subjects rows nor their positions are shuffled. The index comes from sampled ranges of equal depth.
+    Blocks of draws are dealt over the executors, each with the effects of its cell as packed pieces of ``PIECE`` values; one hash
+    gives four positions, and a draw leaves the task as one sum. No pick is a row. A task holds at most ``SLICE`` effects: a larger
+    cell is dealt by slices too, and each adds up the picks that fall into it. The index comes from sampled ranges of equal depth.
     """
-    shuffled = effects.select(*cell, "subject_id", "effect_value", F.substring(F.md5(F.col("subject_id").cast("string")), 1, 2).alias("_order"))
+    known = effects.where("effect_value IS NOT NULL")
+    shuffled = known.select(*cell, "subject_id", F.col("effect_value").cast("double").alias("effect_value"), F.substring(F.md5(F.col("subject_id").cast("string")), 1, 2).alias("_order"))
     indexed = ranked(shuffled, cell, ["_order", "subject_id"], "slot")
-    values = cut(indexed.select(*cell, F.col("slot").alias("pick"), "effect_value"))
-    sizes = values.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"))
-    blocks = sizes.select(*cell, "n", F.explode(F.sequence(F.lit(0), F.lit((bootstraps - 1) // DRAWS_PER_BLOCK))).alias("_block"))
-    first = F.col("_block") * DRAWS_PER_BLOCK
-    draws = spread(blocks, *cell, "_block").select(*cell, "n", F.explode(F.sequence(first, F.least(first + DRAWS_PER_BLOCK, F.lit(bootstraps)) - 1)).alias("draw"))
-    fours = draws.select(*cell, "n", "draw", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / 4).cast("int"))).alias("_four"))
-    key = F.concat_ws("|", F.lit(str(seed)), *cell, F.lit("boot"), F.col("draw").cast("string"), F.col("_four").cast("string"))
-    hashed = fours.select(*cell, "n", "draw", "_four", F.md5(key).alias("_digest"))
-    slots = hashed.select(*cell, "n", "draw", "_four", "_digest", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("_i")).where(F.col("_four") * 4 + F.col("_i") < F.col("n"))
-    digits = F.substring(F.col("_digest"), F.col("_i") * 8 + 1, F.lit(8))
-    picks = slots.select(*cell, "draw", (F.conv(digits, 16, 10).cast("bigint") % F.col("n")).alias("pick"))
-    return picks.join(broadcast_if_small(values), [*cell, "pick"]).groupBy(*cell, "draw").agg(F.avg("effect_value").alias("sample_mean"))
+    packed = indexed.groupBy(*cell, F.floor(F.col("slot") / PIECE).alias("_piece")).agg(F.array_sort(F.collect_list(F.struct("slot", "effect_value"))).alias("_rows"))
+    pieces = cut(packed.select(*cell, "_piece", F.floor(F.col("_piece") * PIECE / SLICE).alias("_slice"), F.col("_rows.effect_value").alias("_values")))
+    sizes = pieces.groupBy(*cell).agg(F.sum(F.size("_values")).alias("n"))
+    blocks = F.explode(F.sequence(F.lit(0), F.lit((bootstraps - 1) // DRAWS_PER_BLOCK))).alias("_block")
+    key = F.concat_ws("|", F.lit(str(seed)), *cell, F.lit("boot")).alias("_key")
+    dealt = pieces.join(sizes, list(cell)).select(*cell, key, "n", "_slice", "_piece", "_values", blocks)
+    task = [*cell, "_block", "_slice"]
+    schema = T.StructType([*[dealt.schema[c] for c in cell], *T.StructType.fromDDL("draw int, n bigint, total double")])
+    sums = spread(dealt, *task).groupBy(*task).applyInPandas(_resample_sums(cell, bootstraps), schema)
+    return sums.groupBy(*cell, "draw").agg((F.sum("total") / F.first("n")).alias("sample_mean"))
 
 
 def bootstrap_interval(effects: DataFrame, bootstraps: int, seed: int, cell: Sequence[str] = CELL) -> DataFrame:
