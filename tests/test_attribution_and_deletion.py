@@ -270,3 +270,14 @@ def test_adaptive_round_adds_rows(world):
     gain = got.pivot(index="subject_id", columns="k", values="delta_diff")
     third = set(got[got.k == 3].subject_id)
     assert third == set(gain.index[gain[2] - gain[1] > 0])
+
+
+def test_series_and_models_of_one_descent(world):
+    """Fitted models carry their own series, so gains and series share columns."""
+    series = world.models.join(world.series, deletion.FOLD).drop("w")
+    rows = pipeline.compute_word_attributions(world.words(), world.states, world.encoder, models=world.models, series=series, windows=world.windows, basis=world.basis)
+    inputs = dict(models=world.models, basis=world.basis, texts=world.text_df, states=world.states, encoder=world.encoder, draws=2, seed=1)
+    got = pipeline.run_deletion_validation(rows, ks=(1, 2, 3), adaptive_k3=True, series=series, **inputs).toPandas()
+    want = pipeline.run_deletion_validation(attributions(world), ks=(1, 2, 3), adaptive_k3=True, series=world.series, **inputs).toPandas()
+    keys = ["subject_id", "k"]
+    pd.testing.assert_frame_equal(got.sort_values(keys, ignore_index=True), want.sort_values(keys, ignore_index=True))
