@@ -281,3 +281,14 @@ def test_series_and_models_of_one_descent(world):
     want = pipeline.run_deletion_validation(attributions(world), ks=(1, 2, 3), adaptive_k3=True, series=world.series, **inputs).toPandas()
     keys = ["subject_id", "k"]
     pd.testing.assert_frame_equal(got.sort_values(keys, ignore_index=True), want.sort_values(keys, ignore_index=True))
+
+
+def test_words_meet_texts_by_sentence(world):
+    """Words without their text, and texts beside them, give the same scores, and no row of a word carries a text through a shuffle."""
+    parts = dict(models=world.models, series=world.series, windows=world.windows, basis=world.basis)
+    got = pipeline.compute_word_attributions(world.words().drop("text"), world.states, world.encoder, texts=world.text_df, **parts)
+    keys = ["subject_id", "triplet_row_index", "sentence_language", "word_index"]
+    want = attributions(world).toPandas().sort_values(keys, ignore_index=True)
+    pd.testing.assert_frame_equal(got.toPandas()[want.columns].sort_values(keys, ignore_index=True), want)
+    changes = attribution.word_changes(world.words().drop("text"), world.text_df, world.states, world.encoder)
+    assert "mutated_text" not in changes._jdf.queryExecution().optimizedPlan().toString()
