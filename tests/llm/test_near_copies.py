@@ -90,3 +90,21 @@ def test_prefix_filter_misses_no_pair():
             common = set(first_a) & set(first_b)
             assert common
             assert any(all(nc.least_shared(n, m, first_a.index(h), first_b.index(h))) for h in common)
+
+
+def test_fingerprint_trees_propose_near_copies(spark, monkeypatch):
+    """The vantage-point trees link near copies first; whole sets refuse what only looks alike, and the prefix filter adds the rest."""
+    from voxelweave.llm.common import Scratch
+
+    rows = copies(seed=8, groups=6, each=5)
+    df = documents(spark, rows)
+    scratch = Scratch(spark, "test")
+    found = scratch.stored(nc.prints(df), "prints")
+    keys = scratch.stored(found.groupBy("node").agg({"text_key": "min"}).toDF("node", "text_key"), "keys")
+    proposed = nc.fingerprint_pairs(df, keys, scratch).collect()
+    assert proposed and all(p.u > p.v for p in proposed)
+    one_print = monkeypatch.setattr(nc, "fingerprints", lambda docs: docs.selectExpr("doc_id", "0L as bits"))  # all alike
+    assert one_print is None
+    got = sorted(r.doc_id for r in nc.one_per_group(df).collect())
+    assert got == plain_kept(rows)
+    scratch.clear()

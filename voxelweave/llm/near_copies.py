@@ -3,7 +3,9 @@
 Two texts link if the sets of their ``WIDTH``-word shingles have a Jaccard similarity of ``SHARE`` or more; of each component
 one row stays. Texts with equal sets are one node.
 
-Candidates come from a prefix filter, so that none is missed: in any one order of all shingles, sets of that similarity share one
+Most candidates come from the vantage-point trees over SimHash fingerprints (``simhash_vptree``): each node of a component of near
+fingerprints is compared with its smallest node, and whole sets decide. Fingerprints miss near copies, so a prefix filter finds the
+rest, of which none is missed: in any one order of all shingles, sets of that similarity share one
 of their first n - ceil(0.8 n) + 1. The order puts rare shingles first, by classes of their counts in a sample (a table of bounded
 size; a wrong class costs time only). So texts that share a passage do not meet unless it makes up almost all of them. Sizes
 and positions bound the similarity of a candidate; whole sets decide.
@@ -24,7 +26,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from voxelweave.llm.common import Scratch, sized, stored
 from voxelweave.llm.components import connected_components
-from voxelweave.llm.simhash_vptree import LOWER
+from voxelweave.llm.simhash_vptree import LOWER, fingerprints, links as near_fingerprints
 from voxelweave.llm.toxicity import slices
 
 WIDTH = 5
@@ -184,6 +186,18 @@ def relabelled(labels: DataFrame | None, links: DataFrame, scratch: Scratch) ->
     return scratch.stored(renamed.select("node", F.coalesce("root", "component").alias("component")), "labels")
 
 
+def fingerprint_pairs(documents: DataFrame, keys: DataFrame, scratch: Scratch) -> DataFrame:
+    """Pairs (u, v) of a node and the smallest node v of its component of near SimHash fingerprints; ``keys``: stored (node, text_key)."""
+    bits = fingerprints(documents.select(F.xxhash64("text").alias("doc_id"), "text")).select(F.col("doc_id").alias("text_key"), "bits")
+    named = scratch.stored(bits.join(sized(keys), "text_key").select("node", "bits").distinct(), "fingerprints")
+    distinct = scratch.stored(named.select("bits").distinct(), "distinct")
+    near = scratch.stored(connected_components(near_fingerprints(distinct), scratch.stored), "near-fingerprints")
+    grouped = named.join(sized(near.withColumnRenamed("node", "bits")), "bits", "left").select("node", F.coalesce("component", "bits").alias("component"))
+    grouped = scratch.stored(grouped, "grouped")
+    hubs = scratch.stored(grouped.groupBy("component").agg(F.min("node").alias("v"), F.count("*").alias("c")).where("c > 1").select("component", "v"), "hubs")
+    return grouped.join(sized(hubs), "component").where("node <> v").select(F.col("node").alias("u"), "v")
+
+
 def components(documents: DataFrame, found: DataFrame, scratch: Scratch, pairs_per_row: int = 4) -> DataFrame:
     """Rows (node, component) of the nodes that have a link; ``found``: stored ``prints``. Stars go before the comparison pair
     by pair, ``STARS`` at most, while that would meet over ``pairs_per_row`` pairs for each row of a bucket."""
@@ -191,7 +205,11 @@ def components(documents: DataFrame, found: DataFrame, scratch: Scratch, pairs_p
     near = _crowded_only(found, crowded_bits(found)).where(F.size("buckets") > 0).groupBy("node")
     near = scratch.stored(near.agg(F.first("n").alias("n"), F.min("text_key").alias("text_key"), F.first("buckets").alias("buckets")), "near")
     keys, near = near.select("node", "text_key"), near.select("node", "n", "buckets")
-    compared, labels, bound = spark.createDataFrame([], "u long, v long"), None, None
+    ordered = lambda df: df.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    pairs = scratch.stored(fingerprint_pairs(documents, keys, scratch), "fingerprint-pairs")
+    links = scratch.stored(_linked(documents, pairs, keys, scratch), "fingerprint-links")
+    compared, bound = ordered(pairs), None
+    labels = None if links.isEmpty() else relabelled(None, links, scratch)
     for turn in range(STARS + 1):
         labelled = near.withColumn("component", F.col("node")) if labels is None else near.join(sized(labels), "node", "left").withColumn("component", F.coalesce("component", "node"))
         named = labelled.withColumn("crowd", F.size("buckets") / F.col("n")).select("node", "n", "component", "crowd", F.inline("buckets"))
@@ -218,8 +236,7 @@ def components(documents: DataFrame, found: DataFrame, scratch: Scratch, pairs_p
             pairs = pairs.select(F.least("node", "hub").alias("u"), F.greatest("node", "hub").alias("v")).distinct()
         else:
             pairs = pairs.groupBy("node", "hub").agg(F.count("*").alias("c")).groupBy("node").agg(F.max(F.struct("c", "hub")).alias("best")).select(F.col("node").alias("u"), F.col("best.hub").alias("v"))
-        ordered = lambda df: df.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-        if turn and last:
+        if last:
             pairs = pairs.join(compared, ["u", "v"], "left_anti")
         pairs = scratch.stored(pairs, "pairs")
         links = scratch.stored(_linked(documents, pairs, keys, scratch), "links")
