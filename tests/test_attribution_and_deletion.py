@@ -292,3 +292,15 @@ def test_words_meet_texts_by_sentence(world):
     pd.testing.assert_frame_equal(got.toPandas()[want.columns].sort_values(keys, ignore_index=True), want)
     changes = attribution.word_changes(world.words().drop("text"), world.text_df, world.states, world.encoder)
     assert "mutated_text" not in changes._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_counts_of_the_plan_equal_its_words(spark):
+    rng = np.random.default_rng(2)
+    kinds = ["CONTENT", "FUNCTION", "PUNCT", "EDGE"]
+    spec = [[(str(rng.choice(["FR", "ZH"])), str(rng.choice(kinds))) for _ in range(rng.integers(1, 9))] for _ in range(60)]
+    ranked = deletion.rank_words(candidate_table(spark, spec)).cache()
+    keys = ["triplet_row_index", "k", "policy", "cell", "need", "eligible", "selected"]
+    words = deletion.matching_plan(ranked, [1, 2, 4]).groupBy(*keys).agg(F.count("*").alias("n_words")).toPandas()
+    counts = deletion.matching_counts(ranked, [1, 2, 4]).groupBy(*keys).agg(F.sum("n_words").alias("n_words")).toPandas()
+    assert sorted(map(tuple, words.values.tolist())) == sorted(map(tuple, counts.values.tolist())) and words.policy.nunique() == 3
+    assert set(deletion.policy_counts(deletion.matching_plan(ranked, [1, 2])).collect()) == set(deletion.policy_counts(deletion.matching_counts(ranked, [1, 2])).collect())

@@ -13,7 +13,7 @@ from voxelweave.functions.text import delete_spans
 from voxelweave.functions.vector import dot
 from voxelweave.operators.attribution import FOLD, SETTING, vector_changes
 from voxelweave.operators.features import Encoder
-from voxelweave.session import cut, spread
+from voxelweave.session import cut
 
 SUBJECT = [*SETTING, "roi_family", "subject_id"]
 GROUP = [*SUBJECT, "triplet_row_index"]
@@ -45,9 +45,9 @@ def matching_plan(ranked: DataFrame, ks: Sequence[int], group: Sequence[str] = G
     """For every k: which words are selected, the matching policy, and who may be drawn from which cell.
 
     A policy is feasible when each cell of the selection finds as many words in the pool. Counts are
-    windows below (group, k), which one distribution by group serves; a group is one sentence.
+    windows below (group, k), which the layout of the ranks serves; a group is one sentence.
     """
-    rows = spread(ranked, *group).withColumn("k", F.explode(F.array(*[F.lit(int(k)) for k in ks])))
+    rows = ranked.withColumn("k", F.explode(F.array(*[F.lit(int(k)) for k in ks])))
     key = [*group, "k"]
     by_class, by_language, whole = (
         Window.partitionBy(*key, "sentence_language", "token_class"),
@@ -85,13 +85,46 @@ def matching_plan(ranked: DataFrame, ks: Sequence[int], group: Sequence[str] = G
             "_language_ok": F.min((F.col("_pool_language") >= F.col("_need_language")).cast("int")).over(whole),
         }
     )
-    need_total = F.col("_need_total")
-    policy = (
+    return _eligible(rows.withColumn("policy", _policy()))
+
+
+def _policy() -> Column:
+    return (
         F.when(F.col("_class_ok") == 1, EXACT)
         .when(F.col("_language_ok") == 1, LANGUAGE_APART)
-        .when(need_total <= F.col("_all_total"), LANGUAGE_ANY)
+        .when(F.col("_need_total") <= F.col("_all_total"), LANGUAGE_ANY)
+        .otherwise(REUSED)
+    )
+
+
+def matching_counts(ranked: DataFrame, ks: Sequence[int], group: Sequence[str] = GROUP) -> DataFrame:
+    """The matching plan by counts: for every k, language and token class the number ``n_words`` of selected and of other words, with
+    policy, cell, need and eligibility. Words are counted once for all k; the plan is made of the counts."""
+    kind = ["sentence_language", "token_class"]
+    taken = [F.sum((F.col("score_rank") <= int(k)).cast("bigint")).alias(f"_taken_{k}") for k in ks]
+    counts = ranked.groupBy(*group, *kind).agg(F.count(F.lit(1)).alias("_n"), *taken)
+    by_k = F.inline(F.array(*[F.struct(F.lit(int(k)).alias("k"), F.col(f"_taken_{k}").alias("_need_class")) for k in ks]))
+    cells = counts.select(*group, *kind, "_n", by_k)
+    language, whole = Window.partitionBy(*group, "k", "sentence_language"), Window.partitionBy(*group, "k")
+    need, pool, spoken = F.col("_need_class"), F.col("_n") - F.col("_need_class"), F.col("token_class") != "PUNCT"
+    total = lambda value, over: F.sum(value).over(over)
+    said = lambda value: F.when(spoken, value).otherwise(F.lit(0))
+    cells = cells.withColumns(
+        {
+            "_need_language": total(need, language), "_pool_language": total(pool, language),
+            "_spoken_pool_language": total(said(pool), language), "_spoken_language": total(said(F.col("_n")), language),
+        }
+    )
+    cells = cells.withColumns(
+        {
+            "_need_total": total(need, whole), "_spoken_pool_total": total(said(pool), whole), "_all_total": total(F.col("_n"), whole),
+            "_class_ok": F.min((pool >= need).cast("int")).over(whole),
+            "_language_ok": F.min((F.col("_pool_language") >= F.col("_need_language")).cast("int")).over(whole),
+        }
     )
-    return _eligible(rows.withColumn("policy", policy.otherwise(REUSED)))
+    sides = F.inline(F.array(F.struct(F.lit(True).alias("selected"), need.alias("n_words")), F.struct(F.lit(False).alias("selected"), pool.alias("n_words"))))
+    rows = cells.withColumn("policy", _policy()).select("*", sides).where("n_words > 0")
+    return _eligible(rows)
 
 
 def _eligible(rows: DataFrame) -> DataFrame:
@@ -327,7 +360,7 @@ def last_rows(rows: DataFrame, written: str) -> DataFrame:
 
 
 def policy_counts(plan: DataFrame) -> DataFrame:
-    """How many sentences of each setting and k were matched under each policy."""
+    """How many sentences of each setting and k were matched under each policy; ``plan``: words or counts."""
     sentences = plan.where("selected").select(*GROUP, "k", "policy").distinct()
     keys = [c for c in GROUP if c not in ("subject_id", "triplet_row_index")]
     return sentences.groupBy(*keys, "k", "policy").agg(F.count(F.lit(1)).alias("n_sentences"))
