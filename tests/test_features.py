@@ -1,9 +1,13 @@
+import hashlib
+import re
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from voxelweave import checks
+from voxelweave.functions.stats import index_by_id
 from voxelweave.operators import features
 from voxelweave.sources import vectors
 
@@ -134,3 +138,19 @@ def test_vector_differences(spark):
     got = features.vector_differences(a, b, ["model", "i"], ["model"]).first()
     assert got.mean_abs_diff == pytest.approx(0.15) and got.max_abs_diff == 0.5
     assert pd.notna(got.model)
+
+
+def test_digest_encoder_equals_plain_sums(spark):
+    texts = ["", " le chat\tdort\r\n le\x0bchat ", "甲 乙", None]
+    got = [list(r.vec) for r in features.digest_encoder(3)(spark.createDataFrame([("FR", t) for t in texts], "language string, text string").coalesce(1)).collect()]
+    for text, vec in zip(texts[:3], got):
+        words = [w for w in re.split(r"[ \t\r\n]+", text) if w]
+        mean = np.array([sum((int(hashlib.sha256(w.encode()).hexdigest()[i], 16) - 7.5) / 7.5 for w in words) / max(len(words), 1) for i in range(3)])
+        assert np.allclose(vec, mean / max(np.linalg.norm(mean), 1e-8), atol=1e-15)
+    assert got[3] == [None] * 3
+
+
+def test_row_index_uses_several_tasks(spark):
+    rows = spark.range(30_000).withColumn("text", F.expr("repeat(uuid(), 20)"))
+    tasks = index_by_id(rows, "id", "at").groupBy(F.spark_partition_id()).count().collect()
+    assert len(tasks) > 1 and sum(r["count"] for r in tasks) == 30_000

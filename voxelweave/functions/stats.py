@@ -71,6 +71,6 @@ def dense_index(
     )
 
 
-def index_by_id(df: DataFrame, id_column: str, out: str = "triplet_row_index", width: int = 65536) -> DataFrame:
+def index_by_id(df: DataFrame, id_column: str, out: str = "triplet_row_index", width: int = 4096) -> DataFrame:
     """Row index in ascending order of a unique integer id; a bucket holds at most ``width`` ids."""
     return dense_index(df, [], F.floor(F.col(id_column) / F.lit(width)), [id_column], out)
