@@ -304,3 +304,21 @@ def test_counts_of_the_plan_equal_its_words(spark):
     counts = deletion.matching_counts(ranked, [1, 2, 4]).groupBy(*keys).agg(F.sum("n_words").alias("n_words")).toPandas()
     assert sorted(map(tuple, words.values.tolist())) == sorted(map(tuple, counts.values.tolist())) and words.policy.nunique() == 3
     assert set(deletion.policy_counts(deletion.matching_plan(ranked, [1, 2])).collect()) == set(deletion.policy_counts(deletion.matching_counts(ranked, [1, 2])).collect())
+
+
+def test_packed_draws_equal_sampled_words(spark):
+    kinds = ["CONTENT", "CONTENT", "PUNCT", "FUNCTION", "CONTENT", "CONTENT", "CONTENT"]
+    spec = [[("FR" if i % 3 else "ZH", kind) for i, kind in enumerate(kinds)]]
+    ranked = deletion.rank_words(candidate_table(spark, spec))
+    for ks in ([1], [2], [5]):  # all but the last leave enough words of each class
+        wanted = ranked.select(*deletion.SUBJECT, F.lit(ks[0]).alias("k")).distinct()
+        row = deletion.sentence_draws(deletion.ranked_sentences(ranked, wanted), 30, 7).collect()[0]
+        got = set()
+        for person in row.people:
+            got |= {
+                (person.subject_id, d, row.requests[i].sentence_language, s.start)
+                for d, i in zip(person.draws, person["at"]) for s in row.requests[i].spans if d >= 0
+            }
+        picks = deletion.sample_words(deletion.matching_plan(ranked, ks), 30, 7).collect()
+        assert got == {(r.subject_id, r.draw, r.sentence_language, r.word_char_start) for r in picks}
+        assert len({(r.sentence_language, str(r.spans)) for r in row.requests}) == len(row.requests)  # each text is asked for once

@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import bisect
+import hashlib
+from collections import Counter
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from voxelweave.functions.stats import fisher_z, hash_int, pearson_from_sums
 from voxelweave.functions.text import delete_spans
-from voxelweave.functions.vector import dot
-from voxelweave.operators.attribution import FOLD, SETTING, vector_changes
+from voxelweave.functions.vector import doubles, minus
+from voxelweave.operators.attribution import FOLD, SETTING
 from voxelweave.operators.features import Encoder
-from voxelweave.session import cut
+from voxelweave.session import cut, spread
 
 SUBJECT = [*SETTING, "roi_family", "subject_id"]
 GROUP = [*SUBJECT, "triplet_row_index"]
@@ -215,22 +221,161 @@ def sample_words(plan: DataFrame, draws: int, seed: int, group: Sequence[str] =
     return taken.select(*key, "draw", *[word[c].alias(c) for c in (*WORD, *rest)])
 
 
-def span_requests(selected: DataFrame, extra: Sequence[str]) -> DataFrame:
-    """Spans to delete per (group, extra keys, source language), in order."""
-    spans = F.array_sort(F.collect_list(F.struct(F.col("word_char_start").alias("start"), F.col("word_char_end").alias("end"))))
-    return selected.groupBy(*GROUP, "canonical_run", *extra, "sentence_language").agg(spans.alias("spans"))
-
-
-def mutated_texts(requests: DataFrame, texts: DataFrame) -> DataFrame:
-    """Text of every distinct (sentence, spans) after deleting the spans.
-
-    Only keys and spans travel up to here; the text joins after equal requests have collapsed.
-    """
-    distinct = requests.select("triplet_row_index", "sentence_language", "spans").distinct()
-    return distinct.join(texts, ["triplet_row_index", "sentence_language"]).select(
-        "triplet_row_index", "sentence_language", "spans",
-        delete_spans(F.col("text"), F.col("spans"), F.col("sentence_language")).alias("mutated_text"),
-    )
+SPAN = "struct<start:int,end:int>"
+LANES = "ks:array<int>,draws:array<int>,at:array<int>"
+
+
+def ranked_sentences(ranked: DataFrame, wanted: DataFrame) -> DataFrame:
+    """One row per setting and sentence: its words, ranked for each subject. ``wanted``: (subject keys, k) cells to be scored."""
+    subject_words = ranked.groupBy(*GROUP, "canonical_run").agg(F.collect_list(F.struct(*WORD, "token_class", "score_rank")).alias("words"))
+    ks = wanted.groupBy(*SUBJECT).agg(F.array_sort(F.collect_set(F.col("k").cast("int"))).alias("ks"))
+    people = F.collect_list(F.struct("roi_family", "subject_id", "ks", "words"))
+    return subject_words.join(F.broadcast(ks), SUBJECT).groupBy(*SETTING, "triplet_row_index", "canonical_run").agg(people.alias("people"))
+
+
+def cells_of(words: list[tuple], ranks: list[int], k: int) -> tuple[str, list[tuple[str, int, list[int]]]]:
+    """Policy of one sentence, and (cell, need, positions of the eligible words) of what is drawn; ``matching_plan`` for one (group, k).
+    ``words``: (language, word columns.., token class) in order."""
+    kinds, spoken = [(w[0], w[-1]) for w in words], [w[-1] not in (None, "PUNCT") for w in words]
+    languages, chosen = [w[0] for w in words], [r <= k for r in ranks]
+    need, need_language = Counter(c for c, s in zip(kinds, chosen) if s), Counter(c for c, s in zip(languages, chosen) if s)
+    every, every_language = Counter(kinds), Counter(languages)
+    if all(every[c] >= 2 * n for c, n in need.items()):
+        return EXACT, _dealt([not s for s in chosen], ["|".join(v for v in c if v is not None) for c in kinds], [need[c] for c in kinds])
+    needs = [need_language[c] for c in languages]
+    if all(every_language[c] >= 2 * n for c, n in need_language.items()):
+        pool = Counter(c for c, s, said in zip(languages, chosen, spoken) if said and not s)
+        return LANGUAGE_APART, _dealt([not s and (said or pool[c] < n) for c, s, said, n in zip(languages, chosen, spoken, needs)], languages, needs)
+    pool = Counter(c for c, said in zip(languages, spoken) if said)
+    return LANGUAGE_ANY, _dealt([said or pool[c] < n for c, said, n in zip(languages, spoken, needs)], languages, needs)
+
+
+def _dealt(eligible: list[bool], cells: list[str], needs: list[int]) -> list[tuple[str, int, list[int]]]:
+    found: dict[str, tuple[int, list]] = {}
+    for i, (free, cell, need) in enumerate(zip(eligible, cells, needs)):
+        if free and need > 0:
+            found.setdefault(cell, (need, []))[1].append(i)
+    return [(cell, need, places) for cell, (need, places) in found.items()]
+
+
+def picked(head: bytes, draw: int, cell: str, n: int, need: int) -> list[int]:
+    """``drawn_positions`` of one draw."""
+    taken: list[int] = []
+    for i in range(min(need, n)):
+        place = int(hashlib.md5(b"%b|%d|%b|%d" % (head, draw, cell.encode(), i)).hexdigest()[:15], 16) % (n - i)
+        for t in taken:
+            place += place >= t
+        bisect.insort(taken, place)
+    return taken
+
+
+def sentence_draws(sentences: DataFrame, draws: int, seed: int) -> DataFrame:
+    """The texts that a sentence is needed in (``requests``: each language and set of spans once), and for each subject the policies
+    and the lanes: which request (``at``) is read by which k and draw, -1 for the selection itself. Draws are those of ``sample_words``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                one = batch.slice(at, 1)
+                row = one.select(keys).to_pylist()[0]
+                yield pa.RecordBatch.from_pylist([drawn(row, one.column("people").flatten())], schema=shape)
+
+    def drawn(row: dict, people: pa.StructArray) -> dict:
+        setting, requests, out = [row[c] for c in SETTING], {}, []
+        families, subjects, wanted = (people.field(c).to_pylist() for c in ("roi_family", "subject_id", "ks"))
+        for i, (family, subject, person_ks) in enumerate(zip(families, subjects, wanted)):
+            columns = people.field("words").slice(i, 1).flatten().flatten()  # word columns, token class, rank
+            listed = sorted(zip(*[c.to_pylist() for c in columns]), key=lambda w: ((w[0] or "").encode(), *w[1:4]))
+            words, ranks = [w[:-1] for w in listed], [w[-1] for w in listed]
+            lanes, policies, alone = [], [], {}
+
+            def ask(k: int, draw: int, places: list[int]) -> None:
+                if len(places) == 1:
+                    at = alone.get(places[0])
+                    if at is None:
+                        w = words[places[0]]
+                        at = alone[places[0]] = requests.setdefault((w[0], (w[2:4],)), len(requests))
+                    lanes.append((k, draw, at))
+                    return
+                some = [words[p] for p in places]
+                for language in {w[0] for w in some}:
+                    spans = tuple(sorted(w[2:4] for w in some if w[0] == language))
+                    lanes.append((k, draw, requests.setdefault((language, spans), len(requests))))
+
+            group = [seed, *setting, family, subject, row["triplet_row_index"]]
+            for k in person_ks:
+                ask(k, -1, [p for p, r in enumerate(ranks) if r <= k])
+                policy, cells = cells_of(words, ranks, k)
+                policies.append(policy)
+                head = "|".join(str(v) for v in [*group, k] if v is not None).encode()
+                for draw in range(draws):
+                    ask(k, draw, [pool[i] for cell, need, pool in cells for i in picked(head, draw, cell, len(pool), need)])
+            ks, numbers, places = map(list, zip(*lanes)) if lanes else ([], [], [])
+            out.append({"roi_family": family, "subject_id": subject, "wanted": person_ks, "policies": policies, "ks": ks, "draws": numbers, "at": places})
+        asked = [{"sentence_language": c, "spans": [{"start": a, "end": b} for a, b in spans]} for c, spans in requests]
+        return row | {"requests": asked, "people": out}
+
+    types = dict(sentences.dtypes)
+    keys = [*SETTING, "triplet_row_index", "canonical_run"]
+    people = f"array<struct<roi_family:string,subject_id:string,wanted:array<int>,policies:array<string>,{LANES}>>"
+    schema = ", ".join([*[f"`{c}` {types[c]}" for c in keys], f"requests array<struct<sentence_language:string,spans:array<{SPAN}>>>", f"people {people}"])
+    shape = to_arrow_schema(StructType.fromDDL(schema))
+    return sentences.select(*keys, "people").mapInArrow(run, schema)
+
+
+def request_changes(asked: DataFrame, texts: DataFrame, states: DataFrame, encoder: Encoder) -> DataFrame:
+    """Half the change of the source vector for every distinct (sentence, spans). Only spans are shuffled: texts are made and
+    encoded beside their sentence, once for each set of spans."""
+    sentence = ["sentence_language", "triplet_row_index"]
+    requests = asked.select("triplet_row_index", F.inline("requests")).distinct()
+    stored = states.select(F.col("language").alias("sentence_language"), "triplet_row_index", doubles(F.col("vec")).alias("_stored"))
+    rows = spread(requests, *sentence).join(texts.select(*sentence, "text"), sentence).join(stored, sentence)
+    mutated = delete_spans(F.col("text"), F.col("spans"), F.col("sentence_language"))
+    encoded = encoder(rows.select(F.col("sentence_language").alias("language"), "triplet_row_index", "spans", "_stored", mutated.alias("text")))
+    change = F.transform(minus(doubles(F.col("vec")), F.col("_stored")), lambda x: x / F.lit(2.0))
+    return encoded.select(F.col("language").alias("sentence_language"), "triplet_row_index", "spans", change.alias("delta"))
+
+
+def lane_gains(asked: DataFrame, changes: DataFrame, models: DataFrame) -> DataFrame:
+    """Rows (fold keys, triplet_row_index, ks, draws, gs): what each lane adds to the prediction per unit of weight."""
+    keys = [*SETTING, "triplet_row_index", "canonical_run"]
+    each = changes.groupBy("triplet_row_index").agg(F.collect_list(F.struct("sentence_language", "spans", "delta")).alias("changes"))
+    weights = models.groupBy(*SETTING, "canonical_run").agg(F.collect_list(F.struct("roi_family", "subject_id", "w")).alias("weights"))
+    rows = asked.join(each, "triplet_row_index").join(weights, [*SETTING, "canonical_run"]).select(*keys, "requests", "people", "changes", "weights")
+    name = lambda r: (r["sentence_language"], tuple((s["start"], s["end"]) for s in r["spans"]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                one = batch.slice(at, 1)
+                row = one.select([*keys, "requests", "changes", "weights"]).to_pylist()[0]
+                people = one.column("people").flatten()
+                lists = {c: people.field(c) for c in ("ks", "draws", "at")}
+                delta = {name(c): c["delta"] for c in row["changes"]}
+                known = np.array([name(r) in delta for r in row["requests"]])
+                if not known.any():
+                    continue
+                width = len(next(iter(delta.values())))
+                moved = np.array([delta.get(name(r), [0.0] * width) for r in row["requests"]], np.float64)
+                found = []
+                w = {(m["roi_family"], m["subject_id"]): np.array(m["w"], np.float64) for m in row["weights"]}
+                for i, who in enumerate(zip(people.field("roi_family").to_pylist(), people.field("subject_id").to_pylist())):
+                    k, draw, places = (lists[c][i].values.to_numpy() for c in ("ks", "draws", "at"))
+                    here = known[places]
+                    if who not in w or not here.any():
+                        continue
+                    code, lane = np.unique((k[here].astype(np.int64) << 32) + draw[here] + 1, return_inverse=True)
+                    g = np.bincount(lane, (moved @ w[who])[places[here]], len(code))
+                    head = {c: row[c] for c in keys} | dict(zip(("roi_family", "subject_id"), who))
+                    found.append(head | {"ks": code >> 32, "draws": (code & 0xFFFFFFFF) - 1, "gs": g})
+                if found:
+                    yield pa.RecordBatch.from_pylist(found, schema=shape)
+
+    types = dict(asked.dtypes)
+    named = [f"`{c}` {types.get(c, 'string')}" for c in [*FOLD, "triplet_row_index"]]
+    schema = ", ".join([*named, "ks array<int>", "draws array<int>", "gs array<double>"])
+    shape = to_arrow_schema(StructType.fromDDL(schema))
+    return rows.mapInArrow(run, schema)
 
 
 def fold_sums(series: DataFrame) -> DataFrame:
@@ -256,7 +401,8 @@ def _block_corrections(key: tuple, changed: pd.DataFrame, scans: pd.DataFrame) -
     if changed.empty or scans.empty:
         return pd.DataFrame(columns=[*FOLD, "k", "draw", "dp", "dpp", "dap"])
     flat = lambda c, kind: np.concatenate([np.asarray(v, kind) for v in changed[c]])
-    lanes, lane = np.unique(np.stack([flat("ks", np.int64), flat("draws", np.int64)]), axis=1, return_inverse=True)
+    code, lane = np.unique((flat("ks", np.int64) << 32) + flat("draws", np.int64) + 1, return_inverse=True)
+    lanes = np.stack([code >> 32, (code & 0xFFFFFFFF) - 1])
     sentences = np.arange(len(changed))
     gain = np.zeros((len(changed), lanes.shape[1]))
     np.add.at(gain, (np.repeat(sentences, changed["ks"].map(len)), lane.ravel()), flat("gs", float))
@@ -270,29 +416,28 @@ def _block_corrections(key: tuple, changed: pd.DataFrame, scans: pd.DataFrame) -
     return pd.DataFrame(dict(zip(FOLD, key)) | {"k": lanes[0], "draw": lanes[1]} | sums)
 
 
-def mutated_scores(gains: DataFrame, basis: DataFrame, series: DataFrame, sums: DataFrame) -> DataFrame:
-    """Mean Fisher z of every (k, draw) after mutating the sentences listed in ``gains`` (group keys, canonical_run, k, draw, g).
+def mutated_scores(lanes: DataFrame, basis: DataFrame, series: DataFrame, sums: DataFrame) -> DataFrame:
+    """Mean Fisher z of every (k, draw) after mutating the sentences listed in ``lanes`` (fold keys, triplet_row_index, ks, draws, gs).
 
     Draws are lanes: a sentence is one row with its gains, a task holds one block of ``SCANS_PER_BLOCK`` scans of one fold with the
     sentences that reach it, and all draws move its scans in one matrix product. What leaves are corrections to the fold
     sums, so there is no row for each draw and scan. Runs without a change keep their base score.
     """
     block = F.floor(F.col("scan") / SCANS_PER_BLOCK).alias("block_of_scans")
-    lanes = gains.groupBy(*FOLD, "triplet_row_index").agg(F.collect_list(F.struct("k", "draw", "g")).alias("_lanes"))
-    lanes = lanes.select(*FOLD, "triplet_row_index", *[F.col(f"_lanes.{c}").alias(f"{c}s") for c in ("k", "draw", "g")])
     reach = basis.groupBy("language", "canonical_run", "triplet_row_index", block).agg(F.collect_list(F.struct("scan", "weight")).alias("_reach"))
     reach = reach.select(
         "language", "canonical_run", "triplet_row_index", "block_of_scans", F.col("_reach.scan").alias("scans"), F.col("_reach.weight").alias("weights")
     )
     changed = lanes.join(reach, ["language", "canonical_run", "triplet_row_index"]).drop("triplet_row_index")
-    # New attributes: gains and series may descend from the same models, and a cogroup cannot tell their columns apart.
+    # New attributes: lanes and series may descend from the same models, and a cogroup cannot tell their columns apart.
     moved_scans = series.select(*[F.col(c).alias(c) for c in FOLD], "scan", "predicted", "actual", block)
     types = dict(series.select(*FOLD).dtypes)
     schema = ", ".join([*[f"{c} {types[c]}" for c in FOLD], "k int", "draw int", "dp double", "dpp double", "dap double"])
     tasks = [*FOLD, "block_of_scans"]
     parts = changed.groupBy(*tasks).cogroup(moved_scans.groupBy(*tasks)).applyInPandas(_block_corrections, schema)
     corrections = parts.groupBy(*FOLD, "k", "draw").agg(*[F.sum(c).alias(c) for c in ("dp", "dpp", "dap")])
-    wanted = gains.select(*SUBJECT, "k", "draw").distinct().join(sums, SUBJECT)
+    each = F.inline(F.arrays_zip(F.col("ks").alias("k"), F.col("draws").alias("draw")))
+    wanted = lanes.select(*SUBJECT, "ks", "draws").distinct().select(*SUBJECT, each).toDF(*SUBJECT, "k", "draw").distinct().join(sums, SUBJECT)
     zero = F.lit(0.0)
     moved = wanted.join(corrections, [*FOLD, "k", "draw"], "left")
     z = _run_z(
@@ -309,29 +454,17 @@ def deletion_rows(
 
     ``pending`` limits the work to the listed (subject keys, k) cells.
     """
-    plan = matching_plan(rank_words(attributions), ks)
-    if pending is not None:
-        plan = plan.join(pending.select(*SUBJECT, "k").distinct(), [*SUBJECT, "k"], "left_semi")
-    plan = cut(plan)  # read for the selection, the draws and the policy labels
-    top = plan.where("selected").withColumn("draw", F.lit(-1))
-    picks = top.select(*GROUP, "canonical_run", "k", "draw", *WORD).unionByName(
-        sample_words(narrow(plan), draws, seed).select(*GROUP, "canonical_run", "k", "draw", *WORD)
-    )
-    requests = cut(span_requests(picks, ["k", "draw"]))  # read for the texts, the gains and the draws
-    changes = vector_changes(mutated_texts(requests, texts), states, encoder)
-    # A request is scored once per fold, however many draws share it.
-    unique = requests.select(*GROUP, "canonical_run", "sentence_language", "spans").distinct()
-    gains = (
-        unique.join(changes, ["triplet_row_index", "sentence_language", "spans"])
-        .join(models.select(*FOLD, "w"), FOLD)
-        .select(*GROUP, "canonical_run", "sentence_language", "spans", dot(F.col("delta"), F.col("w")).alias("g"))
-    )
-    per_draw = requests.join(gains, [*GROUP, "canonical_run", "sentence_language", "spans"]).select(
-        *GROUP, "canonical_run", "k", "draw", "g"
-    )
+    sentence = [*SETTING, "triplet_row_index"]
+    rows = spread(attributions.select(*GROUP, "canonical_run", *WORD, "token_class", "attribution_score"), *sentence)
+    if pending is None:
+        pending = rows.select(*SUBJECT).distinct().withColumn("k", F.explode(F.array(*[F.lit(int(k)) for k in ks])))
+    wanted = pending.where(F.col("k").isin([int(k) for k in ks])).select(*SUBJECT, "k").distinct()
+    asked = cut(sentence_draws(ranked_sentences(rank_words(rows), wanted), draws, seed))  # read for the texts, the lanes and the policies
+    lanes = cut(lane_gains(asked, request_changes(asked, texts, states, encoder), models))  # read for the sums and for which lanes there are
     sums = fold_sums(series)
-    scores = mutated_scores(per_draw, basis, series, sums)
-    policies = plan.where("selected").groupBy(*SUBJECT, "k").agg(
+    scores = mutated_scores(lanes, basis, series, sums)
+    each = asked.select(*SETTING, F.inline("people")).select(*SUBJECT, F.inline(F.arrays_zip(F.col("wanted").alias("k"), F.col("policies").alias("policy"))))
+    policies = each.toDF(*SUBJECT, "k", "policy").groupBy(*SUBJECT, "k").agg(
         F.array_join(F.array_sort(F.collect_set("policy")), "+").alias("matching_policy")
     )
     random = F.col("draw") >= 0
