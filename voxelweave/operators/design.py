@@ -261,6 +261,12 @@ def nuisance_rows(drift: DataFrame, acoustic: DataFrame, scans: DataFrame) -> Da
     return align_terms(drift.unionByName(acoustic.select(*drift.columns)), names, scans)
 
 
+def pooled_basis(basis: DataFrame) -> DataFrame:
+    """Weights of equal (language, run, scan, row of features) added up. Where sentences share feature rows, numbers are summed before any
+    vector is met: at most runs x scans x feature rows of them are left, however many sentences there are."""
+    return basis.groupBy("language", "canonical_run", "scan", "triplet_row_index").agg(F.sum("weight").alias("weight"))
+
+
 def design_rows(
     basis: DataFrame, features: DataFrame, setting: Sequence[str], *, bucket: int = 32, hot: int = 4096, lane: int = 16
 ) -> DataFrame:

@@ -305,16 +305,19 @@ def family_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def sentence_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every timed sentence takes one feature row of each block and condition, in turn."""
-    feats = build_features(state_vectors(spark, sf_dir), raw_states=()).withColumn("slot", F.floor(F.col("triplet_row_index") / 4)).select(
-        "model", "state", "block", "condition", F.col("target_language").alias("language"), "slot", "vec"
-    )
-    complete = feats.where("condition = 'SPECIFIC'").groupBy("block", "language").agg(F.count(F.lit(1)).alias("n_slots"))
-    asked = sentence_timing(spark, sf_dir).select("language", F.col("triplet_row_index")).join(complete, "language")
-    return asked.withColumn("slot", F.col("triplet_row_index") % F.col("n_slots")).join(feats, ["language", "block", "slot"]).select(
-        "model", "language", "block", "state", "condition", "triplet_row_index", "vec"
+def sweep_features(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Feature rows of each block and condition, and ``places``: how many of them every block and language has. A timed sentence takes
+    one feature row of each block and condition, in turn: row (id mod n_slots) of the block."""
+    feats = build_features(state_vectors(spark, sf_dir), raw_states=()).select(
+        "model", "state", "block", "condition", F.col("target_language").alias("language"), "triplet_row_index", "vec"
     )
+    places = feats.where("condition = 'SPECIFIC'").groupBy("block", "language").agg(F.count(F.lit(1)).alias("n_slots"))
+    return feats, places
+
+
+def feature_of(triplet: Column) -> Column:
+    """Row index of the feature that a sentence takes of a block: slots count a block's rows, of which there is one in four."""
+    return triplet % F.col("n_slots") * 4 + F.col("block")
 
 
 SWEEP_SETTING = ["model", "language", "block", "state", "condition"]
