@@ -108,3 +108,32 @@ def test_fingerprint_trees_propose_near_copies(spark, monkeypatch):
     got = sorted(r.doc_id for r in nc.one_per_group(df).collect())
     assert got == plain_kept(rows)
     scratch.clear()
+
+
+def test_sketches_refuse_no_alike_pair_and_few_sets_are_made(spark):
+    """Sketches of different lengths at the very threshold; texts that share one rare passage only are told apart without their sets."""
+    import numpy as np
+
+    from voxelweave.llm.common import Scratch
+
+    rng = random.Random(11)
+    for n in (1, 4, 45, 60, 64, 65, 120, 999, 4090):
+        for m in {n, n * 9 // 8, n * 5 // 4}:
+            shared = -(-4 * (n + m) // 9)
+            if shared > n:
+                continue
+            pool = rng.sample(range(1, 1 << 60), n + m - shared)
+            a, b = np.array(pool[:n], np.uint64), np.array(pool[n - shared :], np.uint64)
+            assert nc.may_be_alike(nc.parity(a), nc.parity(b), n, m) and nc.may_be_alike(nc.parity(b), nc.parity(a), m, n)
+            other = np.array(rng.sample(range(1, 1 << 60), m), np.uint64)
+            assert n < 45 or not nc.may_be_alike(nc.parity(a), nc.parity(other), n, m)
+
+    passage = "a rare passage of seven words here"
+    df = documents(spark, list(enumerate([f"{passage} {prose(f'text{i}', 60 + i)}" for i in range(8)])))
+    scratch = Scratch(spark, "test")
+    found = scratch.stored(nc.prints(df), "prints")
+    pairs = found.selectExpr("node as u").crossJoin(found.selectExpr("node as v")).where("u < v")
+    assert nc._linked(df, pairs, found.select("node", "n", "text_key", "parity"), scratch).count() == 0
+    made = [spark.read.parquet(f"{scratch.path}/{k}-{name}").count() for k, name in ((3, "left"), (4, "right"))]
+    assert pairs.count() == 28 and made == [0, 0]
+    scratch.clear()

@@ -8,7 +8,8 @@ fingerprints is compared with its smallest node, and whole sets decide. Fingerpr
 rest, of which none is missed: in any one order of all shingles, sets of that similarity share one
 of their first n - ceil(0.8 n) + 1. The order puts rare shingles first, by classes of their counts in a sample (a table of bounded
 size; a wrong class costs time only). So texts that share a passage do not meet unless it makes up almost all of them. Sizes
-and positions bound the similarity of a candidate; whole sets decide.
+and positions bound the similarity of a candidate, then sketches of about a bit for each shingle do (``parity``), so that sets are made
+for few pairs beside the alike ones; whole sets decide.
 
 Crowded buckets are first compared in stars: each node with one hub that it shares most buckets with. Buckets whose nodes are of one
 component are closed. What is left is compared pair by pair, across components only. So a group of m near copies costs O(m)
@@ -52,6 +53,20 @@ def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
     return np.unique(np.fromiter(found, np.uint64, len(words) - width + 1))
 
 
+def parity(found: np.ndarray) -> bytes:
+    """Bits that tell which slots hold an odd number of shingles; as many slots as shingles, up to the next power of two (64 at least)."""
+    size = 1 << max(6, (len(found) - 1).bit_length())
+    return np.packbits(np.bincount((found & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1, bitorder="little").tobytes()
+
+
+def may_be_alike(one: bytes, two: bytes, n: int, m: int) -> bool:
+    """Whether sets of n and m shingles with these parities may have the similarity: they differ in a shingle at least for each bit that differs."""
+    over, under = SHARE
+    a, b = sorted((np.frombuffer(one, np.uint8), np.frombuffer(two, np.uint8)), key=len)
+    differing = int(np.bitwise_count(a ^ np.bitwise_xor.reduce(b.reshape(-1, len(a)), axis=0)).sum())
+    return (over + under) * (n + m - differing) >= 2 * over * (n + m)
+
+
 def least_shared(n, m, at_n=0, at_m=0):
     """Whether sets of n and m elements whose first common elements stand at these positions may have the similarity."""
     over, under = SHARE
@@ -89,24 +104,23 @@ def prefix(found: np.ndarray, classes: np.ndarray) -> np.ndarray:
 
 
 def prints(documents: DataFrame) -> DataFrame:
-    """Rows (doc_id, text_key, node, n: size of the set, prefix), one for each row of ``documents``. Null counts as empty."""
+    """Rows (doc_id, text_key, node, n: size of the set, prefix, parity), one for each row of ``documents``. Null counts as empty."""
     shared = documents.sparkSession.sparkContext.broadcast(rarity(documents))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 200):
-            nodes, sizes, firsts = [], [], []
+            nodes, sizes, firsts, sketches = [], [], [], []
             for text in batch.column(2):  # one set at a time, as workers stay for the later stages
                 found = shingles(text.as_py())
                 nodes.append(_node(found))
                 sizes.append(len(found))
                 firsts.append(prefix(found, shared.value).view(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(firsts, pa.list_(pa.int64()))],
-                names=["doc_id", "text_key", "node", "n", "prefix"],
-            )
+                sketches.append(parity(found))
+            made = [pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(firsts, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=["doc_id", "text_key", "node", "n", "prefix", "parity"])
 
     keyed = documents.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
-    return keyed.mapInArrow(run, "doc_id long, text_key long, node long, n long, prefix array<long>")
+    return keyed.mapInArrow(run, "doc_id long, text_key long, node long, n long, prefix array<long>, parity binary")
 
 
 def crowded_bits(found: DataFrame) -> np.ndarray:
@@ -123,13 +137,13 @@ def crowded_bits(found: DataFrame) -> np.ndarray:
 
 
 def _crowded_only(found: DataFrame, bits: np.ndarray) -> DataFrame:
-    """(node, n, text_key, buckets: the entries of the prefix that may be shared, with their positions), a row for each of ``found``."""
+    """(node, n, text_key, parity, buckets: the entries of the prefix that may be shared, with their positions), a row for each of ``found``."""
     shared = found.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
         for batch in batches:
-            lists = batch.column(3)
+            lists = batch.column(4)
             values, ends = lists.flatten().to_numpy(zero_copy_only=False), lists.offsets.to_numpy().astype(np.int64)
             ends = ends - ends[0]
             slots = values.view(np.uint64) & np.uint64(len(table) * 64 - 1)
@@ -137,10 +151,10 @@ def _crowded_only(found: DataFrame, bits: np.ndarray) -> DataFrame:
             at = np.arange(len(values)) - np.repeat(ends[:-1], np.diff(ends))
             entries = pa.StructArray.from_arrays([pa.array(values[hit]), pa.array(at[hit].astype(np.int32))], names=["bucket", "at"])
             kept = pa.array(np.append(0, np.cumsum(hit))[ends].astype(np.int32))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.ListArray.from_arrays(kept, entries)], names=["node", "n", "text_key", "buckets"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.ListArray.from_arrays(kept, entries)], names=["node", "n", "text_key", "parity", "buckets"])
 
-    rows = found.where("n > 0").select("node", "n", "text_key", "prefix")
-    return rows.mapInArrow(run, f"node long, n long, text_key long, buckets {ENTRY}")
+    rows = found.where("n > 0").select("node", "n", "text_key", "parity", "prefix")
+    return rows.mapInArrow(run, f"node long, n long, text_key long, parity binary, buckets {ENTRY}")
 
 
 def _with_sets(documents: DataFrame, keys: DataFrame) -> DataFrame:
@@ -157,9 +171,23 @@ def _with_sets(documents: DataFrame, keys: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, f"{one} long, {two} long, found array<long>")
 
 
+def _alike(pairs: DataFrame, keys: DataFrame) -> DataFrame:
+    """The pairs (u, v) that their sketches leave."""
+    of = lambda c: keys.select(F.col("node").alias(c), F.col("n").alias(f"{c}_n"), F.col("parity").alias(f"{c}_parity"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = zip(*(batch.column(c).to_pylist() for c in ("u_parity", "v_parity", "u_n", "v_n")))
+            yield batch.select(["u", "v"]).filter(pa.array([may_be_alike(*end) for end in ends], pa.bool_()))
+
+    return pairs.join(of("u"), "u").join(of("v"), "v").mapInArrow(run, "u long, v long")
+
+
 def _linked(documents: DataFrame, pairs: DataFrame, keys: DataFrame, scratch: Scratch) -> DataFrame:
-    """The pairs (u, v) whose sets have the similarity: shared / (n + m - shared) >= over / under. v's set is made once."""
+    """The pairs (u, v) whose sets have the similarity: shared / (n + m - shared) >= over / under. v's set is made once. ``keys``:
+    stored (node, n, text_key, parity)."""
     over, under = SHARE
+    pairs, keys = scratch.stored(_alike(pairs, keys), "alike"), keys.select("node", "text_key")
     left = scratch.stored(pairs.join(keys.withColumnRenamed("node", "u"), "u").select("text_key", "u", "v"), "left")
     right = scratch.stored(pairs.select("v").distinct().join(keys.withColumnRenamed("node", "v"), "v").select("text_key", "v", F.col("v").alias("w")), "right")
     both = _with_sets(documents, left).join(_with_sets(documents, right).withColumnRenamed("found", "other"), "v")
@@ -203,10 +231,10 @@ def components(documents: DataFrame, found: DataFrame, scratch: Scratch, pairs_p
     by pair, ``STARS`` at most, while that would meet over ``pairs_per_row`` pairs for each row of a bucket."""
     spark = documents.sparkSession
     near = _crowded_only(found, crowded_bits(found)).where(F.size("buckets") > 0).groupBy("node")
-    near = scratch.stored(near.agg(F.first("n").alias("n"), F.min("text_key").alias("text_key"), F.first("buckets").alias("buckets")), "near")
-    keys, near = near.select("node", "text_key"), near.select("node", "n", "buckets")
+    near = scratch.stored(near.agg(F.first("n").alias("n"), F.min("text_key").alias("text_key"), F.first("parity").alias("parity"), F.first("buckets").alias("buckets")), "near")
+    keys, near = near.select("node", "n", "text_key", "parity"), near.select("node", "n", "buckets")
     ordered = lambda df: df.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    pairs = scratch.stored(fingerprint_pairs(documents, keys, scratch), "fingerprint-pairs")
+    pairs = scratch.stored(fingerprint_pairs(documents, keys.select("node", "text_key"), scratch), "fingerprint-pairs")
     links = scratch.stored(_linked(documents, pairs, keys, scratch), "fingerprint-links")
     compared, bound = ordered(pairs), None
     labels = None if links.isEmpty() else relabelled(None, links, scratch)
