@@ -322,3 +322,31 @@ def test_packed_draws_equal_sampled_words(spark):
         picks = deletion.sample_words(deletion.matching_plan(ranked, ks), 30, 7).collect()
         assert got == {(r.subject_id, r.draw, r.sentence_language, r.word_char_start) for r in picks}
         assert len({(r.sentence_language, str(r.spans)) for r in row.requests}) == len(row.requests)  # each text is asked for once
+
+
+def test_window_moments_shuffle_no_row_for_a_scan_and_fold(spark):
+    """Folds without some scans or with missing errors, a sentence beyond the basis, crowded runs; and the plan has no row-wise join of scans with folds."""
+    rng = np.random.default_rng(3)
+    windows = [("EN", r, s, t) for t in range(40) for r in (1, 2) if t % 2 == r - 1 for s in range(t % 7, t % 7 + 5)]
+    basis = [("EN", r, s, t, float(rng.normal())) for _, r, s, t in windows if s % 3 and t != 5]
+    series = [("m", "EN", 0, "OUTPUT", "SEMANTIC", u, r, s, None if (u, s) == ("b", 4) else float(rng.normal()), float(rng.normal()))
+              for u in "abc" for r in (1, 2) for s in range(12) if (u, s) != ("c", 3)]
+    weight = {(t, s): w for _, _, s, t, w in basis}
+    want = {}
+    for _, r, s, t in windows:
+        for *_, u, run, scan, actual, predicted in series:
+            if (run, scan) == (r, s):
+                w = weight.get((t, s), 0.0)
+                want.setdefault((u, t), []).append((w * w, None if actual is None else w * (actual - predicted)))
+    frames = [
+        spark.createDataFrame(series, FOLD_SCHEMA + ", scan int, actual double, predicted double"),
+        spark.createDataFrame(windows, "language string, canonical_run int, scan int, triplet_row_index bigint"),
+        spark.createDataFrame(basis, "language string, canonical_run int, scan int, triplet_row_index bigint, weight double"),
+    ]
+    found = attribution.window_moments(*frames, hot=7)
+    got = {(r.subject_id, r.triplet_row_index): (r.weight_sq, r.weight_error) for r in found.collect()}
+    assert got.keys() == want.keys()
+    for k, pairs in want.items():
+        errors = [e for _, e in pairs if e is not None]
+        assert got[k] == pytest.approx((np.mean([q for q, _ in pairs]), np.mean(errors)), abs=1e-12)
+    assert "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().toString()

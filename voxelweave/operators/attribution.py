@@ -8,6 +8,10 @@ multiplied by the candidate words.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from voxelweave.checks import demand_empty
@@ -102,19 +106,75 @@ def fold_series(models: DataFrame, design: DataFrame, nuisance: DataFrame, targe
     )
 
 
-def window_moments(series: DataFrame, windows: DataFrame, basis: DataFrame) -> DataFrame:
-    """Per (fold, sentence): mean squared weight and mean weight x error over the response window."""
-    weighted = windows.join(basis, ["language", "canonical_run", "scan", "triplet_row_index"], "left").withColumn(
-        "weight", F.coalesce("weight", F.lit(0.0))
-    )
-    return (
-        weighted.join(series, ["language", "canonical_run", "scan"])
-        .groupBy(*FOLD, "triplet_row_index")
-        .agg(
-            F.avg(F.col("weight") * F.col("weight")).alias("weight_sq"),
-            F.avg(F.col("weight") * (F.col("actual") - F.col("predicted"))).alias("weight_error"),
-        )
+def window_moments(series: DataFrame, windows: DataFrame, basis: DataFrame, hot: int = 4096) -> DataFrame:
+    """Per (fold, sentence): mean squared weight and mean weight x error over the response window.
+
+    Scans meet folds as matrices, a task for each run and ``hot`` of its sentences: what is shuffled is one row of scans for each sentence
+    and one of errors for each fold and task, never a row for each scan and fold of a sentence.
+    """
+    sentence = ["language", "canonical_run", "triplet_row_index"]
+    inside = windows.groupBy(*sentence).agg(F.collect_list("scan").alias("scans"))
+    weighted = basis.groupBy(*sentence).agg(F.collect_list(F.struct("scan", "weight")).alias("weights"))
+    packed = inside.join(weighted, sentence, "left")
+    crowd = packed.groupBy("language", "canonical_run").agg(F.ceil(F.count(F.lit(1)) / F.lit(hot)).cast("int").alias("_tasks"))
+    error = F.col("actual") - F.col("predicted")
+    errors = series.groupBy(*FOLD).agg(F.collect_list(F.struct("scan", error.alias("error"))).alias("errors")).join(crowd, ["language", "canonical_run"])
+    # Aliases, since both sides come from the same sentences and a cogroup tells columns apart by their origin.
+    left = packed.join(crowd, ["language", "canonical_run"]).select(
+        *[F.col(c).alias(c) for c in ("language", "canonical_run")], F.pmod(F.xxhash64("triplet_row_index"), F.col("_tasks")).cast("int").alias("_task"),
+        F.col("triplet_row_index").alias("triplet_row_index"), F.col("scans").alias("scans"), F.col("weights").alias("weights"),
     )
+    right = errors.select(*[F.col(c).alias(c) for c in (*FOLD, "errors")], F.explode(F.sequence(F.lit(0), F.col("_tasks") - 1)).alias("_task"))
+    kinds = dict(series.dtypes) | dict(windows.dtypes)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in (*FOLD, "triplet_row_index")) + ", weight_sq double, weight_error double"
+    keys = ["language", "canonical_run", "_task"]
+
+    def run(sentences: pa.Table, folds: pa.Table) -> pa.Table:
+        none = pa.array([], pa.float64())
+        empty = [*(folds[c].slice(0, 0) for c in FOLD), sentences["triplet_row_index"].slice(0, 0), none, none]
+        made = [pa.table(empty, names=[*FOLD, "triplet_row_index", "weight_sq", "weight_error"])]
+        if not sentences.num_rows or not folds.num_rows:
+            return made[0]
+        scans, weights = _listed(sentences["scans"]), _listed(sentences["weights"], "scan", "weight")
+        errors = _listed(folds["errors"], "scan", "error")
+        steps = scans.rename(columns={"value": "scan"}).merge(weights, on=["row", "scan"], how="left").sort_values("row", kind="stable")
+        steps["weight"] = steps["weight"].fillna(0.0)
+        places, at = np.unique(errors["scan"].to_numpy(), return_inverse=True)
+        steps = steps[np.isin(steps["scan"].to_numpy(), places)]
+        shape, cell = (len(places), folds.num_rows), (at, errors["row"].to_numpy())
+        rows, known, total = np.zeros(shape), np.zeros(shape), np.zeros(shape)
+        found = ~errors["missing"].to_numpy()
+        np.add.at(rows, cell, 1.0)
+        np.add.at(known, cell, found.astype(float))
+        np.add.at(total, cell, np.where(found, errors["error"].to_numpy(np.float64), 0.0))
+        number = steps["row"].to_numpy()
+        for first in range(0, sentences.num_rows, 256):  # bounds the products, however many folds there are
+            part = steps[(number >= first) & (number < first + 256)]
+            if not len(part):
+                continue
+            own, starts = np.unique(part["row"].to_numpy(), return_index=True)
+            w, scan = part["weight"].to_numpy(np.float64)[:, None], np.searchsorted(places, part["scan"].to_numpy())
+            n, squares, n_known, crossed = (np.add.reduceat(x, starts) for x in (rows[scan], w * w * rows[scan], known[scan], w * total[scan]))
+            s, f = np.nonzero(n)
+            error = pa.array(crossed[s, f] / np.maximum(n_known[s, f], 1.0), pa.float64(), mask=n_known[s, f] == 0)
+            columns = [folds[c].combine_chunks().take(pa.array(f)) for c in FOLD]
+            triplets = sentences["triplet_row_index"].combine_chunks().take(pa.array(own[s]))
+            made.append(pa.table([*columns, triplets, pa.array(squares[s, f] / n[s, f]), error], names=made[0].column_names))
+        return pa.concat_tables(made)
+
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, schema)
+
+
+def _listed(column: pa.ChunkedArray, *fields: str) -> pd.DataFrame:
+    """Elements of a column of lists with the number of their row; of structs the named fields, ``missing`` tells a null of the last one."""
+    lists = column.combine_chunks()
+    values = lists.flatten()
+    out = {"row": pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)}
+    if not fields:
+        return pd.DataFrame(out | {"value": values.to_numpy(zero_copy_only=False)})
+    parts = dict(zip(fields, [values.field(values.type.get_field_index(f)) for f in fields]))
+    out |= {f: p.to_numpy(zero_copy_only=False) for f, p in parts.items()}
+    return pd.DataFrame(out | {"missing": pc.is_null(parts[fields[-1]]).to_numpy(zero_copy_only=False)})
 
 
 def score_words(changes: DataFrame, models: DataFrame, moments: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from voxelweave.functions.vector import dot, doubles
 from voxelweave.operators import design
 from voxelweave.operators.attribution import FOLD
 from voxelweave.operators.features import build_features, digest_encoder
-from voxelweave.session import spread
+from voxelweave.session import cut, spread
 
 # Fixed values of the event timeline: origin, run length, and the study clock (450 event seconds = 1 study second).
 ORIGIN = "2024-01-01 00:00:00"
@@ -393,9 +393,9 @@ def token_rows(sentences: DataFrame, keys: list[str], width: int = 4) -> DataFra
     )
 
 
-def story_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Encoded sentences of the story triplets."""
-    sentences = by_language(story_triplets(spark, sf_dir)).select("language", "triplet_row_index", "text")
+def story_states(story: DataFrame) -> DataFrame:
+    """Encoded sentences of the story triplets; texts are spread first, as a stored story has few partitions."""
+    sentences = by_language(spread(story, "triplet_row_index")).select("language", "triplet_row_index", "text")
     return digest_encoder(ENCODER_DIMS)(sentences).drop("text")
 
 
@@ -415,10 +415,12 @@ def story_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def story_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Actual family series and the predictions of the stand-in models."""
-    basis = story_basis(spark, sf_dir)
-    pooled = shared_story(spark, sf_dir)
+def story_series(spark: SparkSession, sf_dir: str, story: DataFrame | None = None, states: DataFrame | None = None) -> DataFrame:
+    """Actual family series and the predictions of the stand-in models. ``story`` and ``states``: stored triplets and their encoded
+    sentences, made here where the caller has none, so that texts are indexed and encoded once for all that reads them."""
+    story = cut(story_triplets(spark, sf_dir)) if story is None else story
+    basis = story_basis(spark, story)
+    pooled = shared_story(story_states(story) if states is None else states)
     x = design.design_rows(basis, pooled, ["language"])
     models = story_models(spark, sf_dir)
     values = family_values(spark, sf_dir)
@@ -429,8 +431,8 @@ def story_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(*FOLD, "scan", (F.col("value") / 100).alias("actual"), predicted.alias("predicted"))
 
 
-def story_basis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    timing = by_language(story_triplets(spark, sf_dir)).select("language", "canonical_run", "triplet_row_index", "onset_sec", "offset_sec")
+def story_basis(spark: SparkSession, story: DataFrame) -> DataFrame:
+    timing = by_language(story).select("language", "canonical_run", "triplet_row_index", "onset_sec", "offset_sec")
     return design.sentence_basis(timing, story_scans(spark), CLOCK)
 
 
@@ -439,9 +441,9 @@ def story_scans(spark: SparkSession) -> DataFrame:
     return spark.range(1, 7).select(langs, F.col("id").cast("int").alias("canonical_run"), F.lit(N_SCANS).alias("n_scans"))
 
 
-def shared_story(spark: SparkSession, sf_dir: str) -> DataFrame:
+def shared_story(states: DataFrame) -> DataFrame:
     """Shared vectors of the story: the mean of the two other languages."""
-    states = story_states(spark, sf_dir).select(
+    states = states.select(
         F.lit("m0").alias("model"), "language", F.lit("OUTPUT").alias("state"), F.lit(0).alias("block"),
         F.lit(0.0).alias("block_depth_norm"), "triplet_row_index", "vec",
     )
