@@ -56,6 +56,27 @@ def test_subword_mapping(spark):
         assert got[i] == ((min(hit), max(hit), max(hit) - min(hit) + 1) if hit else (None, None, 0))
 
 
+def test_words_are_neither_sorted_nor_shuffled_and_meet_subwords_in_place(spark):
+    """Against a plain scan: subwords with gaps, without width, out of order, missing; null, empty and long texts."""
+    rng = random.Random(4)
+    rows = [(0, "EN", None, [(0, 2)]), (1, "EN", "", []), (2, "FR", "la vie. la", None), (3, "ZH", "甲 乙，丙", [(3, 5), (0, 1), (0, 9)]), (4, "EN", " ".join(["word,"] * 3000), [(i, i + 7) for i in range(0, 17000, 7)])]
+    for i in range(5, 60):
+        text = "".join(rng.choice("abc é'-.,+3　 \n甲乙😀") for _ in range(rng.randrange(50)))
+        subs = [(s, s + rng.randrange(4)) for s in sorted(rng.randrange(55) for _ in range(rng.randrange(20)))]
+        rows.append((i, rng.choice(["EN", "FR", "ZH"]), text, rng.sample(subs, len(subs)) if i % 4 == 0 else subs))
+    df = spark.createDataFrame(rows, "k int, language string, text string, subs array<struct<start:int,end:int>>")
+    found = words.segment_words(df, ["k"], offsets="subs")
+    got = {(r.k, r.word_char_start, r.word_char_end, r.word_index, r.n_subwords_deleted) for r in found.collect()}
+    want = set()
+    for k, lang, text, subs in rows:
+        for i, m in enumerate((HAN if lang == "ZH" else LATIN).finditer(text or "")):
+            hit = [j for j, (s, e) in enumerate(subs or []) if e > s and s < m.end() and e > m.start()]
+            want.add((k, m.start(), m.end(), i, max(hit) - min(hit) + 1 if hit else 0))
+    assert got == want
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not any(step in plan for step in ("Sort [", "Window [", "Join ")) and plan.count("RepartitionBy") == 1
+
+
 def drop(text, start, end, lang):
     text = text[:start] + text[end:]
     return regex.sub(r"\s+", " ", text).strip() if lang in ("EN", "FR") else text

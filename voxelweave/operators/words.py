@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from voxelweave.functions.text import (
     EN_FUNCTION_WORDS, FR_FUNCTION_WORDS, LATIN_TOKENS, PUNCTUATION, ZH_TOKENS,
@@ -12,41 +15,100 @@ from voxelweave.functions.text import (
 from voxelweave.session import spread
 
 
-def segment_words(sentences: DataFrame, keys: Sequence[str], text: str = "text", language: str = "language") -> DataFrame:
-    """Words of every sentence with character offsets and token class.
-
-    Tokens and the white space between them cover the whole text, so offsets are running lengths. The
-    sentences are distributed by key once, before they are split; both windows reuse that layout and
-    the exploded words are never shuffled.
+SPACE, SPOKEN, PUNCT = 0, 1, 2
+PLACES = T.ArrayType(T.StructType([T.StructField(c, T.BooleanType() if c == "edge" else T.IntegerType()) for c in ("end", "word", "kind", "edge", "n_subwords")]))
+
+
+def _places(codes: pa.Array, offsets: pa.Array | None = None) -> pa.Array:
+    """For each piece of a sentence its end, the number of its word, its kind, whether it is the first or last one spoken, and the subwords from
+    the first to the last that overlap it. ``codes``: 4 x length + kind of each piece; ``offsets``: (start, end) of the subwords."""
+    counts = pc.fill_null(pc.list_value_length(codes), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    values = codes.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    row, heads = np.repeat(np.arange(len(counts)), counts), np.append(0, np.cumsum(counts))[:-1]
+    size, kind = values >> 2, values & 3
+
+    def running(x: np.ndarray) -> np.ndarray:
+        total = np.append(0, np.cumsum(x))
+        return total[1:] - np.repeat(total[heads], counts)
+
+    end, word = running(size), running(kind != SPACE) - 1
+    spoken, edge = np.flatnonzero(kind == SPOKEN), np.zeros(len(values), bool)
+    change = np.flatnonzero(np.diff(row[spoken]))
+    if len(spoken):
+        edge[spoken[np.concatenate([[0], change + 1, change, [len(spoken) - 1]])]] = True
+    n = np.zeros(len(values), np.int64) if offsets is None else _overlaps(row, end - size, end, offsets)
+    places = [pa.array(end.astype(np.int32)), pa.array(word.astype(np.int32)), pa.array(kind.astype(np.int32)), pa.array(edge), pa.array(n.astype(np.int32))]
+    return pa.ListArray.from_arrays(pa.array(np.append(heads, len(values)).astype(np.int32)), pa.StructArray.from_arrays(places, names=PLACES.elementType.names))
+
+
+def _overlaps(row: np.ndarray, start: np.ndarray, end: np.ndarray, offsets: pa.Array) -> np.ndarray:
+    """Subwords from the first to the last that overlap [start, end) of a row, half-open; those without width are counted in between only."""
+    counts = pc.fill_null(pc.list_value_length(offsets), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    low, high = (pc.fill_null(p, 0).to_numpy(zero_copy_only=False).astype(np.int64) for p in offsets.flatten().flatten())
+    wide = np.flatnonzero(high > low)
+    low, high, owner = low[wide], high[wide], np.repeat(np.arange(len(counts)), counts)[wide]
+    falls = (np.diff(owner) == 0) & ((np.diff(low) < 0) | (np.diff(high) < 0))
+    far = 1 << 32
+    first = np.searchsorted(owner * far + high, row * far + start, "right") if not falls.any() else None
+    if first is not None:
+        last = np.searchsorted(owner * far + low, row * far + end, "left") - 1
+        hit = (first <= last) & (end > start)
+        return np.where(hit, wide[np.where(hit, last, 0)] - wide[np.where(hit, first, 0)] + 1, 0) if len(wide) else np.zeros(len(row), np.int64)
+    heads, n = np.searchsorted(owner, np.arange(len(counts) + 1)), np.zeros(len(row), np.int64)
+    for i, (r, s, e) in enumerate(zip(row.tolist(), start.tolist(), end.tolist())):  # subwords in any order
+        own = slice(heads[r], heads[r + 1])
+        found = wide[own][(low[own] < e) & (high[own] > s)]
+        n[i] = found[-1] - found[0] + 1 if len(found) and e > s else 0
+    return n
+
+
+@F.arrow_udf(PLACES)
+def _word_places(codes: pa.Array) -> pa.Array:
+    return _places(codes)
+
+
+@F.arrow_udf(PLACES)
+def _mapped_places(codes: pa.Array, offsets: pa.Array) -> pa.Array:
+    return _places(codes, offsets)
+
+
+def segment_words(sentences: DataFrame, keys: Sequence[str], text: str = "text", language: str = "language", offsets: str | None = None) -> DataFrame:
+    """Words of every sentence with character offsets and token class; with ``offsets``, the column of the subwords' (start, end), also
+    ``n_subwords_deleted``, from the first to the last subword that overlaps the word.
+
+    Tokens and the white space between them cover the whole text, so offsets are running lengths. The sentences are distributed by
+    key once, before they are split; lengths are summed inside each sentence, and the exploded words are neither sorted nor shuffled.
     """
     sentences = spread(sentences, *keys)
     pieces = F.when(
         F.col(language) == "ZH", F.regexp_extract_all(text, F.lit(ZH_TOKENS + r"|\s+"), F.lit(0))
     ).otherwise(F.regexp_extract_all(text, F.lit(LATIN_TOKENS + r"|\s+"), F.lit(0)))
-    rows = sentences.select(*keys, F.col(language).alias("_lang"), F.posexplode(pieces).alias("_pos", "word_text"))
-    rows = rows.withColumn("_word", ~F.col("word_text").rlike(r"(?U)^\s"))
-    running = Window.partitionBy(*keys).orderBy("_pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = (
-        rows.withColumn("word_char_end", F.sum(F.length("word_text")).over(running).cast("int"))
-        .withColumn("word_index", (F.sum(F.col("_word").cast("int")).over(running) - 1).cast("int"))
-        .where("_word")
-        .withColumn("word_char_start", (F.col("word_char_end") - F.length("word_text")).cast("int"))
-        .withColumn("_punct", F.col("word_text").rlike(PUNCTUATION))
-    )
-    sentence = Window.partitionBy(*keys)
-    spoken = F.when(~F.col("_punct"), F.col("word_index"))
-    edge = (F.col("word_index") == F.min(spoken).over(sentence)) | (F.col("word_index") == F.max(spoken).over(sentence))
+    split = sentences.select(*keys, F.col(language).alias("_lang"), pieces.alias("_pieces"), *([F.col(offsets).alias("_offsets")] if offsets else []))
+    def kind(p: Column) -> Column:  # regular expressions only where the first character or the length leave it open
+        plain = F.ascii(p)
+        space = plain.between(9, 13) | (plain == 32) | ((plain >= 128) & p.rlike(r"(?U)^\s"))
+        return F.when(space, SPACE).when((F.length(p) == 1) & p.rlike(PUNCTUATION), PUNCT).otherwise(SPOKEN)
+
+    codes = F.transform("_pieces", lambda p: F.length(p) * 4 + kind(p))
+    split = split.withColumn("_places", _mapped_places(codes, F.col("_offsets")) if offsets else _word_places(codes))
+    each = split.select(*keys, "_lang", F.explode(F.arrays_zip("_pieces", "_places")).alias("_p"))
+    rows = each.select(
+        *keys, "_lang", F.col("_p._places.word").alias("word_index"), F.col("_p._pieces").alias("word_text"),
+        (F.col("_p._places.end") - F.length("_p._pieces")).alias("word_char_start"), F.col("_p._places.end").alias("word_char_end"),
+        F.col("_p._places.edge").alias("_edge"), F.col("_p._places.n_subwords").alias("n_subwords_deleted"),
+        (F.col("_p._places.kind") == PUNCT).alias("_punct"), (F.col("_p._places.kind") == SPACE).alias("_space"),
+    ).where(~F.col("_space"))
     lowered = F.lower("word_text")
     function = ((F.col("_lang") == "EN") & lowered.isin(*EN_FUNCTION_WORDS)) | (
         (F.col("_lang") == "FR") & lowered.isin(*FR_FUNCTION_WORDS)
     )
     token_class = (
-        F.when(F.col("_punct"), "PUNCT").when(edge, "EDGE").when(function, "FUNCTION").otherwise("CONTENT")
+        F.when(F.col("_punct"), "PUNCT").when(F.col("_edge"), "EDGE").when(function, "FUNCTION").otherwise("CONTENT")
     )
     return rows.select(
         *keys, "word_index", "word_text", "word_char_start", "word_char_end",
         F.when(F.col("_punct"), F.lit("PUNCT")).alias("upos"),
-        token_class.alias("token_class"),
+        token_class.alias("token_class"), *(["n_subwords_deleted"] if offsets else []),
     )
 
 
@@ -149,11 +211,10 @@ def sentence_candidates(
     nothing = [F.lit(-1).alias("word_index"), F.lit("").alias("word_text"), F.lit(-1).alias("word_char_start"), F.lit(-1).alias("word_char_end")]
     sentence_failures = joined.where("failure_reason IS NOT NULL").select(*keys, *nothing, "failure_reason")
     usable = joined.where("failure_reason IS NULL")
-    words = segment_words(usable, keys, "text", language)
-    mapped = map_words_to_subwords(words, subword_rows(usable, keys), keys)
+    mapped = segment_words(usable, keys, "text", language, "char_offsets")
     word_failures = mapped.where("n_subwords_deleted = 0").select(
         *keys, "word_index", "word_text", "word_char_start", "word_char_end", F.lit("offset_mapping_failed").alias("failure_reason")
     )
-    candidates = mapped.where("n_subwords_deleted > 0").drop("first_subword", "last_subword").withColumn("mapping_status", F.lit("OK"))
+    candidates = mapped.where("n_subwords_deleted > 0").withColumn("mapping_status", F.lit("OK"))
     failures = sentence_failures.unionByName(word_failures).withColumn("mapping_status", F.lit("FAILED"))
     return candidates, failures
