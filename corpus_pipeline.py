@@ -6,7 +6,8 @@ docs of the next. All but the last return the columns of documents, the last one
 
 Awkward rows: null and empty texts pass the filters (all of them are near duplicates of one another, so one stays) and are
 written as the end id alone; rows without an id pass and are taken once; repeated rows count once after the second stage.
-Each stage is documented and tested with its operator.
+Each stage is documented and tested with its operator. Stages that hand texts to Python workers bound the session's Arrow batches
+(``bounded_batches``), since executors and workers that live through all stages keep the memory of the largest batch.
 """
 
 from __future__ import annotations
@@ -14,16 +15,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from voxelweave.llm import decontamination, mixing, near_copies, token_files, toxicity
-from voxelweave.llm.common import stored, tables
+from voxelweave.llm.common import bounded_batches, stored, tables
 
 TOKENIZER = "byte_bpe_50k.json"
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return toxicity.without_toxic(docs, tables(spark, sf_dir)("labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return near_copies.one_per_group(docs)
 
 
@@ -38,7 +41,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return token_files.token_index(docs, public_tokenizers.path(TOKENIZER), kept=150_000)  # workers here still hold memory of earlier stages
+    bounded_batches(spark)
+    return token_files.token_index(docs, public_tokenizers.path(TOKENIZER), release=True, kept=150_000)  # workers here still hold memory of earlier stages
 
 
 STAGES = [

@@ -7,6 +7,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -110,3 +111,42 @@ def test_stages_and_run(spark, sf_dir):
 
     whole = corpus_pipeline.run(spark, sf_dir).collect()
     assert Counter(map(tuple, whole)) == Counter(map(tuple, rows[5]))
+
+
+@pytest.mark.parametrize("name", ["toxicity", "near_duplicates", "token_files"])
+def test_stages_hand_texts_to_workers_in_bounded_batches(spark, sf_dir, name):
+    """A partition of 8 MB of texts is not one Arrow batch, as it is by Spark's own bounds."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.unset(key)
+    try:
+        dict(corpus_pipeline.STAGES)[name](spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), sf_dir)
+        texts = spark.range(0, 4_000, 1, 1).selectExpr("id", "repeat('text ', 400) as text")
+
+        def run(batches):
+            for batch in batches:
+                yield pa.RecordBatch.from_pydict({"rows": pa.array([batch.num_rows], pa.int64())})
+
+        rows = [r.rows for r in texts.mapInArrow(run, "rows long").collect()]
+        assert sum(rows) == 4_000 and max(rows) * 2_000 <= 2 << 20
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_workers_keep_no_chunks_after_the_files_are_read(spark, sf_dir):
+    """Python workers outlive the stage; what they remember of its texts does not."""
+    docs, parts = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "24")  # more tasks than workers, so that each takes part in the reading
+    try:
+        assert corpus_pipeline.write_tokens(spark, docs, sf_dir).count() == docs.count()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+
+    def run(batches):
+        from voxelweave.llm import token_files
+
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"held": pa.array([token_files.encoder.cache_info().currsize], pa.int64())})
+
+    held = [r.held for r in spark.range(0, 24, 1, 24).mapInArrow(run, "held long").collect()]
+    assert len(held) == 24 and not any(held)

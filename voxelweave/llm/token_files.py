@@ -220,8 +220,9 @@ def write(documents: DataFrame, tokenizer: str, folder: str | None = None, end_i
     return folder, stored(ordered.mapInArrow(run, MANIFEST), "token-manifest")
 
 
-def read(folder: str, manifest: DataFrame) -> DataFrame:
-    """Rows (doc_id, start, n_tokens, ids_crc32) of the files in ``manifest``; start counts ids from the first file's begin."""
+def read(folder: str, manifest: DataFrame, release: bool = False) -> DataFrame:
+    """Rows (doc_id, start, n_tokens, ids_crc32) of the files in ``manifest``; start counts ids from the first file's begin.
+    With ``release`` the reading workers drop the tokenizers and chunks that they remember from writing."""
     spark = manifest.sparkSession
     parts = stored(manifest.groupBy("part").agg(F.sum("ids").alias("n")), "token-parts")  # one row for each task
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -231,6 +232,8 @@ def read(folder: str, manifest: DataFrame) -> DataFrame:
     files = placed.select("path", (F.col("own") + F.col("part_start")).alias("start")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        if release:
+            encoder.cache_clear()
         store, root = fs.FileSystem.from_uri(folder)
         for batch in batches:
             for path, start in zip(batch["path"], batch["start"]):
@@ -248,10 +251,11 @@ def read(folder: str, manifest: DataFrame) -> DataFrame:
     return files.mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def token_index(documents: DataFrame, tokenizer: str, **how) -> DataFrame:
+def token_index(documents: DataFrame, tokenizer: str, release: bool = False, **how) -> DataFrame:
     """Rows (doc_id, start, n_tokens, ids_crc32), one for each row of ``documents``, read back from the files written.
 
     Null and empty texts are the end id alone. Only doc_id and text are read, so further columns may have any name.
     Repeated rows and ids are written as often as given, null ids first. An empty table writes no file and gives no rows.
+    ``release``: see ``read``.
     """
-    return read(*write(documents, tokenizer, **how))
+    return read(*write(documents, tokenizer, **how), release)
