@@ -16,6 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from voxelweave.functions.vector import lane_sums, lane_values, lanes
+from voxelweave.session import cut
 
 
 def glover_kernel(fine_hz: float, seconds: float = 32.0) -> list[float]:
@@ -267,30 +268,39 @@ def pooled_basis(basis: DataFrame) -> DataFrame:
     return basis.groupBy("language", "canonical_run", "scan", "triplet_row_index").agg(F.sum("weight").alias("weight"))
 
 
+def shared_basis(timing: DataFrame, scans: DataFrame, clock: ScanClock) -> DataFrame:
+    """``pooled_basis`` of timed sentences. They are dealt by row of features before they reach scans, so what is shuffled is one row a
+    sentence, never one for each scan of a sentence. ``scans`` has a row per run and language, and is broadcast."""
+    return pooled_basis(sentence_basis(timing.repartition("language", "canonical_run", "triplet_row_index"), F.broadcast(scans), clock))
+
+
 def design_rows(
-    basis: DataFrame, features: DataFrame, setting: Sequence[str], *, bucket: int = 32, hot: int = 4096, lane: int = 16
+    basis: DataFrame, features: DataFrame, setting: Sequence[str], *, bucket: int = 32, hot: int = 4096, lane: int = 16, dealt: bool = False
 ) -> DataFrame:
     """Basis x features: the weighted sum of sentence vectors in every scan (sparse product).
 
     A vector is shuffled once per bucket of scans its sentence reaches, not once per scan, and is spread
     over the scans only where they are summed. Buckets with more than ``hot`` sentences are split by a
-    salt. Vectors travel in lanes of ``lane`` values, each summed by generated code.
+    salt. Vectors are summed in lanes of ``lane`` values by generated code. A ``dealt`` basis lies by run and sentence; it is
+    packed where it lies and stored, as it is read twice.
     """
     keys = [*setting, "canonical_run"]
     packed = (
-        basis.repartition("language", "triplet_row_index")
+        (basis if dealt else basis.repartition("language", "triplet_row_index"))
         .groupBy("language", "canonical_run", "triplet_row_index", F.floor(F.col("scan") / F.lit(bucket)).alias("_bucket"))
         .agg(F.collect_list(F.struct("scan", "weight")).alias("_weights"))
     )
+    packed = cut(packed) if dealt else packed
     crowd = packed.groupBy("language", "canonical_run", "_bucket").agg(F.ceil(F.count(F.lit(1)) / F.lit(hot)).alias("_salts"))
     salted = packed.join(crowd, ["language", "canonical_run", "_bucket"]).withColumn(
         "_salt", F.pmod(F.xxhash64("triplet_row_index"), F.col("_salts"))
     )
     spread = (
         salted.join(features, ["language", "triplet_row_index"])
-        .select(*keys, "_bucket", "_salt", "_weights", F.posexplode(lanes(F.col("vec"), lane)).alias("_lane", "_part"))
-        .repartition(*keys, "_bucket", "_salt", "_lane")
-        .select(*keys, "_bucket", "_salt", "_lane", "_part", F.inline("_weights"))
+        .select(*keys, "_bucket", "_salt", F.col("_weights.scan").alias("_scans"), F.col("_weights.weight").alias("_weights"), "vec")
+        .repartition(*keys, "_bucket", "_salt")  # weights and vector travel once, not once for each lane
+        .select(*keys, "_bucket", "_salt", "_scans", "_weights", F.posexplode(lanes(F.col("vec"), lane)).alias("_lane", "_part"))
+        .select(*keys, "_bucket", "_salt", "_lane", "_part", F.inline(F.arrays_zip(F.col("_scans").alias("scan"), F.col("_weights").alias("weight"))))
     )
     partial = spread.groupBy(*keys, "_bucket", "_salt", "_lane", "scan").agg(*lane_sums(F.col("_part"), lane, F.col("weight")))
     whole = partial.repartition(*keys, "scan").groupBy(*keys, "scan", "_lane").agg(*[F.sum(f"_{i}").alias(f"_{i}") for i in range(lane)])
